@@ -1,26 +1,22 @@
-"""Newest row per key, as an aggregate.
+"""Newest row per key."""
 
-An aggregate is combined before the shuffle, so a key with very many versions sends one row per map task.
-"""
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest_first(timestamp: str, tie_break: str) -> Column:
-    """Sort value whose minimum is the newest row; a missing timestamp counts as newest, ties go to the smallest id."""
-    return F.struct(
-        F.col(timestamp).isNotNull().alias("dated"),
-        (-F.unix_micros(F.col(timestamp).cast("timestamp"))).alias("age"),
-        F.col(tie_break).alias("tie"),
-    )
+def newest_first(timestamp: str, tie_break: str) -> list[Column]:
+    """Order that puts the newest row first; a missing timestamp counts as newest, ties go to the smallest id."""
+    return [F.col(timestamp).desc_nulls_first(), F.col(tie_break).asc()]
+
 
+def newest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """First row of every key in the given order.
 
-def newest_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One whole row per key: the one with the smallest `order`."""
-    rest = [name for name in rows.columns if name not in keys]
-    newest = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
-    return newest.select(*keys, "_row.*").select(*rows.columns)
+    Spark limits each group to one row on the map side as well (WindowGroupLimit), so a key with very many versions sends
+    one row per map task through the shuffle.
+    """
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_position", position).filter(F.col("_position") == 1).drop("_position")
 
 
 def latest_extractions(extractions: DataFrame) -> DataFrame:

@@ -19,8 +19,10 @@ def hot_groups(rows: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataF
 
 def with_part(rows: DataFrame, keys: list[str], spread_by: Column, limit: int = HOT_ROWS, part: str = "part") -> DataFrame:
     """Adds a part number that cuts hot groups into parts of about `limit` rows; all other groups are part 0."""
-    hot = F.broadcast(hot_groups(rows, keys, limit))
-    return _numbered(rows.join(hot, keys, "left"), spread_by, part)
+    hot = hot_groups(rows, keys, limit)
+    if hot.isEmpty():
+        return rows.withColumn(part, F.lit(0))
+    return _numbered(rows.join(F.broadcast(hot), keys, "left"), spread_by, part)
 
 
 def _numbered(rows: DataFrame, spread_by: Column, part: str) -> DataFrame:
@@ -31,15 +33,19 @@ def _numbered(rows: DataFrame, spread_by: Column, part: str) -> DataFrame:
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: Column, limit: int = HOT_ROWS) -> DataFrame:
     """Equi-join whose hot left groups are spread over several tasks.
 
-    `right` rows of a hot key are repeated once per part. With r right rows per key that adds at most
-    r * |left| / limit rows, so only use it where `right` has few rows per key.
+    Counts the keys of `left` first, so `left` should be cheap to read; without hot keys it is a plain join. `right` rows of
+    a hot key are repeated once per part: with r right rows per key that adds at most r * |left| / limit rows, so only
+    use it where `right` has few rows per key.
     """
-    return hot_join_with(hot_groups(left, keys, limit), left, right, keys, how, spread_by)
+    hot = hot_groups(left, keys, limit)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    return hot_join_with(hot, left, right, keys, how, spread_by)
 
 
 def hot_join_with(hot: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: Column) -> DataFrame:
     """`hot_join` for hot groups that are already known."""
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot.select(*keys, "_parts"))
     left_parts = _numbered(left.join(hot, keys, "left"), spread_by, "_part")
     right_parts = (
         right.join(hot, keys, "left")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from claimweave.functions.parsing import parse_amount, parse_date
 from claimweave.functions.text import name_key
 from claimweave.functions.variants import text_at, texts_at
-from claimweave.operators.latest import newest_first
+from claimweave.operators.latest import newest_first, newest_per_key
 from claimweave.operators.medicines import distinct_medicines, unmatched_in_row, unmatched_medicines
 from claimweave.operators.skew import HOT_ROWS, hot_join_with
+from claimweave.session import materialize
 from claimweave.vocabulary import (
     ADMISSION_ALIASES,
     DATED_TYPES,
@@ -41,8 +42,8 @@ def _for_type(kind: str, value: Column) -> Column:
 def latest_fields(extractions: DataFrame) -> DataFrame:
     """Typed fields of the newest successful extraction of every document.
 
-    Payloads are read before the shuffle, so only typed columns move. The newest row is picked by an aggregate: a document
-    with many versions is reduced on the map side. All consumers share the exchange below this aggregate.
+    Payloads are read before the shuffle, so only typed columns move. `chars` bounds the room a document takes in the
+    listings of its claim, the row counts its number of medicines.
     """
     response = F.col("extracted_response")
     dated = F.col("document_type").isin(*DATED_TYPES)
@@ -57,11 +58,38 @@ def latest_fields(extractions: DataFrame) -> DataFrame:
         _for_type("PRESCRIPTION", texts_at(response, "medicines.medicine_name")).alias("prescribed"),
         _for_type("PHARMACY_INVOICE", texts_at(response, "medicine_items.medicine_name")).alias("purchased"),
     )
-    kept = [name for name in typed.columns if name not in ("claim_id", "document_id", "extraction_id", "extracted_at")]
-    newest = typed.groupBy("claim_id", "document_id").agg(
-        F.min_by(F.struct(*kept), newest_first("extracted_at", "extraction_id")).alias("_row")
+    newest = newest_per_key(typed, ["claim_id", "document_id"], newest_first("extracted_at", "extraction_id"))
+    room = (
+        F.length("document_type") + F.length(F.coalesce("patient_name", F.lit(NO_NAME))) + 5
+        + F.coalesce(_chars(F.col("prescribed")), F.lit(0)) + F.coalesce(_chars(F.col("purchased")), F.lit(0))
     )
-    return newest.select("claim_id", "document_id", "_row.*")
+    return newest.drop("extraction_id", "extracted_at").withColumns({
+        "chars": room.cast("long"),
+        "prescribed_rows": F.greatest(F.size("prescribed"), F.lit(0)),
+        "purchased_rows": F.greatest(F.size("purchased"), F.lit(0)),
+    })
+
+
+def stored_fields(extractions: DataFrame) -> DataFrame:
+    """`latest_fields` as a table: the payloads are read once, every later pass reads narrow typed columns."""
+    return materialize(latest_fields(extractions), "claim-fields")
+
+
+def wide_claims(fields: DataFrame, limits: Limits) -> DataFrame:
+    """Claims that do not fit into one row: too much text for one value, or too many name pairs.
+
+    Every such claim holds many documents or much text, so there are few of them.
+    """
+    sized = fields.groupBy("claim_id").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.sum("chars").alias("chars"),
+        F.sum("prescribed_rows").cast("double").alias("prescribed"),
+        F.sum("purchased_rows").cast("double").alias("purchased"),
+    )
+    too_long = F.col("chars") > limits.value_chars
+    wide = sized.filter(too_long | (F.col("prescribed") * F.col("purchased") > limits.pairs))
+    parts = F.ceil(F.col("documents") / limits.hot_rows).cast("int")
+    return wide.select("claim_id", too_long.alias("too_long"), parts.alias("_parts"))
 
 
 def _chars(names: Column) -> Column:
@@ -69,20 +97,14 @@ def _chars(names: Column) -> Column:
     return F.aggregate(names, F.lit(0).cast("long"), lambda total, name: total + 3 + F.coalesce(F.length(name), F.lit(0)))
 
 
-def claim_totals(latest: DataFrame) -> DataFrame:
-    """Counts, dates and amounts per claim.
-
-    Buffers have a fixed size, but for the two date sets, which the calendar bounds; so any number of documents per claim
-    is combined before the shuffle.
-    """
+def _totals() -> list[Column]:
+    """Counts, date ranges and amounts of a claim. Buffers have a fixed size, so documents are combined before the shuffle."""
     name = F.col("patient_name")
-    return latest.groupBy("claim_id").agg(
+    return [
         F.count(F.lit(1)).alias("document_count"),
         F.count_if(name.isNull() | (F.trim(name) == "")).alias("missing_names"),
         F.count("admission_date").alias("admission_count"),
         F.count("discharge_date").alias("discharge_count"),
-        F.size(F.collect_set("admission_date")).cast("long").alias("admission_variants"),
-        F.size(F.collect_set("discharge_date")).cast("long").alias("discharge_variants"),
         F.min("admission_date").alias("min_admission"),
         F.max("admission_date").alias("max_admission"),
         F.min("discharge_date").alias("min_discharge"),
@@ -90,52 +112,65 @@ def claim_totals(latest: DataFrame) -> DataFrame:
         F.max("hospital_amount").alias("hospital_amount"),
         F.max("pharmacy_amount").alias("pharmacy_amount"),
         F.max("receipt_amount").alias("receipt_amount"),
-        F.sum(F.greatest(F.size("prescribed"), F.lit(0))).alias("_prescribed_rows"),
-        F.sum(F.greatest(F.size("purchased"), F.lit(0))).alias("_purchased_rows"),
-        F.sum(
-            F.length("document_type") + F.length(F.coalesce(name, F.lit(NO_NAME))) + 5
-            + F.coalesce(_chars(F.col("prescribed")), F.lit(0)) + F.coalesce(_chars(F.col("purchased")), F.lit(0))
-        ).alias("_chars"),
-    )
+    ]
+
+
+def _variants() -> list[Column]:
+    """Numbers of different dates. The calendar bounds the two sets, however many documents a claim has."""
+    return [
+        F.size(F.collect_set("admission_date")).cast("long").alias("admission_variants"),
+        F.size(F.collect_set("discharge_date")).cast("long").alias("discharge_variants"),
+    ]
+
+
+def claim_totals(fields: DataFrame) -> DataFrame:
+    return fields.groupBy("claim_id").agg(*_totals(), *_variants())
 
 
 def _label(document_type: Column, name: Column) -> Column:
     return F.concat(document_type, F.lit(": "), F.coalesce(name, F.lit(NO_NAME)))
 
 
-def _distinct_names(lists: str) -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.col(lists)))))
+def _distinct_names(lists: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array_compact(lists)))))
 
 
 def _listing(documents: str) -> Column:
     """Documents of a claim as text, by type and then by name."""
-    return F.array_join(
-        F.transform(F.array_sort(documents), lambda d: _label(d["document_type"], d["name"])), " | "
-    )
-
-
-def narrow_findings(expected: DataFrame, documents: DataFrame) -> DataFrame:
-    """Name and medicine findings of claims whose documents fit into one row."""
-    name = F.col("patient_name")
-    gathered = documents.groupBy("claim_id").agg(
-        F.collect_list(F.struct("document_type", F.coalesce(name, F.lit(NO_NAME)).alias("name"))).alias("_documents"),
-        F.collect_list(name_key(name)).alias("_keys"),
-        F.collect_list("prescribed").alias("_prescribed"),
-        F.collect_list("purchased").alias("_purchased"),
-    )
-    known = gathered.join(expected, "claim_id", "left").select(
-        "claim_id",
-        F.size(F.filter("_keys", lambda key: key != F.col("expected_key"))).cast("long").alias("name_mismatches"),
-        _listing("_documents").alias("extracted_names"),
-        _distinct_names("_prescribed").alias("prescribed_items"),
-        _distinct_names("_purchased").alias("purchased_items"),
-    )
-    return known.select(
-        "*",
-        F.size(F.array_distinct(F.transform("prescribed_items", name_key))).cast("long").alias("prescribed_count"),
-        F.size(F.array_distinct(F.transform("purchased_items", name_key))).cast("long").alias("purchased_count"),
-        unmatched_in_row(F.col("purchased_items"), F.col("prescribed_items")).alias("unmatched_items"),
-    ).withColumn("unmatched_count", F.size("unmatched_items").cast("long"))
+    pairs = F.array_sort(F.transform(documents, lambda d: F.struct(d["document_type"], d["name"])))
+    return F.array_join(F.transform(pairs, lambda pair: _label(pair["document_type"], pair["name"])), " | ")
+
+
+def _gathered() -> Column:
+    """What has to be seen together, as one list per claim; only for claims that are not wide."""
+    name = F.coalesce("patient_name", F.lit(NO_NAME)).alias("name")
+    key = name_key(F.col("patient_name")).alias("key")
+    return F.collect_list(
+        F.struct("document_type", name, key, "admission_date", "discharge_date", "prescribed", "purchased")
+    ).alias("_documents")
+
+
+def _narrow_findings(gathered: DataFrame) -> DataFrame:
+    """Findings from the gathered documents, inside the row of the claim."""
+    documents = F.col("_documents")
+
+    def variants(dates: Column) -> Column:
+        return F.size(F.array_distinct(F.array_compact(dates))).cast("long")
+
+    listed = gathered.withColumns({
+        "admission_variants": variants(documents["admission_date"]),
+        "discharge_variants": variants(documents["discharge_date"]),
+        "name_mismatches": F.size(F.filter(documents["key"], lambda key: key != F.col("expected_key"))).cast("long"),
+        "extracted_names": _listing("_documents"),
+        "prescribed_items": _distinct_names(documents["prescribed"]),
+        "purchased_items": _distinct_names(documents["purchased"]),
+    })
+    counted = listed.withColumns({
+        "prescribed_count": F.size(F.array_distinct(F.transform("prescribed_items", name_key))).cast("long"),
+        "purchased_count": F.size(F.array_distinct(F.transform("purchased_items", name_key))).cast("long"),
+        "unmatched_items": unmatched_in_row(F.col("purchased_items"), F.col("prescribed_items")),
+    })
+    return counted.withColumn("unmatched_count", F.size("unmatched_items").cast("long"))
 
 
 def _medicine_rows(documents: DataFrame, *carried: str) -> DataFrame:
@@ -148,7 +183,7 @@ def _medicine_rows(documents: DataFrame, *carried: str) -> DataFrame:
     return names.filter(F.col("medicine").isNotNull())
 
 
-def wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame) -> DataFrame:
+def _wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame) -> DataFrame:
     """The same findings for claims too wide for one row: counts by joins and partial aggregates.
 
     `wide` has claim_id and too_long, `documents` carries too_long as well. Listings are gathered only where they fit into
@@ -202,22 +237,6 @@ def wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame) ->
     )
 
 
-def findings(claims: DataFrame, latest: DataFrame, totals: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Name and medicine findings of every claim with documents, each claim by the way that suits its size."""
-    expected = claims.select("claim_id", name_key(F.col("patient_name")).alias("expected_key"))
-    too_long = F.col("_chars") > limits.value_chars
-    many_pairs = F.col("_prescribed_rows").cast("double") * F.col("_purchased_rows") > limits.pairs
-    wide = totals.filter(too_long | many_pairs).select("claim_id", too_long.alias("too_long"))
-    hot = totals.filter(F.col("document_count") > limits.hot_rows).select(
-        "claim_id", F.ceil(F.col("document_count") / limits.hot_rows).cast("int").alias("_parts")
-    )
-
-    def pick(how: str) -> DataFrame:
-        return hot_join_with(hot, latest, wide, ["claim_id"], how, F.col("document_id"))
-
-    return narrow_findings(expected, pick("left_anti")).unionByName(wide_findings(expected, wide, pick("inner")))
-
-
 def present_types(documents: DataFrame) -> DataFrame:
     """Which required types a claim has as an extracted document; one flag per type."""
     done = documents.filter((F.col("processing_status") == "EXTRACTED") & F.col("document_type").isin(*REQUIRED_TYPES))
@@ -231,6 +250,12 @@ def missing_types() -> Column:
     return F.array_compact(F.array(*absent))
 
 
+def missing_documents(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row per claim and required type it lacks. The five types are expanded inside the claim's row, after one join."""
+    flags = claims.select("claim_id").join(present_types(documents), "claim_id", "left")
+    return flags.select("claim_id", F.explode(missing_types()).alias("document_type"))
+
+
 COUNTS = (
     "document_count", "missing_names", "admission_count", "discharge_count", "admission_variants", "discharge_variants",
     "name_mismatches", "prescribed_count", "purchased_count", "unmatched_count",
@@ -238,28 +263,56 @@ COUNTS = (
 LISTS = ("prescribed_items", "purchased_items", "unmatched_items")
 
 
-def claim_features(claims: DataFrame, documents: DataFrame, extractions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per claim, also for claims without any document."""
-    latest = latest_fields(extractions)
-    totals = claim_totals(latest)
-    own = claims.select("claim_id", F.col("patient_name").alias("expected_name"), "claimed_amount")
-    rows = (
-        own.join(present_types(documents), "claim_id", "left")
-        .join(totals, "claim_id", "left")
-        .join(findings(claims, latest, totals, limits), "claim_id", "left")
+FINDINGS = ("name_mismatches", "extracted_names", *LISTS, "prescribed_count", "purchased_count", "unmatched_count")
+TOTALS = (
+    "document_count", "missing_names", "admission_count", "discharge_count", "admission_variants", "discharge_variants",
+    "min_admission", "max_admission", "min_discharge", "max_discharge", "hospital_amount", "pharmacy_amount", "receipt_amount",
+)
+
+
+def document_features(claims: DataFrame, fields: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row per claim with everything its extracted documents say, also for claims without any.
+
+    `fields` should be a table (`stored_fields`): it is read once to look for wide claims and once or twice more.
+    """
+    own = claims.select("claim_id", F.col("patient_name").alias("expected_name"), "claimed_amount").withColumn(
+        "expected_key", name_key(F.col("expected_name"))
     )
-    # A claim without documents has empty listings; a too long one has none.
+    wide = wide_claims(fields, limits)
+    if wide.isEmpty():
+        gathered = fields.groupBy("claim_id").agg(*_totals(), _gathered())
+        rows = _narrow_findings(own.join(gathered, "claim_id", "left"))
+    else:
+        wide = materialize(wide, "wide-claims")
+        hot = wide.filter(F.col("_parts") > 1)
+        sized = wide.select("claim_id", "too_long")
+
+        def pick(how: str) -> DataFrame:
+            return hot_join_with(hot, fields, sized, ["claim_id"], how, F.col("document_id"))
+
+        expected = own.select("claim_id", "expected_key")
+        gathered = pick("left_anti").groupBy("claim_id").agg(_gathered()).join(expected, "claim_id", "left")
+        found = _narrow_findings(gathered).select("claim_id", *FINDINGS).unionByName(
+            _wide_findings(expected, sized, pick("inner")).select("claim_id", *FINDINGS)
+        )
+        rows = own.join(claim_totals(fields), "claim_id", "left").join(found, "claim_id", "left")
+    # A claim without documents has empty listings; a claim with too long ones has none.
     empty = F.col("document_count").isNull()
     filled = {name: F.coalesce(name, F.lit(0)).cast("long") for name in COUNTS}
     filled |= {name: F.when(empty, F.array().cast("array<string>")).otherwise(F.col(name)) for name in LISTS}
     filled["extracted_names"] = F.when(empty, "").otherwise(F.col("extracted_names"))
-    filled["missing_types"] = missing_types()
-    return rows.withColumns(filled).drop("_chars", "_prescribed_rows", "_purchased_rows")
+    return rows.withColumns(filled).select("claim_id", "expected_name", "claimed_amount", *TOTALS, *FINDINGS)
+
+
+def claim_features(claims: DataFrame, documents: DataFrame, fields: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """`document_features` and which required document types are missing."""
+    rows = document_features(claims, fields, limits).join(present_types(documents), "claim_id", "left")
+    flags = [f"has_{kind.lower()}" for kind in REQUIRED_TYPES]
+    return rows.withColumn("missing_types", missing_types()).drop(*flags)
 
 
-def claim_evidence(extractions: DataFrame) -> DataFrame:
+def claim_evidence(latest: DataFrame) -> DataFrame:
     """What the listings of a claim are made of, one row per document or medicine; never gathered per claim."""
-    latest = latest_fields(extractions)
     names = latest.select(
         "claim_id", F.lit("NAME").alias("kind"), F.col("document_id").alias("source"),
         _label(F.col("document_type"), F.col("patient_name")).alias("item"),

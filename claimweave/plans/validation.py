@@ -18,10 +18,11 @@ from claimweave.plans.features import (
     Limits,
     claim_features,
     claim_totals,
-    findings,
+    document_features,
     latest_fields,
     missing_types,
     present_types,
+    stored_fields,
 )
 from claimweave.vocabulary import AMOUNT_TOLERANCE, AMOUNT_TYPES, DATED_TYPES, DOCUMENT_TYPES
 
@@ -314,7 +315,8 @@ def validate_claims(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Result rows of all given claims. Give fewer claims, documents and extractions to validate fewer."""
-    return result_rows(judged_claims(claim_features(claims, documents, extractions, limits), tolerance), tolerance)
+    features = claim_features(claims, documents, stored_fields(extractions), limits)
+    return result_rows(judged_claims(features, tolerance), tolerance)
 
 
 def stamped(results: DataFrame, as_of: Column) -> DataFrame:
@@ -381,10 +383,6 @@ def _single(features: DataFrame, check: Check, keep: list[str]) -> DataFrame:
     return _result_rows(_judged(features, [check]), [check.row()], keep)
 
 
-def _filled(rows: DataFrame, names) -> DataFrame:
-    return rows.withColumns({name: F.coalesce(name, F.lit(0)).cast("long") for name in names if name in rows.columns})
-
-
 def validate_required_documents(claims: DataFrame, documents: DataFrame) -> DataFrame:
     flags = claims.select("claim_id").join(present_types(documents), "claim_id", "left")
     return _single(flags.select("claim_id", missing_types().alias("missing_types")), required_documents_check(), ["missing_types"])
@@ -396,7 +394,9 @@ def validate_dates(claims: DataFrame, extractions: DataFrame) -> DataFrame:
         "min_admission", "max_admission", "min_discharge", "max_discharge",
     ]
     totals = claim_totals(latest_fields(extractions)).select("claim_id", *kept)
-    return _single(_filled(claims.select("claim_id").join(totals, "claim_id", "left"), COUNTS), dates_check(), kept)
+    rows = claims.select("claim_id").join(totals, "claim_id", "left")
+    counts = {name: F.coalesce(name, F.lit(0)).cast("long") for name in kept if name in COUNTS}
+    return _single(rows.withColumns(counts), dates_check(), kept)
 
 
 def validate_financial(claims: DataFrame, extractions: DataFrame, tolerance: str = AMOUNT_TOLERANCE) -> DataFrame:
@@ -407,23 +407,11 @@ def validate_financial(claims: DataFrame, extractions: DataFrame, tolerance: str
     return _single(rows, financial_check(tolerance), kept)
 
 
-def _with_findings(claims: DataFrame, extractions: DataFrame, limits: Limits) -> DataFrame:
-    latest = latest_fields(extractions)
-    totals = claim_totals(latest)
-    own = claims.select("claim_id", F.col("patient_name").alias("expected_name"))
-    counts = totals.select("claim_id", "document_count", "missing_names")
-    rows = own.join(counts, "claim_id", "left").join(findings(claims, latest, totals, limits), "claim_id", "left")
-    empty = F.col("document_count").isNull()
-    blank = {name: F.when(empty, F.array().cast("array<string>")).otherwise(F.col(name)) for name in LISTS}
-    blank["extracted_names"] = F.when(empty, "").otherwise(F.col("extracted_names"))
-    return _filled(rows.withColumns(blank), COUNTS)
-
-
 def validate_identity(claims: DataFrame, extractions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    rows = _with_findings(claims, extractions, limits)
+    rows = document_features(claims, stored_fields(extractions), limits)
     return _single(rows, identity_check(), ["document_count", "missing_names", "name_mismatches"])
 
 
 def validate_medicines(claims: DataFrame, extractions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    rows = _with_findings(claims, extractions, limits)
+    rows = document_features(claims, stored_fields(extractions), limits)
     return _single(rows, medicines_check(), [*LISTS, "prescribed_count", "purchased_count", "unmatched_count"])

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name="claimweave", master=None, shuffle_partitions=None) -> SparkSession:
@@ -13,6 +13,7 @@ def build_session(app_name="claimweave", master=None, shuffle_partitions=None) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
@@ -28,3 +29,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="claimweave-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(rows: DataFrame, purpose: str) -> DataFrame:
+    """Writes rows to the shared scratch folder and reads them back.
+
+    Cuts lineage in a way that survives lost executors, and lets later passes read only the columns they need.
+    """
+    path = scratch_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -324,12 +324,16 @@ def folder_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_event_files(table(spark, sf_dir, "events"))
+
+
+def as_event_files(events: DataFrame) -> DataFrame:
     """Change log of a document stage, one row per event."""
     e = F.col("event_id")
     extension = F.when(e % 10 == 0, ".txt").when(e % 4 == 0, ".PNG").otherwise(".pdf")
     name = F.concat(_pick(EVENT_FILES, (e % 12 + 1).cast("int")), extension)
     folder = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.when(e % 33 == 0, name).otherwise(F.concat_ws("/", folder, name)).alias("relative_path"),
         F.col("ts").cast("timestamp_ntz").alias("modified_at"),
@@ -363,3 +367,46 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_k() % 7 == 0, " ").otherwise(F.concat(F.lit("ok "), _k().cast("string"))).alias("comments"),
         F.date_add("d", 30).cast("timestamp_ntz").alias("decided_at"),
     )
+
+
+@stored
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation result table."""
+    from claimweave.plans.validation import stamped, validate_claims
+
+    rows = validate_claims(claims(spark, sf_dir), documents(spark, sf_dir), extractions(spark, sf_dir))
+    return stamped(rows, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run history, one run per event."""
+    kind = F.col("event_type")
+    state = F.when(kind == "error", "FAILED").when(kind == "view", "SKIPPED").otherwise("SUCCEEDED")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("run_id"), state.alias("state"), F.col("ts").cast("timestamp_ntz").alias("scheduled_at"),
+        F.when(kind == "error", F.concat(F.lit("error in "), F.col("props"))).alias("error_message"),
+    )
+
+
+def folder_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder outcomes of daily runs, one per event: loaded, returned as failed, or broken off with an error."""
+    kind, e = F.col("event_type"), F.col("event_id")
+    raised = F.when(kind == "error", F.concat(F.lit("broken off at "), e.cast("string")))
+    return table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run_id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("folder"),
+        F.col("ts").cast("timestamp_ntz").alias("logged_at"),
+        F.when(kind.isin("error", "view"), "FAILED").when(kind == "click", "COMPLETED_WITH_ERRORS").otherwise("SUCCESS").alias("load_status"),
+        F.when(kind != "signup", F.concat(F.lit("CLM-"), e.cast("string"))).alias("claim_id"),
+        raised.alias("raised_error"),
+    )
+
+
+def template_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of templates: one template per brand, one version per part."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("template_id"), F.col("p_type").alias("document_type"),
+        F.col("p_name").alias("template_description"), F.col("p_partkey").cast("int").alias("template_version"),
+        F.to_variant_object(F.struct(F.col("p_size").alias("size"))).alias("response_format"),
+        (F.col("p_size") % 3 != 0).alias("is_active"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
+    )

@@ -119,7 +119,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
 def resolve_templates(templates: DataFrame) -> DataFrame:
     """Newest active version of every template id."""
     active = templates.filter(F.col("is_active"))
-    return newest_per_key(active, ["template_id"], F.struct((-F.col("template_version")).alias("newest")))
+    return newest_per_key(active, ["template_id"], [F.col("template_version").desc_nulls_first()])
 
 
 def field_catalog(templates: DataFrame) -> DataFrame:
