@@ -494,7 +494,7 @@ ORACLES = {
         SELECT docs.claim_id, validation_category, document_type, file_name, folder || '/' || file_name AS relative_path
         FROM results JOIN docs ON docs.claim_id = results.claim_id AND contains('|' || source_documents || '|', '|' || document_type || '|')""",
     "parse_source_documents": _with(ORDERS) + """
-        SELECT claim_id, CASE k % 5 WHEN 0 THEN 'CLAIM_FORM|' || o_orderpriority WHEN 1 THEN 'CLAIM_FORM" |' || o_orderpriority
+        SELECT claim_id, CASE k % 5 WHEN 0 THEN 'CLAIM_FORM|' || o_orderpriority WHEN 1 THEN 'CLAIM_FORM|' || o_orderpriority
                WHEN 2 THEN c_name || '|OTHER' ELSE '' END AS source_documents FROM o""",
     "apply_reviewer_decisions": _with(ORDERS, CLAIMS) + """,
         asked AS (
@@ -525,4 +525,58 @@ ORACLES = {
                arg_max(raised, ts) FILTER (WHERE raised IS NOT NULL) AS last_error
         FROM x GROUP BY run_id""",
 }
+
+# Fields of the built-in templates that the derived payloads never fill, and those they do, by document type.
+_CATALOG = {
+    "CLAIM_FORM": "claim_id patient_id patient_name policy_number insurance_provider claim_type hospital_name admission_date discharge_date "
+                  "primary_diagnosis claimed_amount patient_signature_present",
+    "PRESCRIPTION": "patient_name patient_age doctor_name hospital_or_clinic prescription_date diagnosis follow_up_instructions "
+                    "doctor_signature_present medicines:6",
+    "DISCHARGE_SUMMARY": "patient_name patient_id hospital_name admission_date discharge_date attending_doctor primary_diagnosis clinical_summary "
+                         "procedures_performed:0 discharge_medications:0 follow_up_advice discharge_condition",
+    "HOSPITAL_INVOICE": "invoice_number claim_id patient_name patient_id hospital_name admission_date discharge_date diagnosis subtotal discount "
+                        "tax_amount invoice_total invoice_items:4",
+    "PHARMACY_INVOICE": "invoice_number claim_id patient_name pharmacy_name invoice_date prescribing_doctor invoice_total medicine_items:5",
+    "DIAGNOSTIC_REPORT": "patient_name patient_id laboratory_name ordering_doctor report_date diagnosis clinical_interpretation test_results:4",
+    "PAYMENT_RECEIPT": "receipt_number claim_id patient_name hospital_invoice_number pharmacy_invoice_number payment_date amount_paid "
+                       "payment_method transaction_reference payment_status",
+}
+
+
+def _catalog_rows():
+    for document_type, fields in _CATALOG.items():
+        for field in fields.split():
+            name, _, columns = field.partition(":")
+            kind = "string" if not columns else "array" if columns == "0" else "object"
+            yield f"('{document_type}', '{name}', '{kind}', {columns or 0})"
+
+
+ORACLES["template_field_catalog"] = _with(ORDERS, DOCS, VALUES) + f""",
+    catalog(document_type, field, kind, table_columns) AS (VALUES {', '.join(_catalog_rows())}),
+    renamed AS (SELECT *, t = 3 AND k % 6 = 0 AS other_names FROM vals WHERE NOT (t = 6 AND k % 16 = 0)),
+    filled AS (
+      SELECT document_type, unnest(list_filter([
+        CASE WHEN nm IS NOT NULL THEN 'patient_name' END,
+        CASE WHEN adm IS NOT NULL AND NOT other_names THEN 'admission_date' END, CASE WHEN dis IS NOT NULL AND NOT other_names THEN 'discharge_date' END,
+        CASE WHEN t = 1 THEN 'claim_id' END, CASE WHEN t = 1 THEN 'patient_id' END, CASE WHEN t = 1 THEN 'policy_number' END,
+        CASE WHEN t = 1 THEN 'claim_type' END, CASE WHEN t = 1 THEN 'claimed_amount' END, CASE WHEN t = 2 THEN 'medicines' END,
+        CASE WHEN t IN (4, 5) THEN 'invoice_total' END, CASE WHEN t = 5 THEN 'medicine_items' END, CASE WHEN t = 6 THEN 'laboratory_name' END,
+        CASE WHEN receipt IS NOT NULL THEN 'amount_paid' END], lambda x: x IS NOT NULL)) AS field
+      FROM renamed
+    )
+    SELECT catalog.document_type || '_V1' AS template_id, CAST(1 AS BIGINT) AS template_version, catalog.field, kind, CAST(table_columns AS BIGINT) AS table_columns,
+           count(filled.field) AS documents
+    FROM catalog LEFT JOIN filled ON filled.document_type = catalog.document_type AND filled.field = catalog.field
+    GROUP BY ALL"""
 ORACLES["stream_new_folders"] = ORACLES["new_folders"]
+
+# Folders without a usable claim form are not loaded; some documents of the loaded ones have no usable payload.
+_LOADED = "k % 97 <> 0 AND k % 89 <> 0 AND k % 101 <> 0 AND k % 103 <> 0"
+_USABLE = f"{_LOADED} AND NOT (t = 7 AND k % 77 = 0) AND NOT (t = 3 AND k % 83 = 0)"
+ORACLES["process_new_claims"] = _with(
+    ORDERS,
+    CLAIMS.replace("FROM o\n", f"FROM o WHERE {_LOADED}\n"),
+    DOCS.replace("WHERE t = 1 OR", f"WHERE {_USABLE} AND (t = 1 OR").replace("k % 29 <> 0)\n)", "k % 29 <> 0))\n)"),
+    VALUES, MEDICINES, FEATURES, *_result_ctes(),
+) + """
+    SELECT claim_id, recommendation AS claim_status, validation_category, validation_status, severity FROM results JOIN recommended USING (claim_id)"""

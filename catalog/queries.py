@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import normalize_folder, sanitize_name
+from claimweave.functions.variants import entries
 from claimweave.operators import extraction, intake, keyed, latest, medicines, review, runs
 from claimweave.plans import features, loading, validation
 from claimweave.sources import derived as D
@@ -107,8 +108,8 @@ def resolve_templates(spark, sf_dir):
 def template_field_catalog(spark, sf_dir):
     catalog = templates.field_catalog(templates.resolve_templates(templates.builtin_templates(spark)))
     newest = latest.latest_extractions(D.extractions(spark, sf_dir))
-    filled = newest.selectExpr("template_id", "variant_explode(extracted_response) AS (pos, field, value)").groupBy(
-        "template_id", "field"
+    filled = entries(newest.select("template_id", "extracted_response"), "extracted_response").groupBy(
+        "template_id", F.col("key").alias("field")
     ).agg(F.count(F.lit(1)).alias("documents"))
     rows = catalog.join(filled, ["template_id", "field"], "left")
     return rows.select(

@@ -1,6 +1,6 @@
 """Access to VARIANT payloads."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,8 @@ def is_object(value: Column) -> Column:
 def wrapped(field: str, value: Column) -> Column:
     """VARIANT object with one field."""
     return F.to_variant_object(F.struct(value.alias(field)))
+
+
+def entries(rows: DataFrame, payload: str) -> DataFrame:
+    """One row per key of an object, with the columns pos, key and value added."""
+    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(payload).outer()))

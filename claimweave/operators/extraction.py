@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.variants import is_object, text_at, texts_at, value_at, wrapped
+from claimweave.functions.variants import entries, is_object, texts_at, value_at, wrapped
 from claimweave.sources.templates import TABLES
 
 Extractor = Callable[[object, dict], dict]
@@ -124,11 +124,10 @@ def flatten_medicines(latest: DataFrame) -> DataFrame:
 
 def extraction_scores(extractions: DataFrame) -> DataFrame:
     """One row per scored field."""
-    scored = extractions.selectExpr(
-        "claim_id", "document_id", "document_type", "variant_explode(extraction_scoring) AS (pos, field, value)"
-    )
+    scored = entries(extractions.select("claim_id", "document_id", "document_type", "extraction_scoring"), "extraction_scoring")
     return scored.select(
-        "claim_id", "document_id", "document_type", "field", F.try_variant_get("value", "$", "double").alias("score")
+        "claim_id", "document_id", "document_type", F.col("key").alias("field"),
+        F.try_variant_get("value", "$", "double").alias("score"),
     )
 
 

@@ -297,8 +297,8 @@ def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.array_compact(F.array(
         F.when(_k() % 6 == 0, F.lit("notes.pdf")), F.when(_k() % 10 == 0, F.lit("readme.txt")), F.when(_k() % 33 == 0, F.lit("claim_form_copy.pdf")),
     ))
-    extras = orders(spark, sf_dir).filter(_k() % 97 != 0).select(
-        F.concat_ws("/", "folder", F.explode(extra)).alias("relative_path"), "d"
+    extras = orders(spark, sf_dir).filter(_k() % 97 != 0).withColumn("extra", F.explode(extra)).select(
+        F.concat_ws("/", "folder", "extra").alias("relative_path"), "d"
     )
     return kept.unionByName(extras).select(
         "relative_path", F.col("d").cast("timestamp_ntz").alias("modified_at"),

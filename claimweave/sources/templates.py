@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimweave.functions.variants import entries
 from claimweave.operators.latest import newest_per_key
 
 # Template descriptions.
@@ -125,11 +126,9 @@ def resolve_templates(templates: DataFrame) -> DataFrame:
 def field_catalog(templates: DataFrame) -> DataFrame:
     """One row per top-level template field with its kind."""
     properties = F.variant_get("response_format", "$.schema.properties", "variant")
-    fields = templates.withColumn("properties", properties).selectExpr(
-        "template_id", "template_version", "document_type", "variant_explode(properties) AS (pos, field, definition)"
-    )
+    fields = entries(templates.withColumn("properties", properties), "properties")
     return fields.select(
-        "template_id", "template_version", "document_type", "field",
-        F.try_variant_get("definition", "$.type", "string").alias("kind"),
-        F.size(F.try_variant_get("definition", "$.column_ordering", "array<string>")).alias("columns"),
+        "template_id", "template_version", "document_type", F.col("key").alias("field"),
+        F.try_variant_get("value", "$.type", "string").alias("kind"),
+        F.size(F.try_variant_get("value", "$.column_ordering", "array<string>")).alias("columns"),
     )
