@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import is_blank, sanitize_name
+from claimweave.operators.latest import newest_per_key
 from claimweave.operators.skew import hot_join
 from claimweave.vocabulary import CLASSIFIER_RULES, DOCUMENT_TYPES, OTHER, SUPPORTED_FILE
 
@@ -120,3 +121,13 @@ def check_submissions(submissions: DataFrame, files: DataFrame) -> DataFrame:
         F.when(reason.isNull(), folder).alias("folder"),
         F.coalesce("file_count", F.lit(0)).alias("file_count"),
     )
+
+
+def newest_changes(changes: DataFrame) -> DataFrame:
+    """Newest change of every path."""
+    return newest_per_key(changes, ["relative_path"], [F.col("modified_at").desc_nulls_last(), F.col("action")])
+
+
+def current_listing(changes: DataFrame) -> DataFrame:
+    """Directory listing out of a change log: what has not been deleted since."""
+    return newest_changes(changes).filter(F.col("action") != "DELETE")

@@ -46,3 +46,14 @@ def read_contents(spark: SparkSession, root: str) -> DataFrame:
     """Path and bytes of every file, for an extractor."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(relative_to(F.col("path"), root).alias("relative_path"), "content")
+
+
+def stream_change_log(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Changes from a log that the storage writes as JSON lines (relative_path, modified_at, size, action).
+
+    For stages with very many files: a directory stream has to list them all at every step, the log only its new part.
+    """
+    reader = spark.readStream.schema("relative_path string, modified_at timestamp_ntz, size long, action string")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(root)
