@@ -568,6 +568,7 @@ ORACLES["template_field_catalog"] = _with(ORDERS, DOCS, VALUES) + f""",
            count(filled.field) AS documents
     FROM catalog LEFT JOIN filled ON filled.document_type = catalog.document_type AND filled.field = catalog.field
     GROUP BY ALL"""
+ORACLES["unmatched_medicines_by_join"] = ORACLES["unmatched_medicines"]
 ORACLES["stream_new_folders"] = ORACLES["new_folders"]
 
 # Folders without a usable claim form are not loaded; some documents of the loaded ones have no usable payload.

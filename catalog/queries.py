@@ -7,6 +7,7 @@ from claimweave.functions.text import normalize_folder, sanitize_name
 from claimweave.functions.variants import entries
 from claimweave.operators import extraction, intake, keyed, latest, medicines, review, runs
 from claimweave.plans import features, loading, validation
+from claimweave.session import materialize
 from claimweave.sources import derived as D
 from claimweave.sources import templates
 from claimweave.streaming import process
@@ -278,8 +279,16 @@ def missing_documents(spark, sf_dir):
 @query
 def unmatched_medicines(spark, sf_dir):
     names = extraction.flatten_medicines(latest.latest_extractions(D.extractions(spark, sf_dir)))
-    distinct = medicines.distinct_medicines(names.select("claim_id", "side", "medicine"))
-    return medicines.unmatched_medicines(distinct).select("claim_id", "medicine")
+    distinct = materialize(medicines.distinct_medicines(names.select("claim_id", "side", "medicine")), "medicines")
+    return medicines.unmatched_medicines(distinct)
+
+
+@query
+def unmatched_medicines_by_join(spark, sf_dir):
+    """The form for claims with very many names, here for all claims."""
+    names = extraction.flatten_medicines(latest.latest_extractions(D.extractions(spark, sf_dir)))
+    distinct = materialize(medicines.distinct_medicines(names.select("claim_id", "side", "medicine")), "medicines")
+    return medicines.unmatched_by_join(distinct).select("claim_id", "medicine")
 
 
 @query

@@ -1,8 +1,8 @@
 """Purchased medicines without a prescribed counterpart.
 
 A purchased name matches when its key equals, contains or is contained in the key of a prescribed name of the same claim.
-`unmatched_in_row` compares the two lists of one claim inside its row; `unmatched_medicines` is the same rule as
-equality joins on substrings, for claims with too many names to compare pairwise.
+`unmatched_in_row` compares the two lists of one claim inside its row; `unmatched_by_join` is the same rule as equality
+joins on substrings, for claims with too many names to compare pairwise. `unmatched_medicines` picks per claim.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.text import name_key
 from claimweave.operators.skew import hot_join
+from claimweave.session import materialize
+from claimweave.vocabulary import MAX_VALUE_CHARS
+
+# Claims with more names, or longer ones in all, are matched by joins.
+MAX_NAMES = 10_000
 
 # Substrings longer than this are compared by digest, so that rows stay short.
 PLAIN_KEY_CHARS = 32
@@ -52,7 +57,7 @@ def _substrings(names: DataFrame, keep: list[str]) -> DataFrame:
     return sized.select(*keep, _digest(F.substring(F.col("key"), F.col("start"), F.col("size"))).alias("piece"))
 
 
-def unmatched_medicines(medicines: DataFrame) -> DataFrame:
+def unmatched_by_join(medicines: DataFrame) -> DataFrame:
     """Rows of `distinct_medicines` that were purchased and match nothing prescribed in the same claim.
 
     No pair of names is ever built: a name contains another when one of its substrings equals it, so both directions are
@@ -76,3 +81,30 @@ def unmatched_medicines(medicines: DataFrame) -> DataFrame:
     )
     matched = containing.unionByName(contained).distinct()
     return purchased.join(matched, ["claim_id", "key"], "left_anti")
+
+
+def unmatched_medicines(medicines: DataFrame, max_names: int = MAX_NAMES, max_chars: int = MAX_VALUE_CHARS) -> DataFrame:
+    """Purchased names without a match, each claim matched in the way that suits its size.
+
+    `medicines` (`distinct_medicines`) is counted first, so it should be a table.
+    """
+    sizes = medicines.groupBy("claim_id").agg(F.count(F.lit(1)).alias("names"), F.sum(F.length("medicine")).alias("chars"))
+    wide = sizes.filter((F.col("names") > max_names) | (F.col("chars") > max_chars))
+    if wide.isEmpty():
+        return _unmatched_by_row(medicines)
+    ids = materialize(wide.select("claim_id"), "wide-claims")
+
+    def pick(how: str) -> DataFrame:
+        return hot_join(medicines, ids, ["claim_id"], how, F.col("medicine"))
+
+    joined = unmatched_by_join(pick("left_semi")).select("claim_id", "medicine")
+    return _unmatched_by_row(pick("left_anti")).unionByName(joined)
+
+
+def _unmatched_by_row(medicines: DataFrame) -> DataFrame:
+    def names(side: str) -> Column:
+        return F.collect_list(F.when(F.col("side") == side, F.col("medicine"))).alias(side.lower())
+
+    lists = medicines.groupBy("claim_id").agg(names("PRESCRIBED"), names("PURCHASED"))
+    unmatched = unmatched_in_row(F.col("purchased"), F.col("prescribed"))
+    return lists.select("claim_id", F.explode(unmatched).alias("medicine"))

@@ -9,7 +9,7 @@ from claimweave.functions.parsing import parse_amount, parse_date
 from claimweave.functions.text import name_key
 from claimweave.functions.variants import text_at, texts_at
 from claimweave.operators.latest import newest_first, newest_per_key
-from claimweave.operators.medicines import distinct_medicines, unmatched_in_row, unmatched_medicines
+from claimweave.operators.medicines import distinct_medicines, unmatched_by_join, unmatched_in_row
 from claimweave.operators.skew import HOT_ROWS, hot_join_with
 from claimweave.session import materialize
 from claimweave.vocabulary import (
@@ -206,7 +206,7 @@ def _wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame) -
         F.count_if(F.col("side") == "PRESCRIBED").alias("prescribed_count"),
         F.count_if(F.col("side") == "PURCHASED").alias("purchased_count"),
     )
-    unmatched = unmatched_medicines(medicines)
+    unmatched = unmatched_by_join(medicines)
     unmatched_counts = unmatched.groupBy("claim_id").agg(F.count(F.lit(1)).alias("unmatched_count"))
 
     listed = documents.filter(short).groupBy("claim_id").agg(

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from claimweave.operators.medicines import distinct_medicines, unmatched_in_row, unmatched_medicines
+from claimweave.operators.medicines import distinct_medicines, unmatched_by_join, unmatched_in_row, unmatched_medicines
 
 
 def brute_force(rows):
@@ -35,7 +35,7 @@ def made_up_rows():
 def test_join_form_equals_brute_force(spark):
     rows = made_up_rows()
     frame = spark.createDataFrame(rows, "claim_id string, side string, medicine string")
-    found = {tuple(r) for r in unmatched_medicines(distinct_medicines(frame)).select("claim_id", "medicine").collect()}
+    found = {tuple(r) for r in unmatched_by_join(distinct_medicines(frame)).select("claim_id", "medicine").collect()}
     assert found == brute_force(rows) and found
 
 
@@ -48,3 +48,10 @@ def test_row_form_equals_brute_force(spark):
     )
     found = lists.select("claim_id", F.explode(unmatched_in_row(F.col("b"), F.col("a"))).alias("medicine"))
     assert {tuple(r) for r in found.collect()} == brute_force(rows)
+
+
+def test_sizes_decide_the_way_but_not_the_result(spark):
+    rows = made_up_rows()
+    names = distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
+    for limits in ({}, {"max_names": 5}, {"max_names": 0}, {"max_chars": 100}):
+        assert {tuple(r) for r in unmatched_medicines(names, **limits).collect()} == brute_force(rows), limits
