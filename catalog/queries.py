@@ -127,21 +127,21 @@ EXTRACTED_PATTERNS = {
 }
 
 
-def pattern_templates(spark: SparkSession, patterns: dict[str, str]) -> DataFrame:
-    """One template whose field descriptions are patterns."""
+def pattern_templates(languages: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """One template per language, with patterns as field descriptions."""
     properties = F.struct(*[
         F.struct(F.lit(pattern).alias("description"), F.lit("string").alias("type")).alias(field)
         for field, pattern in patterns.items()
     ])
     schema = F.struct(F.lit("object").alias("type"), properties.alias("properties")).alias("schema")
-    return spark.range(1).select(F.lit("PATTERNS").alias("template_id"), F.to_variant_object(F.struct(schema)).alias("response_format"))
+    return languages.select("template_id", F.to_variant_object(F.struct(schema)).alias("response_format"))
 
 
 @query
 def extract_fields(spark, sf_dir):
-    texts = D.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("PATTERNS").alias("template_id"))
+    texts = D.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("template_id"))
     payloads = extraction.extract_documents(
-        texts, pattern_templates(spark, EXTRACTED_PATTERNS), "doc_id", "text", extraction.pattern_extractor
+        texts, pattern_templates(texts.select("template_id").distinct(), EXTRACTED_PATTERNS), "doc_id", "text", extraction.pattern_extractor
     )
     split = extraction.split_envelope(payloads)
     fields = [F.try_variant_get("extracted_response", f"$.{name}", "string").alias(name) for name in EXTRACTED_PATTERNS]

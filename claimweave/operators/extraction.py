@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.variants import entries, is_object, texts_at, value_at, wrapped
+from claimweave.operators.skew import hot_join
 from claimweave.sources.templates import TABLES
 
 Extractor = Callable[[object, dict], dict]
@@ -31,10 +32,12 @@ def extract_documents(documents: DataFrame, templates: DataFrame, key: str, cont
     """Payload text per document, produced by a pluggable extractor on the executors.
 
     `documents` has `key`, `content` and template_id; `templates` holds one resolved version per id. A document whose
-    extractor raises gets an error payload; the others go on. Documents without a known template get no row.
+    extractor raises gets an error payload; the others go on. Documents without a known template get no row. Few
+    templates serve very many documents, so the documents of one template are spread over tasks.
     """
     formats = templates.select("template_id", F.to_json("response_format").alias("_format"))
-    asked = documents.select(key, content, "template_id").join(formats, "template_id").select(key, content, "_format")
+    wanted = documents.select(key, content, "template_id")
+    asked = hot_join(wanted, formats, ["template_id"], "inner", F.col(key)).select(key, content, "_format")
     key_type = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

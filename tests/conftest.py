@@ -13,7 +13,7 @@ from claimweave.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("claimweave-tests", "local[4]", 4)
+    session = build_session("claimweave-tests", "local[8]", 4)
     session.sparkContext.setLogLevel("ERROR")
     return session
 

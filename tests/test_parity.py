@@ -1,0 +1,39 @@
+"""Every registered query against its SQL twin, on whole tables, and a look at its plan."""
+
+from pathlib import Path
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
+
+SF_DIR = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="test tables are not here")
+
+
+@pytest.fixture(scope="module")
+def database():
+    connection = duckdb.connect()
+    for file in SF_DIR.glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    return connection
+
+
+def comparable(rows):
+    return sorted(rows, key=lambda row: tuple((value is None, str(value)) for value in row))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_same_as_sql(spark, database, name):
+    frame = QUERIES[name](spark, str(SF_DIR))
+    columns = sorted(frame.columns)
+    rows = [tuple(row[column] for column in columns) for row in frame.collect()]
+    result = database.execute(ORACLES[name])
+    order = [[d[0] for d in result.description].index(column) for column in columns]
+    assert len(order) == len(result.description)
+    assert comparable(rows) == comparable([tuple(row[i] for i in order) for row in result.fetchall()])
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
