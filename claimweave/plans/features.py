@@ -21,7 +21,7 @@ from claimweave.vocabulary import (
 )
 
 # Claims with more name pairs than this are matched by joins instead of inside their row.
-MAX_PAIRS = 100_000_000
+MAX_PAIRS = 10_000_000
 
 NO_NAME = "NOT EXTRACTED"
 

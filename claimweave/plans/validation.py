@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import stable_id
+from claimweave.operators.skew import hot_join
 from claimweave.plans.features import (
     COUNTS,
     LISTS,
@@ -319,6 +320,23 @@ def validate_claims(
     return result_rows(judged_claims(features, tolerance), tolerance)
 
 
+def validate_requested(
+    requested: DataFrame, claims: DataFrame, documents: DataFrame, extractions: DataFrame, limits: Limits = Limits()
+) -> DataFrame:
+    """Result rows of the claims in `requested` (claim_id); `validation_requests` tells which ids are unknown."""
+    ids = requested.select("claim_id").distinct()
+
+    def wanted(rows: DataFrame, spread_by: Column) -> DataFrame:
+        return hot_join(rows, ids, ["claim_id"], "left_semi", spread_by, limits.hot_rows)
+
+    return validate_claims(
+        claims.join(ids, "claim_id", "left_semi"),
+        wanted(documents, F.col("relative_path")),
+        wanted(extractions, F.col("document_id")),
+        limits=limits,
+    )
+
+
 def stamped(results: DataFrame, as_of: Column) -> DataFrame:
     """Result rows with id and time, ready to be stored."""
     ids = stable_id(F.col("claim_id"), F.col("validation_category"))

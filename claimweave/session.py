@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+# Paths written in the innermost open `scratch_scope`.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialize(rows: DataFrame, purpose: str) -> DataFrame:
     """Writes rows to the shared scratch folder and reads them back.
 
@@ -38,4 +44,20 @@ def materialize(rows: DataFrame, purpose: str) -> DataFrame:
     """
     path = scratch_dir(rows.sparkSession, purpose)
     rows.write.parquet(path)
+    if _written.get() is not None:
+        _written.get().append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes what was materialized inside, for work whose results are stored elsewhere when it ends."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

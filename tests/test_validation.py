@@ -124,7 +124,7 @@ MEDICINES = {
 }
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(pairs=0), Limits(value_chars=10), Limits(value_chars=10, hot_rows=1)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(pairs=0), Limits(value_chars=10, hot_rows=1)])
 def test_medicines(make_claims, make_extractions, limits):
     claims = make_claims([(c, "x", None) for c in MEDICINES])
     rows = extractions_of(make_extractions, {c: case[0] for c, case in MEDICINES.items()})
@@ -187,9 +187,10 @@ def test_evidence_holds_what_listings_hold(everything):
 def test_one_claim_at_a_time_gives_the_same(everything):
     claims, documents, extractions = everything
     together = validation.validate_claims(claims, documents, extractions)
-    for claim in ("F:claim off", "M:unmatched", "hot"):
-        own = [frame.filter(F.col("claim_id") == claim) for frame in (claims, documents, extractions)]
-        assert comparable(validation.validate_claims(*own)) == comparable(together.filter(F.col("claim_id") == claim))
+    for claim in ("F:claim off", "hot"):
+        asked = claims.select("claim_id").filter(F.col("claim_id") == claim)
+        own = validation.validate_requested(asked, claims, documents.withColumn("relative_path", F.uuid()), extractions)
+        assert comparable(own) == comparable(together.filter(F.col("claim_id") == claim))
 
 
 def test_consolidation(spark, everything):
