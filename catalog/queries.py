@@ -1,6 +1,6 @@
 """Registered queries: every operator over whole tables. Each takes (spark, sf_dir) and returns a DataFrame."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import normalize_folder, sanitize_name
@@ -265,7 +265,9 @@ def claim_headers(spark, sf_dir):
 
 @query
 def folder_load_summary(spark, sf_dir):
-    return loading.load_folders(D.folder_files(spark, sf_dir), D.folder_payloads(spark, sf_dir), day("2024-01-31")).summary
+    """Only the outcome is asked for, so the extraction rows are not stored on the way."""
+    files, payloads = D.folder_files(spark, sf_dir), D.folder_payloads(spark, sf_dir)
+    return loading.load_folders(files, payloads, day("2024-01-31"), store=lambda rows: rows).summary
 
 
 # --- validation -----------------------------------------------------------------------------------------------------

@@ -60,7 +60,7 @@ def latest_fields(extractions: DataFrame) -> DataFrame:
     )
     newest = newest_per_key(typed, ["claim_id", "document_id"], newest_first("extracted_at", "extraction_id"))
     room = (
-        F.length("document_type") + F.length(F.coalesce("patient_name", F.lit(NO_NAME))) + 5
+        F.length(F.coalesce("document_type", F.lit(""))) + F.length(F.coalesce("patient_name", F.lit(NO_NAME))) + 5
         + F.coalesce(_chars(F.col("prescribed")), F.lit(0)) + F.coalesce(_chars(F.col("purchased")), F.lit(0))
     )
     return newest.drop("extraction_id", "extracted_at").withColumns({

@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from claimweave.operators import latest
 from claimweave.plans import features, validation
