@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from claimweave.llm import token_counts, token_store
+from claimweave.llm import pii, token_counts, token_store
 from claimweave.llm.common import documents
 from claimweave.session import scratch_dir
 
@@ -25,3 +25,8 @@ def op8_elias_fano_store(spark, sf_dir):
     path = scratch_dir(spark, "token-store")
     token_store.write_token_store(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_store.ids_crc32(token_store.read_token_store(spark, path))
+
+
+@query
+def op9_deobfuscated_pii(spark, sf_dir):
+    return pii.personal_data(documents(spark, sf_dir))
