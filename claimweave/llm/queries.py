@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from claimweave.llm import pii, quality_rules, token_counts, token_store
+from claimweave.llm import pii, quality_classifier, quality_rules, token_counts, token_store
 from claimweave.llm.common import documents
 from claimweave.session import scratch_dir
 
@@ -24,6 +24,11 @@ def op2_isolation_rules(spark, sf_dir):
     return quality_rules.judge_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+@query
+def op3_attention_mil(spark, sf_dir):
+    return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 @query
 def op4_two_tier_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
