@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from claimweave.llm import pii, quality_classifier, quality_rules, token_counts, token_store
+from claimweave.llm import pii, quality_classifier, quality_rules, simhash, token_counts, token_store
 from claimweave.llm.common import documents
 from claimweave.session import scratch_dir
 
@@ -34,6 +34,11 @@ def op4_two_tier_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op6_covering_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op8_elias_fano_store(spark, sf_dir):
     path = scratch_dir(spark, "token-store")
