@@ -1,11 +1,15 @@
 """The operators of this subpackage as registered queries, with production parameters, and their DuckDB twins."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from claimweave.llm import pii, quality_classifier, quality_rules, simhash, token_counts, token_store
+from claimweave.llm import decontamination, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_store
 from claimweave.llm.common import documents
 from claimweave.session import scratch_dir
 
+# Parameters that a query shares with its twin.
+MIX_EPOCHS, MIX_SEED = 1.0, 11
+
 QUERIES = {}
 ORACLES = {}
 
@@ -19,6 +23,10 @@ def labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 @query
 def op2_isolation_rules(spark, sf_dir):
     return quality_rules.judge_rules(documents(spark, sf_dir), labels(spark, sf_dir))
@@ -34,6 +42,12 @@ def op4_two_tier_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op5_poisson_mixing(spark, sf_dir):
+    mixed = mixing.mix_sources(documents(spark, sf_dir), weights=None, epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return mixed.select("doc_id", "source", "n_copies", "copy", F.round("position", 12).alias("position"), "text")
+
+
 @query
 def op6_covering_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -49,3 +63,8 @@ def op8_elias_fano_store(spark, sf_dir):
 @query
 def op9_deobfuscated_pii(spark, sf_dir):
     return pii.personal_data(documents(spark, sf_dir))
+
+
+@query
+def op10_containment_search(spark, sf_dir):
+    return decontamination.contained_items(documents(spark, sf_dir), benchmark(spark, sf_dir))
