@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontamination, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_store
+from claimweave.llm import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_store
 from claimweave.llm.common import documents
 from claimweave.session import scratch_dir
 
@@ -27,6 +27,11 @@ def benchmark(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+@query
+def op1_fuzzy_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 @query
 def op2_isolation_rules(spark, sf_dir):
     return quality_rules.judge_rules(documents(spark, sf_dir), labels(spark, sf_dir))
