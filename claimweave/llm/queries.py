@@ -3,7 +3,18 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, token_store
+from claimweave.llm import (
+    decontamination,
+    language_model,
+    line_dedup,
+    mixing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_store,
+)
 from claimweave.llm.common import documents
 from claimweave.session import scratch_dir
 
@@ -58,6 +69,11 @@ def op6_covering_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op7_maxent_lm(spark, sf_dir):
+    return language_model.score_texts(documents(spark, sf_dir))
+
+
 @query
 def op8_elias_fano_store(spark, sf_dir):
     path = scratch_dir(spark, "token-store")
