@@ -195,3 +195,18 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     doc_id, text and quality are read, whatever other columns there are.
     """
     return score(docs, train(docs, labels, sample_rows))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, accept: float = ACCEPT) -> DataFrame:
+    """The rows of `docs`, with all their columns, that the classifier predicts to be good. Rows stay in their tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    at = docs.columns.index("text")
+
+    def kept(batches):
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).fill_null(b"")
+            for part, some in slices(pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], ["text", "i"]), "text", _SLICE_BYTES):
+                good = np.round(shared.value.scores(*passages(some)), 6) >= accept
+                yield batch.slice(part.column(1)[0].as_py(), len(part)).filter(pa.array(good))
+
+    return docs.mapInArrow(kept, docs.schema)
