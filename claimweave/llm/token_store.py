@@ -21,7 +21,7 @@ from claimweave.llm.common import slices, text_bytes
 #: A block is closed when it has so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
 SAMPLE_EVERY = 256
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 
 BLOCKS = (
     "part int, block int, part_offset long, n_docs int, n_ids long, doc_ids array<bigint>, "
@@ -77,57 +77,89 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) | low
 
 
+class _Ids(dict):
+    """Ids by word, as bytes, in two generations: when the young one is full, it becomes the old one, and what is
+    asked for again moves back. Its size is bounded, and frequent words stay."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.find(word)
+        self[word] = ids
+        return ids
+
+
+def _plain(core: str) -> bool:
+    """Whether these are letters that stay one letter each when normalised and lower-cased."""
+    return core.isalpha() and (core.isascii() or max(core) <= "ÿ")
+
+
 class _Encoder:
     """Ids of a text by its words. White space separates words and has no ids, so a word's ids do not depend on others.
 
-    Words that the cache lacks are encoded many at a time, with a special token between them that the library cuts out
-    before it does anything else.
+    A word of plain letters with marks after them has two pre-tokens, which go to the tokenizer's merge model by themselves; any
+    other word goes through the whole tokenizer. Both assumptions are tried out when a tokenizer is loaded; where they do not
+    hold, whole texts are encoded.
     """
 
+    MARKS = ".,;:!?"
+    LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[bytes, bytes] = {}
-        self.by_word = bool(self.special) and all(self._by_word(p) for p in (b"a b", b"a\n\tb", b"a\x0b\x0c\rb", b"  a. 'b  "))
-
-    def ids(self, text: bytes) -> list[int]:
+        self.words = _Ids(self._find)
+        self.by_word = all(self._by_word(p) for p in (b"a b", b"a\n\tb", b"a\x0b\x0c\rb", b"  a. 'b  ", b"A.b c"))
+        self.written = {}
+        if self.by_word and self.tokenizer.pre_tokenizer is not None:
+            letters = sorted(set(self.LETTERS.lower()))
+            found = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in letters}
+            self.written = str.maketrans({c: p[0][0] for c, p in found.items() if len(p) == 1})
+            probes = [*self.LETTERS, self.LETTERS, "THing", "élan", "Straße", "word.", "a,b", "x!!", "o.k.", "naïve?", *self.MARKS]
+            if any(self._letters(p) not in (None, self._ids(p.encode())) for p in probes):
+                self.written = {}
+
+    def _ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
     def _by_word(self, probe: bytes) -> bool:
-        return self.ids(probe) == [i for w in probe.split() for i in self.ids(w)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        mark, mark_id = next(iter(self.special.items()))
-        plain = []
-        for word in words:
-            if any(s in word for s in self.special):
-                self.cache[word] = np.array(self.ids(word), self.dtype).tobytes()
-            else:
-                plain.append(word)
-        for first in range(0, len(plain), 512):
-            some = plain[first : first + 512]
-            ids = np.array(self.ids(mark.join(some)), self.dtype)
-            ends = [*np.flatnonzero(ids == mark_id), len(ids)]
-            start = 0
-            for word, end in zip(some, ends, strict=True):
-                self.cache[word] = ids[start:end].tobytes()
-                start = end + 1
+        return self._ids(probe) == [i for w in probe.split() for i in self._ids(w)]
+
+    def _letters(self, word: str) -> list[int] | None:
+        """Ids of letters of the first 256 characters with marks after them; None for other words."""
+        core = word.rstrip(self.MARKS)
+        if not _plain(core):
+            return None
+        ids = [t.id for t in self.model.tokenize(core.lower().translate(self.written))]
+        return ids + [t.id for t in self.model.tokenize(word[len(core) :])] if len(core) < len(word) else ids
+
+    def _find(self, word: bytes) -> bytes:
+        if self.written:
+            text = word.decode()
+            core = text.rstrip(self.MARKS)
+            if len(core) < len(text) and _plain(core):  # so that letters are merged once, whatever follows them
+                tail = word[len(core.encode()) :]
+                return self.words[word[: -len(tail)]] + self.words[tail]
+            if (ids := self._letters(text)) is not None:
+                return np.array(ids, self.dtype).tobytes()
+        return np.array(self._ids(word), self.dtype).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return [np.array(self.ids(t), self.dtype).tobytes() for t in texts]
-        words = [t.split() for t in texts]
-        new = set().union(*words) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache = {}
-            new = set().union(*words)
-        self._learn(list(new))
-        return [b"".join(map(self.cache.__getitem__, w)) for w in words]
+            return [np.array(self._ids(t), self.dtype).tobytes() for t in texts]
+        return [b"".join(map(self.words.__getitem__, t.split())) for t in texts]
 
 
 @lru_cache(maxsize=2)
