@@ -40,9 +40,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: floa
     else:
         named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_source string, weight double")
         weighed = sources.join(named, F.col("source").cast("string").eqNullSafe(F.col("_source")), "left").drop("_source").na.fill({"weight": 0.0})
-    sums = weighed.agg(F.sum("n_chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    rate = F.lit(float(epochs)) * F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("n_chars")
-    rated = weighed.where("weight > 0").crossJoin(F.broadcast(sums)).withColumn("rate", rate)  # one row on that side
+    weighed = materialize(weighed, "sources")
+    sums = weighed.agg(F.sum("n_chars").alias("chars"), F.sum("weight").alias("weight")).first()
+    rate = F.lit(float(epochs)) * F.col("weight") / F.lit(sums.weight) * F.lit(sums.chars) / F.col("n_chars")
+    rated = weighed.where("weight > 0").withColumn("rate", rate)
     rated = rated.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int"))
     mean = F.col("rate") / F.col("parts")
     # Probability of k from that of k - 1; the running sums are the table.

@@ -1,0 +1,70 @@
+import hashlib
+import math
+from collections import Counter
+
+import pytest
+
+from claimweave.llm import mixing
+
+
+def uniform(*parts):
+    text = ":".join("" if p is None else str(p) for p in parts)
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+
+
+def brute(docs, weights=None, epochs=1.0, seed=11):
+    """Copies by row, as (doc_id, source, copy) counts, from (doc_id, text, source) rows."""
+    size = lambda t: max(1, len(t or ""))
+    chars = Counter()
+    for _, text, source in docs:
+        chars[source] += size(text)
+    weight = {s: 1.0 if weights is None else float(weights.get(s, 0)) for s in chars}
+    copies = Counter()
+    for doc_id, _, source in docs:
+        if not weight[source]:
+            continue
+        rate = epochs * weight[source] / sum(weight.values()) * sum(chars.values()) / chars[source]
+        parts = max(1, math.ceil(rate / 8))
+        n = 0
+        for part in range(1, parts + 1):
+            u, k, p = uniform(seed, doc_id, part), 0, math.exp(-rate / parts)
+            upto = p
+            while upto <= u and k < 59:
+                k += 1
+                p *= rate / parts / k
+                upto += p
+            n += k
+        for copy in range(1, n + 1):
+            copies[doc_id, source, copy] += 1
+    return copies
+
+
+@pytest.mark.parametrize(("weights", "epochs"), [(None, 1.0), (None, 7.5), ({"a": 1, "b": 3}, 2.0), ({"rare": 1, "a": 1}, 1.0)])
+def test_same_as_brute_force(make_docs, weights, epochs):
+    docs = [(i, "x" * (i % 50), "a" if i % 3 else "b") for i in range(300)] + [(500 + i, "text", None) for i in range(5)] + [(600, "y" * 30, "rare"), (600, None, "rare"), (None, "", "a")]
+    found = mixing.mix_sources(make_docs(docs), weights, epochs)
+    assert found.columns == ["doc_id", "text", "source", "row", "score", "fp", "n", "n_copies", "copy", "position"] or set(found.columns) >= {"n_copies", "copy", "position"}
+    rows = found.collect()
+    assert Counter((r.doc_id, r.source, r.copy) for r in rows) == brute(docs, weights, epochs)
+    places = [r.position for r in rows]
+    assert places == sorted(places) and all(r.position == uniform(11, "place", r.doc_id, r.copy) for r in rows)
+
+
+def test_totals_meet_their_targets(make_docs):
+    docs = [(i, "x" * 40, "big" if i % 10 else "small") for i in range(6000)]
+    counts = Counter(r.source for r in mixing.mix_sources(make_docs(docs), {"big": 1, "small": 1}).collect())
+    assert abs(counts["big"] - 3000) < 5 * 3000**0.5 and abs(counts["small"] - 3000) < 5 * 3000**0.5
+
+
+def test_sources_joined_by_shuffling(make_docs, monkeypatch):
+    docs = [(i, "x" * (i % 50), "ab"[i % 2]) for i in range(100)]
+    expected = sorted(mixing.mix_sources(make_docs(docs)).collect(), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(mixing.mix_sources(make_docs(docs)).collect(), key=str) == expected
+
+
+def test_clashing_names_and_empty_table(spark, make_docs):
+    docs = spark.createDataFrame([(1, "t", "s", "mine", 5, 0.5)], "doc_id long, text string, source string, copy string, n_copies int, position double")
+    assert {(r.copy, r.n_copies) for r in mixing.mix_sources(docs, None, 3.0).collect()} <= {(c, n) for n in range(1, 30) for c in range(1, n + 1)}
+    assert mixing.mix_sources(make_docs([])).collect() == []
+    assert mixing.mix_sources(make_docs([(1, "x", "a")]), {}).collect() == []

@@ -1,0 +1,65 @@
+import zlib
+
+import numpy as np
+
+from claimweave.llm import quality_classifier as qc
+
+
+def test_vectors_depend_on_the_text_alone():
+    texts = [b"", b"a", b"some words of a text " * 60, "é東ß ".encode() * 300, b"x", b"!!! THE END !!! " * 100]
+    vectors, counts = qc.passages(texts)
+    assert counts.tolist() == [1, 1, 3, 5, 1, 4] and (vectors[0] == 0).all()
+    assert np.array_equal(vectors, np.concatenate([qc.passages([t])[0] for t in texts]))
+
+
+def test_gradient():
+    random = np.random.default_rng(1)
+    counts = np.array([3, 1, 5])
+    x, y = random.normal(size=(9, 6)), np.array([1.0, 0.0, 1.0])
+    w = {"encode": random.normal(size=(6, 4)), "encode_bias": random.normal(size=4), "tanh": random.normal(size=(4, 3)), "gate": random.normal(size=(4, 3)),
+         "energy": random.normal(size=3), "score": random.normal(size=4), "score_bias": np.zeros(1)}
+
+    def loss():
+        p = qc._sigmoid(qc._forward(w, x, counts)["logit"])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    f = qc._forward(w, x, counts)
+    grads = qc._gradient(w, f, counts, qc._sigmoid(f["logit"]) - y)
+    for name, value in w.items():
+        at = tuple(0 for _ in value.shape)
+        value[at] += 1e-5
+        above = loss()
+        value[at] -= 2e-5
+        below = loss()
+        value[at] += 1e-5
+        assert abs((above - below) / 2e-5 - grads[name][at]) < 1e-5, name
+
+
+def test_held_out_accuracy(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf('sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    found = {r.doc_id: r for r in qc.classify(docs, labels).collect()}
+    assert len(found) == docs.count()
+    for i, r in found.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1
+    held = [(found[r.doc_id].predicted, r.quality) for r in labels.collect() if found[r.doc_id].held_out]
+    assert np.mean([p for p, q in held if q == 1]) > 0.99 and np.mean([p for p, q in held if q == 0]) < 0.1
+    good = {r.doc_id for r in qc.accepted(docs, labels).select("doc_id").collect()}
+    assert good == {i for i, r in found.items() if r.predicted}
+
+
+def test_held_out_labels_are_not_read(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf('sf0.001')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, 1 - r.quality if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 else r.quality) for r in labels.collect()]
+    turned = spark.createDataFrame(rows, "doc_id long, quality int")
+    assert sorted(qc.classify(docs, labels).collect()) == sorted(qc.classify(docs, turned).collect())
+
+
+def test_odd_rows(spark, make_docs, odd_rows):
+    docs = make_docs(odd_rows)
+    for labels in ([], [(1, None), (None, 1), (99, 0)], [(1, 1), (3, 0), (3, 1), (7, 1), (4, 0), (8, 1)]):
+        found = qc.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        assert len(found) == len(odd_rows) and all(0 <= r.score <= 1 for r in found) and all(r.held_out for r in found if r.doc_id is None)
+        assert len({r.score for r in found if r.doc_id in (3, 4)}) == 1 and len({r.score for r in found if r.doc_id == 7}) == 1
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert qc.classify(make_docs([]), labels).collect() == []
+    assert qc.accepted(docs, labels).columns == docs.columns
