@@ -11,24 +11,28 @@ from pyspark.sql import functions as F
 from claimweave.functions.text import name_key
 from claimweave.operators.skew import hot_join
 from claimweave.session import materialize
-from claimweave.vocabulary import MAX_VALUE_CHARS
 
-# Claims with more names, or longer ones in all, are matched by joins.
-MAX_NAMES = 10_000
+# Claims with more pairs of names than this are matched by joins instead of inside their row.
+MAX_PAIRS = 10_000_000
 
 # Substrings longer than this are compared by digest, so that rows stay short.
 PLAIN_KEY_CHARS = 32
 
 
+def _bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` looks at it for the elements of a list."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unmatched_in_row(purchased: Column, prescribed: Column) -> Column:
-    """Names in `purchased` that match nothing in `prescribed`; both are arrays of distinct texts."""
+    """Names in `purchased` that match nothing in `prescribed`; both are arrays of distinct texts. Each key is made once."""
     keys = F.array_distinct(F.transform(prescribed, name_key))
+    named = F.transform(purchased, lambda name: F.struct(name.alias("name"), name_key(name).alias("key")))
 
-    def matched(name: Column) -> Column:
-        key = name_key(name)
-        return F.exists(keys, lambda other: key.contains(other) | other.contains(key))
+    def left_over(others: Column) -> Column:
+        return F.filter(named, lambda own: ~F.exists(others, lambda other: own["key"].contains(other) | other.contains(own["key"])))
 
-    return F.filter(purchased, lambda name: ~matched(name))
+    return F.transform(_bound(keys, left_over), lambda own: own["name"])
 
 
 def distinct_medicines(flattened: DataFrame) -> DataFrame:
@@ -50,46 +54,52 @@ def _with_lengths(names: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _substrings(names: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per name and substring that has one of the wanted lengths."""
+    """One row per name and substring that has one of the wanted lengths. The names themselves stay behind.
+
+    Keys are ASCII, so bytes are characters, and a piece is found without counting from the start of a long name.
+    """
     chars = F.length("key")
-    starts = names.withColumn("start", F.explode(F.sequence(F.lit(1), F.greatest(chars, F.lit(1)))))
-    sized = starts.withColumn("size", F.explode("lengths")).filter(F.col("start") + F.col("size") <= chars + 1)
-    return sized.select(*keep, _digest(F.substring(F.col("key"), F.col("start"), F.col("size"))).alias("piece"))
+    sized = names.withColumn("_bytes", F.col("key").cast("binary")).withColumn("size", F.explode(F.filter("lengths", lambda size: size <= chars)))
+    starts = sized.withColumn("start", F.explode(F.sequence(F.lit(1), F.greatest(chars - F.col("size") + 1, F.lit(1)))))
+    return starts.select(*keep, _digest(F.substring("_bytes", F.col("start"), F.col("size")).cast("string")).alias("piece"))
 
 
 def unmatched_by_join(medicines: DataFrame) -> DataFrame:
     """Rows of `distinct_medicines` that were purchased and match nothing prescribed in the same claim.
 
     No pair of names is ever built: a name contains another when one of its substrings equals it, so both directions are
-    semi-joins on (claim, text). A name yields at most length x distinct lengths substrings.
+    semi-joins on (claim, text). A name yields at most length x distinct lengths substrings, each a short row with a digest of the name.
     """
-    purchased = medicines.filter(F.col("side") == "PURCHASED").drop("side")
+    purchased = medicines.filter(F.col("side") == "PURCHASED").drop("side").withColumn("_id", F.md5("key"))
     prescribed = medicines.filter(F.col("side") == "PRESCRIBED").select("claim_id", "key").distinct()
-    purchased_keys = purchased.select("claim_id", "key").distinct()
+    purchased_keys = purchased.select("claim_id", "key", "_id").distinct()
 
     wanted = prescribed.select("claim_id", _digest(F.col("key")).alias("piece"))
     containing = (
-        _substrings(_with_lengths(purchased_keys, prescribed), ["claim_id", "key"])
+        _substrings(_with_lengths(purchased_keys, prescribed), ["claim_id", "_id"])
         .join(wanted, ["claim_id", "piece"], "left_semi")
-        .select("claim_id", "key")
+        .select("claim_id", "_id")
     )
     pieces = _substrings(_with_lengths(prescribed, purchased_keys), ["claim_id"]).distinct()
     contained = (
-        purchased_keys.withColumn("piece", _digest(F.col("key")))
+        purchased_keys.select("claim_id", "_id", _digest(F.col("key")).alias("piece"))
         .join(pieces, ["claim_id", "piece"], "left_semi")
-        .select("claim_id", "key")
+        .select("claim_id", "_id")
     )
     matched = containing.unionByName(contained).distinct()
-    return purchased.join(matched, ["claim_id", "key"], "left_anti")
+    return purchased.join(matched, ["claim_id", "_id"], "left_anti").drop("_id")
 
 
-def unmatched_medicines(medicines: DataFrame, max_names: int = MAX_NAMES, max_chars: int = MAX_VALUE_CHARS) -> DataFrame:
+def unmatched_medicines(medicines: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """Purchased names without a match, each claim matched in the way that suits its size.
 
     `medicines` (`distinct_medicines`) is counted first, so it should be a table.
     """
-    sizes = medicines.groupBy("claim_id").agg(F.count(F.lit(1)).alias("names"), F.sum(F.length("medicine")).alias("chars"))
-    wide = sizes.filter((F.col("names") > max_names) | (F.col("chars") > max_chars))
+    prescribed = F.col("side") == "PRESCRIBED"
+    sizes = medicines.groupBy("claim_id").agg(
+        F.count_if(prescribed).cast("double").alias("prescribed"), F.count_if(~prescribed).cast("double").alias("purchased")
+    )
+    wide = sizes.filter(F.col("prescribed") * F.col("purchased") > max_pairs)
     if wide.isEmpty():
         return _unmatched_by_row(medicines)
     ids = materialize(wide.select("claim_id"), "wide-claims")

@@ -9,28 +9,27 @@ from claimweave.functions.parsing import parse_amount, parse_date
 from claimweave.functions.text import name_key
 from claimweave.functions.variants import text_at, texts_at
 from claimweave.operators.latest import newest_first, newest_per_key
-from claimweave.operators.medicines import distinct_medicines, unmatched_by_join, unmatched_in_row
+from claimweave.operators.medicines import MAX_PAIRS, distinct_medicines, unmatched_by_join, unmatched_in_row
 from claimweave.operators.skew import HOT_ROWS, hot_join_with
 from claimweave.session import materialize
 from claimweave.vocabulary import (
     ADMISSION_ALIASES,
     DATED_TYPES,
     DISCHARGE_ALIASES,
-    MAX_VALUE_CHARS,
     REQUIRED_TYPES,
 )
 
-# Claims with more name pairs than this are matched by joins instead of inside their row.
-MAX_PAIRS = 10_000_000
+# What a pass over the extractions is asked for.
+NAMES, DATES, AMOUNTS, MEDICINES = PARTS = ("names", "dates", "amounts", "medicines")
+MEDICINE_TYPES = ("PRESCRIPTION", "PHARMACY_INVOICE")
 
 NO_NAME = "NOT EXTRACTED"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """When a claim is too wide to be handled inside one row."""
+    """When a claim is too wide to be matched inside one row. The way changes, the result does not."""
 
-    value_chars: int = MAX_VALUE_CHARS
     pairs: int = MAX_PAIRS
     hot_rows: int = HOT_ROWS
 
@@ -39,92 +38,91 @@ def _for_type(kind: str, value: Column) -> Column:
     return F.when(F.col("document_type") == kind, value)
 
 
-def latest_fields(extractions: DataFrame) -> DataFrame:
-    """Typed fields of the newest successful extraction of every document.
+def latest_fields(extractions: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Typed fields of the newest successful extraction of every document, only those that `parts` needs.
 
-    Payloads are read before the shuffle, so only typed columns move. `chars` bounds the room a document takes in the
-    listings of its claim, the row counts its number of medicines.
+    Payloads are read before the shuffle, so only typed columns move. Where dates or medicines alone are asked for, documents
+    of other types are left out before the newest row is chosen.
     """
     response = F.col("extracted_response")
     dated = F.col("document_type").isin(*DATED_TYPES)
-    typed = extractions.filter(F.col("extraction_status") == "EXTRACTED").select(
-        "claim_id", "document_id", "document_type", "extraction_id", "extracted_at",
-        text_at(response, "patient_name").alias("patient_name"),
-        F.when(dated, parse_date(*[text_at(response, name) for name in ADMISSION_ALIASES])).alias("admission_date"),
-        F.when(dated, parse_date(*[text_at(response, name) for name in DISCHARGE_ALIASES])).alias("discharge_date"),
-        _for_type("HOSPITAL_INVOICE", parse_amount(text_at(response, "invoice_total"))).alias("hospital_amount"),
-        _for_type("PHARMACY_INVOICE", parse_amount(text_at(response, "invoice_total"))).alias("pharmacy_amount"),
-        _for_type("PAYMENT_RECEIPT", parse_amount(text_at(response, "amount_paid"))).alias("receipt_amount"),
-        _for_type("PRESCRIPTION", texts_at(response, "medicines.medicine_name")).alias("prescribed"),
-        _for_type("PHARMACY_INVOICE", texts_at(response, "medicine_items.medicine_name")).alias("purchased"),
+    fields = {
+        NAMES: [text_at(response, "patient_name").alias("patient_name")],
+        DATES: [
+            F.when(dated, parse_date(*[text_at(response, name) for name in ADMISSION_ALIASES])).alias("admission_date"),
+            F.when(dated, parse_date(*[text_at(response, name) for name in DISCHARGE_ALIASES])).alias("discharge_date"),
+        ],
+        AMOUNTS: [
+            _for_type("HOSPITAL_INVOICE", parse_amount(text_at(response, "invoice_total"))).alias("hospital_amount"),
+            _for_type("PHARMACY_INVOICE", parse_amount(text_at(response, "invoice_total"))).alias("pharmacy_amount"),
+            _for_type("PAYMENT_RECEIPT", parse_amount(text_at(response, "amount_paid"))).alias("receipt_amount"),
+        ],
+        MEDICINES: [
+            _for_type("PRESCRIPTION", texts_at(response, "medicines.medicine_name")).alias("prescribed"),
+            _for_type("PHARMACY_INVOICE", texts_at(response, "medicine_items.medicine_name")).alias("purchased"),
+        ],
+    }
+    done = extractions.filter(F.col("extraction_status") == "EXTRACTED")
+    only = {(DATES,): DATED_TYPES, (MEDICINES,): MEDICINE_TYPES}.get(tuple(parts))
+    if only:
+        done = done.filter(F.col("document_type").isin(*only))
+    typed = done.select(
+        "claim_id", "document_id", "document_type", "extraction_id", "extracted_at", *[field for part in parts for field in fields[part]]
     )
-    newest = newest_per_key(typed, ["claim_id", "document_id"], newest_first("extracted_at", "extraction_id"))
-    room = (
-        F.length(F.coalesce("document_type", F.lit(""))) + F.length(F.coalesce("patient_name", F.lit(NO_NAME))) + 5
-        + F.coalesce(_chars(F.col("prescribed")), F.lit(0)) + F.coalesce(_chars(F.col("purchased")), F.lit(0))
-    )
-    return newest.drop("extraction_id", "extracted_at").withColumns({
-        "chars": room.cast("long"),
-        "prescribed_rows": F.greatest(F.size("prescribed"), F.lit(0)),
-        "purchased_rows": F.greatest(F.size("purchased"), F.lit(0)),
+    newest = newest_per_key(typed, ["claim_id", "document_id"], newest_first("extracted_at", "extraction_id")).drop("extraction_id", "extracted_at")
+    if MEDICINES not in parts:
+        return newest
+    return newest.withColumns({
+        "prescribed_rows": F.greatest(F.size("prescribed"), F.lit(0)), "purchased_rows": F.greatest(F.size("purchased"), F.lit(0)),
     })
 
 
-def stored_fields(extractions: DataFrame) -> DataFrame:
+def stored_fields(extractions: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """`latest_fields` as a table: the payloads are read once, every later pass reads narrow typed columns."""
-    return materialize(latest_fields(extractions), "claim-fields")
+    return materialize(latest_fields(extractions, parts), "claim-fields")
 
 
 def wide_claims(fields: DataFrame, limits: Limits) -> DataFrame:
-    """Claims that do not fit into one row: too much text for one value, or too many name pairs.
+    """Claims that are not matched inside one row: too many name pairs, or too many documents.
 
     Every such claim holds many documents or much text, so there are few of them.
     """
-    sized = fields.groupBy("claim_id").agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.sum("chars").alias("chars"),
-        F.sum("prescribed_rows").cast("double").alias("prescribed"),
-        F.sum("purchased_rows").cast("double").alias("purchased"),
-    )
-    too_long = F.col("chars") > limits.value_chars
-    wide = sized.filter(too_long | (F.col("prescribed") * F.col("purchased") > limits.pairs))
-    parts = F.ceil(F.col("documents") / limits.hot_rows).cast("int")
-    return wide.select("claim_id", too_long.alias("too_long"), parts.alias("_parts"))
-
-
-def _chars(names: Column) -> Column:
-    """Characters of a list of names, with quotes and a comma for each."""
-    return F.aggregate(names, F.lit(0).cast("long"), lambda total, name: total + 3 + F.coalesce(F.length(name), F.lit(0)))
+    pairs = F.lit(0.0)
+    if "prescribed" in fields.columns:
+        pairs = F.sum("prescribed_rows").cast("double") * F.sum("purchased_rows").cast("double")
+    sized = fields.groupBy("claim_id").agg(F.count(F.lit(1)).alias("documents"), pairs.alias("pairs"))
+    wide = sized.filter((F.col("pairs") > limits.pairs) | (F.col("documents") > limits.hot_rows))
+    return wide.select("claim_id", F.ceil(F.col("documents") / limits.hot_rows).cast("int").alias("_parts"))
 
 
-def _totals() -> list[Column]:
+def _totals(parts: tuple[str, ...]) -> list[Column]:
     """Counts, date ranges and amounts of a claim. Buffers have a fixed size, so documents are combined before the shuffle."""
     name = F.col("patient_name")
-    return [
-        F.count(F.lit(1)).alias("document_count"),
-        F.count_if(name.isNull() | (F.trim(name) == "")).alias("missing_names"),
-        F.count("admission_date").alias("admission_count"),
-        F.count("discharge_date").alias("discharge_count"),
-        F.min("admission_date").alias("min_admission"),
-        F.max("admission_date").alias("max_admission"),
-        F.min("discharge_date").alias("min_discharge"),
-        F.max("discharge_date").alias("max_discharge"),
-        F.max("hospital_amount").alias("hospital_amount"),
-        F.max("pharmacy_amount").alias("pharmacy_amount"),
-        F.max("receipt_amount").alias("receipt_amount"),
-    ]
-
-
-def _variants() -> list[Column]:
-    """Numbers of different dates. The calendar bounds the two sets, however many documents a claim has."""
-    return [
-        F.size(F.collect_set("admission_date")).cast("long").alias("admission_variants"),
-        F.size(F.collect_set("discharge_date")).cast("long").alias("discharge_variants"),
-    ]
-
-
-def claim_totals(fields: DataFrame) -> DataFrame:
-    return fields.groupBy("claim_id").agg(*_totals(), *_variants())
+    totals = {
+        NAMES: lambda: [F.count_if(name.isNull() | (F.trim(name) == "")).alias("missing_names")],
+        DATES: lambda: [
+            F.count("admission_date").alias("admission_count"),
+            F.count("discharge_date").alias("discharge_count"),
+            F.min("admission_date").alias("min_admission"),
+            F.max("admission_date").alias("max_admission"),
+            F.min("discharge_date").alias("min_discharge"),
+            F.max("discharge_date").alias("max_discharge"),
+            # The calendar bounds the two sets, however many documents a claim has.
+            F.size(F.collect_set("admission_date")).cast("long").alias("admission_variants"),
+            F.size(F.collect_set("discharge_date")).cast("long").alias("discharge_variants"),
+        ],
+        AMOUNTS: lambda: [
+            F.max("hospital_amount").alias("hospital_amount"),
+            F.max("pharmacy_amount").alias("pharmacy_amount"),
+            F.max("receipt_amount").alias("receipt_amount"),
+        ],
+        MEDICINES: lambda: [],
+    }
+    return [F.count(F.lit(1)).alias("document_count"), *[total for part in parts for total in totals[part]()]]
+
+
+def claim_totals(fields: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    return fields.groupBy("claim_id").agg(*_totals(parts))
 
 
 def _label(document_type: Column, name: Column) -> Column:
@@ -141,55 +139,47 @@ def _listing(documents: str) -> Column:
     return F.array_join(F.transform(pairs, lambda pair: _label(pair["document_type"], pair["name"])), " | ")
 
 
-def _gathered() -> Column:
+def _gathered(parts: tuple[str, ...]) -> Column:
     """What has to be seen together, as one list per claim; only for claims that are not wide."""
-    name = F.coalesce("patient_name", F.lit(NO_NAME)).alias("name")
-    key = name_key(F.col("patient_name")).alias("key")
-    return F.collect_list(
-        F.struct("document_type", name, key, "admission_date", "discharge_date", "prescribed", "purchased")
-    ).alias("_documents")
+    kept = []
+    if NAMES in parts:
+        kept += ["document_type", F.coalesce("patient_name", F.lit(NO_NAME)).alias("name"), name_key(F.col("patient_name")).alias("key")]
+    if MEDICINES in parts:
+        kept += ["prescribed", "purchased"]
+    return F.collect_list(F.struct(*kept)).alias("_documents")
 
 
-def _narrow_findings(gathered: DataFrame) -> DataFrame:
+def _narrow_findings(gathered: DataFrame, parts: tuple[str, ...]) -> DataFrame:
     """Findings from the gathered documents, inside the row of the claim."""
-    documents = F.col("_documents")
-
-    def variants(dates: Column) -> Column:
-        return F.size(F.array_distinct(F.array_compact(dates))).cast("long")
-
-    listed = gathered.withColumns({
-        "admission_variants": variants(documents["admission_date"]),
-        "discharge_variants": variants(documents["discharge_date"]),
-        "name_mismatches": F.size(F.filter(documents["key"], lambda key: key != F.col("expected_key"))).cast("long"),
-        "extracted_names": _listing("_documents"),
-        "prescribed_items": _distinct_names(documents["prescribed"]),
-        "purchased_items": _distinct_names(documents["purchased"]),
-    })
-    counted = listed.withColumns({
-        "prescribed_count": F.size(F.array_distinct(F.transform("prescribed_items", name_key))).cast("long"),
-        "purchased_count": F.size(F.array_distinct(F.transform("purchased_items", name_key))).cast("long"),
-        "unmatched_items": unmatched_in_row(F.col("purchased_items"), F.col("prescribed_items")),
-    })
-    return counted.withColumn("unmatched_count", F.size("unmatched_items").cast("long"))
-
-
-def _medicine_rows(documents: DataFrame, *carried: str) -> DataFrame:
+    documents, rows = F.col("_documents"), gathered
+    if NAMES in parts:
+        rows = rows.withColumns({
+            "name_mismatches": F.size(F.filter(documents["key"], lambda key: key != F.col("expected_key"))).cast("long"),
+            "extracted_names": _listing("_documents"),
+        })
+    if MEDICINES in parts:
+        rows = rows.withColumns({
+            "prescribed_items": _distinct_names(documents["prescribed"]), "purchased_items": _distinct_names(documents["purchased"]),
+        }).withColumns({
+            "prescribed_count": F.size(F.array_distinct(F.transform("prescribed_items", name_key))).cast("long"),
+            "purchased_count": F.size(F.array_distinct(F.transform("purchased_items", name_key))).cast("long"),
+            "unmatched_items": unmatched_in_row(F.col("purchased_items"), F.col("prescribed_items")),
+        }).withColumn("unmatched_count", F.size("unmatched_items").cast("long"))
+    return rows
+
+
+def _medicine_rows(documents: DataFrame) -> DataFrame:
     sides = F.array(
         F.struct(F.lit("PRESCRIBED").alias("side"), F.col("prescribed").alias("names")),
         F.struct(F.lit("PURCHASED").alias("side"), F.col("purchased").alias("names")),
     )
-    sided = documents.select("claim_id", *carried, F.inline(sides))
-    names = sided.select("claim_id", *carried, "side", F.explode("names").alias("medicine"))
+    sided = documents.select("claim_id", F.inline(sides))
+    names = sided.select("claim_id", "side", F.explode("names").alias("medicine"))
     return names.filter(F.col("medicine").isNotNull())
 
 
-def _wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame) -> DataFrame:
-    """The same findings for claims too wide for one row: counts by joins and partial aggregates.
-
-    `wide` has claim_id and too_long, `documents` carries too_long as well. Listings are gathered only where they fit into
-    one value; the others stay NULL and their rows are in `claim_evidence`.
-    """
-    short = ~F.col("too_long")
+def _wide_names(expected: DataFrame, wide: DataFrame, documents: DataFrame) -> DataFrame:
+    """Name mismatches and the listing of wide claims; mismatches by a grouping that combines documents before the shuffle."""
     keys = documents.groupBy("claim_id", name_key(F.col("patient_name")).alias("key")).agg(F.count("patient_name").alias("n"))
     # The claim's own name enters as a row of the same grouping, so no group of documents has to meet it in a join.
     own = expected.join(wide, "claim_id", "left_semi").select("claim_id", F.col("expected_key").alias("key"), F.lit(True).alias("own"))
@@ -200,41 +190,40 @@ def _wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame) -
         F.sum(F.when(~F.col("own") & F.col("key").isNotNull(), F.col("n")).otherwise(0)).alias("_other"),
         F.bool_or(F.col("own") & F.col("key").isNotNull()).alias("_has_own"),
     ).select("claim_id", F.when(F.col("_has_own"), F.col("_other")).otherwise(F.lit(0)).cast("long").alias("name_mismatches"))
+    listed = documents.groupBy("claim_id").agg(
+        F.collect_list(F.struct("document_type", F.coalesce("patient_name", F.lit(NO_NAME)).alias("name"))).alias("_documents")
+    ).select("claim_id", _listing("_documents").alias("extracted_names"))
+    return names.join(listed, "claim_id", "full_outer")
 
-    medicines = distinct_medicines(_medicine_rows(documents, "too_long"))
+
+def _wide_medicines(documents: DataFrame) -> DataFrame:
+    """Medicine lists and counts of wide claims, matched by joins."""
+    medicines = distinct_medicines(_medicine_rows(documents))
     counts = medicines.select("claim_id", "side", "key").distinct().groupBy("claim_id").agg(
         F.count_if(F.col("side") == "PRESCRIBED").alias("prescribed_count"),
         F.count_if(F.col("side") == "PURCHASED").alias("purchased_count"),
     )
-    unmatched = unmatched_by_join(medicines)
-    unmatched_counts = unmatched.groupBy("claim_id").agg(F.count(F.lit(1)).alias("unmatched_count"))
-
-    listed = documents.filter(short).groupBy("claim_id").agg(
-        F.collect_list(F.struct("document_type", F.coalesce("patient_name", F.lit(NO_NAME)).alias("name"))).alias("_documents")
-    ).select("claim_id", _listing("_documents").alias("extracted_names"))
 
     def items(condition: Column, alias: str) -> Column:
         return F.array_sort(F.collect_list(F.when(condition, F.col("medicine")))).alias(alias)
 
     side = F.col("side")
-    gathered = medicines.filter(short).groupBy("claim_id").agg(
-        items(side == "PRESCRIBED", "prescribed_items"), items(side == "PURCHASED", "purchased_items")
-    )
-    gathered_unmatched = unmatched.filter(short).groupBy("claim_id").agg(items(F.lit(True), "unmatched_items"))
-    rows = wide.select("claim_id", "too_long")
-    for part in (names, counts, unmatched_counts, listed, gathered, gathered_unmatched):
-        rows = rows.join(part, "claim_id", "left")
-
-    def number(name: str) -> Column:
-        return F.coalesce(name, F.lit(0)).cast("long").alias(name)
+    sides = medicines.groupBy("claim_id").agg(items(side == "PRESCRIBED", "prescribed_items"), items(side == "PURCHASED", "purchased_items"))
+    unmatched = unmatched_by_join(medicines).groupBy("claim_id").agg(items(F.lit(True), "unmatched_items"), F.count(F.lit(1)).alias("unmatched_count"))
+    return counts.join(sides, "claim_id").join(unmatched, "claim_id", "left")
 
-    def texts(name: str) -> Column:
-        return F.when(~F.col("too_long"), F.coalesce(name, F.array().cast("array<string>"))).alias(name)
 
-    return rows.select(
-        "claim_id", number("name_mismatches"), "extracted_names", texts("prescribed_items"), texts("purchased_items"),
-        number("prescribed_count"), number("purchased_count"), texts("unmatched_items"), number("unmatched_count"),
-    )
+def _wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """The same findings for claims too wide to be matched in one row, by joins and partial aggregates. A listing is one value in any
+    case; `claim_evidence` has its items as rows."""
+    rows = wide.select("claim_id")
+    if NAMES in parts:
+        rows = rows.join(_wide_names(expected, wide, documents), "claim_id", "left")
+    if MEDICINES in parts:
+        rows = rows.join(_wide_medicines(documents), "claim_id", "left")
+    filled = {name: F.coalesce(name, F.lit(0)).cast("long") for name in COUNTS if name in rows.columns}
+    filled |= {name: F.coalesce(name, F.array().cast("array<string>")) for name in LISTS if name in rows.columns}
+    return rows.withColumns(filled)
 
 
 def present_types(documents: DataFrame) -> DataFrame:
@@ -263,45 +252,55 @@ COUNTS = (
 LISTS = ("prescribed_items", "purchased_items", "unmatched_items")
 
 
-FINDINGS = ("name_mismatches", "extracted_names", *LISTS, "prescribed_count", "purchased_count", "unmatched_count")
-TOTALS = (
-    "document_count", "missing_names", "admission_count", "discharge_count", "admission_variants", "discharge_variants",
-    "min_admission", "max_admission", "min_discharge", "max_discharge", "hospital_amount", "pharmacy_amount", "receipt_amount",
-)
+FINDINGS = {
+    NAMES: ("name_mismatches", "extracted_names"), MEDICINES: (*LISTS, "prescribed_count", "purchased_count", "unmatched_count"),
+    DATES: (), AMOUNTS: (),
+}
+TOTALS = {
+    NAMES: ("missing_names",),
+    DATES: (
+        "admission_count", "discharge_count", "admission_variants", "discharge_variants",
+        "min_admission", "max_admission", "min_discharge", "max_discharge",
+    ),
+    AMOUNTS: ("hospital_amount", "pharmacy_amount", "receipt_amount"), MEDICINES: (),
+}
 
 
-def document_features(claims: DataFrame, fields: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per claim with everything its extracted documents say, also for claims without any.
+def document_features(claims: DataFrame, fields: DataFrame, limits: Limits = Limits(), parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row per claim with what `parts` asks of its extracted documents, also for claims without any.
 
     `fields` should be a table (`stored_fields`): it is read once to look for wide claims and once or twice more.
     """
     own = claims.select("claim_id", F.col("patient_name").alias("expected_name"), "claimed_amount").withColumn(
         "expected_key", name_key(F.col("expected_name"))
     )
-    wide = wide_claims(fields, limits)
-    if wide.isEmpty():
-        gathered = fields.groupBy("claim_id").agg(*_totals(), _gathered())
-        rows = _narrow_findings(own.join(gathered, "claim_id", "left"))
+    totals = [name for part in parts for name in TOTALS[part]]
+    findings = [name for part in parts for name in FINDINGS[part]]
+    if not findings:
+        rows = own.join(claim_totals(fields, parts), "claim_id", "left")
+    elif (wide := wide_claims(fields, limits)).isEmpty():
+        gathered = fields.groupBy("claim_id").agg(*_totals(parts), _gathered(parts))
+        rows = _narrow_findings(own.join(gathered, "claim_id", "left"), parts)
     else:
         wide = materialize(wide, "wide-claims")
         hot = wide.filter(F.col("_parts") > 1)
-        sized = wide.select("claim_id", "too_long")
+        ids = wide.select("claim_id")
 
         def pick(how: str) -> DataFrame:
-            return hot_join_with(hot, fields, sized, ["claim_id"], how, F.col("document_id"))
+            return hot_join_with(hot, fields, ids, ["claim_id"], how, F.col("document_id"))
 
         expected = own.select("claim_id", "expected_key")
-        gathered = pick("left_anti").groupBy("claim_id").agg(_gathered()).join(expected, "claim_id", "left")
-        found = _narrow_findings(gathered).select("claim_id", *FINDINGS).unionByName(
-            _wide_findings(expected, sized, pick("inner")).select("claim_id", *FINDINGS)
+        gathered = pick("left_anti").groupBy("claim_id").agg(_gathered(parts)).join(expected, "claim_id", "left")
+        found = _narrow_findings(gathered, parts).select("claim_id", *findings).unionByName(
+            _wide_findings(expected, ids, pick("inner"), parts).select("claim_id", *findings)
         )
-        rows = own.join(claim_totals(fields), "claim_id", "left").join(found, "claim_id", "left")
-    # A claim without documents has empty listings; a claim with too long ones has none.
-    empty = F.col("document_count").isNull()
-    filled = {name: F.coalesce(name, F.lit(0)).cast("long") for name in COUNTS}
-    filled |= {name: F.when(empty, F.array().cast("array<string>")).otherwise(F.col(name)) for name in LISTS}
-    filled["extracted_names"] = F.when(empty, "").otherwise(F.col("extracted_names"))
-    return rows.withColumns(filled).select("claim_id", "expected_name", "claimed_amount", *TOTALS, *FINDINGS)
+        rows = own.join(claim_totals(fields, parts), "claim_id", "left").join(found, "claim_id", "left")
+    # A claim without documents has empty listings.
+    filled = {name: F.coalesce(name, F.lit(0)).cast("long") for name in COUNTS if name in rows.columns}
+    filled |= {name: F.coalesce(name, F.array().cast("array<string>")) for name in LISTS if name in findings}
+    if NAMES in parts:
+        filled["extracted_names"] = F.coalesce("extracted_names", F.lit(""))
+    return rows.withColumns(filled).select("claim_id", "expected_name", "claimed_amount", "document_count", *totals, *findings)
 
 
 def claim_features(claims: DataFrame, documents: DataFrame, fields: DataFrame, limits: Limits = Limits()) -> DataFrame:

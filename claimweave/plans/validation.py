@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from claimweave.functions.text import stable_id
 from claimweave.operators.skew import hot_join
 from claimweave.plans.features import (
-    COUNTS,
+    AMOUNTS,
+    DATES,
     LISTS,
+    MEDICINES,
+    NAMES,
+    TOTALS,
     Limits,
     claim_features,
-    claim_totals,
     document_features,
     latest_fields,
     missing_types,
@@ -407,29 +410,21 @@ def validate_required_documents(claims: DataFrame, documents: DataFrame) -> Data
 
 
 def validate_dates(claims: DataFrame, extractions: DataFrame) -> DataFrame:
-    kept = [
-        "admission_count", "discharge_count", "admission_variants", "discharge_variants",
-        "min_admission", "max_admission", "min_discharge", "max_discharge",
-    ]
-    totals = claim_totals(latest_fields(extractions)).select("claim_id", *kept)
-    rows = claims.select("claim_id").join(totals, "claim_id", "left")
-    counts = {name: F.coalesce(name, F.lit(0)).cast("long") for name in kept if name in COUNTS}
-    return _single(rows.withColumns(counts), dates_check(), kept)
+    rows = document_features(claims, latest_fields(extractions, (DATES,)), parts=(DATES,))
+    return _single(rows, dates_check(), list(TOTALS[DATES]))
 
 
 def validate_financial(claims: DataFrame, extractions: DataFrame, tolerance: str = AMOUNT_TOLERANCE) -> DataFrame:
-    amounts = ["hospital_amount", "pharmacy_amount", "receipt_amount"]
-    totals = claim_totals(latest_fields(extractions)).select("claim_id", *amounts)
-    rows = with_differences(claims.select("claim_id", "claimed_amount").join(totals, "claim_id", "left"))
-    kept = ["claimed_amount", *amounts, "supported_amount", "claim_difference", "receipt_difference"]
+    rows = with_differences(document_features(claims, latest_fields(extractions, (AMOUNTS,)), parts=(AMOUNTS,)))
+    kept = ["claimed_amount", *TOTALS[AMOUNTS], "supported_amount", "claim_difference", "receipt_difference"]
     return _single(rows, financial_check(tolerance), kept)
 
 
 def validate_identity(claims: DataFrame, extractions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    rows = document_features(claims, stored_fields(extractions), limits)
+    rows = document_features(claims, stored_fields(extractions, (NAMES,)), limits, (NAMES,))
     return _single(rows, identity_check(), ["document_count", "missing_names", "name_mismatches"])
 
 
 def validate_medicines(claims: DataFrame, extractions: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    rows = document_features(claims, stored_fields(extractions), limits)
+    rows = document_features(claims, stored_fields(extractions, (MEDICINES,)), limits, (MEDICINES,))
     return _single(rows, medicines_check(), [*LISTS, "prescribed_count", "purchased_count", "unmatched_count"])

@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -25,9 +26,11 @@ def build_session(app_name="claimweave", master=None, shuffle_partitions=None) -
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """New folder path below the checkpoint folder the cluster names; a temporary one only where none is named."""
+    """New folder path below the checkpoint folder the cluster names. Only a local session makes one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="claimweave-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -83,6 +83,3 @@ DEFAULT_STATUS_GROUP = "INFO"
 
 # Fixed value: amounts may differ by this much and still agree.
 AMOUNT_TOLERANCE = "1.00"
-
-# Fixed value: largest text value of one result row; longer listings stay in the evidence rows.
-MAX_VALUE_CHARS = 16 * 1024 * 1024

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -53,5 +54,28 @@ def test_row_form_equals_brute_force(spark):
 def test_sizes_decide_the_way_but_not_the_result(spark):
     rows = made_up_rows()
     names = distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
-    for limits in ({}, {"max_names": 5}, {"max_names": 0}, {"max_chars": 100}):
+    for limits in ({}, {"max_pairs": 5}, {"max_pairs": 0}):
         assert {tuple(r) for r in unmatched_medicines(names, **limits).collect()} == brute_force(rows), limits
+
+
+def test_many_names_in_one_row(spark):
+    """Keys are made once per name: four million comparisons a claim take seconds, not minutes."""
+    names = spark.range(4).select(
+        F.col("id").cast("string").alias("claim_id"),
+        F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.concat(F.lit("Medicine no. "), (i * 2).cast("string"), F.lit(" forte"))).alias("a"),
+        F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.concat(F.lit("MEDICINE-NO "), i.cast("string"), F.lit(" FORTE"))).alias("b"),
+    )
+    started = time.time()
+    found = names.select("claim_id", F.size(unmatched_in_row(F.col("b"), F.col("a"))).alias("n")).collect()
+    assert {r.n for r in found} == {1000} and time.time() - started < 15
+
+
+def test_one_very_long_name(spark):
+    """Substrings of a long name travel as digests: rows stay short."""
+    long = "".join(f"part{i}" for i in range(12_000))
+    rows = [("c", "PURCHASED", long), ("c", "PURCHASED", "absent")] + [("c", "PRESCRIBED", f"medicine{i:04}" + "x" * (i % 5)) for i in range(1000)]
+    found = unmatched_by_join(distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string")))
+    assert {r.medicine[:10] for r in found.collect()} == {"absent", long[:10]}
+    rows.append(("c", "PRESCRIBED", long[70_000:70_040]))
+    found = unmatched_by_join(distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string")))
+    assert [r.medicine for r in found.collect()] == ["absent"]

@@ -124,7 +124,7 @@ MEDICINES = {
 }
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(pairs=0), Limits(value_chars=10, hot_rows=1)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(pairs=0), Limits(pairs=0, hot_rows=1)])
 def test_medicines(make_claims, make_extractions, limits):
     claims = make_claims([(c, "x", None) for c in MEDICINES])
     rows = extractions_of(make_extractions, {c: case[0] for c, case in MEDICINES.items()})
@@ -132,8 +132,7 @@ def test_medicines(make_claims, make_extractions, limits):
     for claim, (_, status, prescribed, purchased, unmatched) in MEDICINES.items():
         row = found[claim]
         assert (row.validation_status, row.prescribed_count, row.purchased_count, row.unmatched_count) == (status, prescribed, purchased, len(unmatched)), claim
-        if limits.value_chars > 10:
-            assert row.unmatched_items == unmatched, claim
+        assert row.unmatched_items == unmatched, claim
 
 
 def test_required_documents(make_claims, make_documents):
@@ -160,19 +159,19 @@ def everything(make_claims, make_documents, make_extractions):
     return make_claims(claims), make_documents(registered), extractions_of(make_extractions, docs)
 
 
-def comparable(rows, without_listings=False):
-    names = [n for n in rows.columns if n not in ("actual_value",)] if without_listings else rows.columns
-    return sorted(map(str, rows.select(*names).collect()))
+def comparable(rows):
+    return sorted(map(str, rows.collect()))
 
 
 def test_wide_claims_give_the_same_results(everything):
     plain = validation.validate_claims(*everything)
-    assert comparable(validation.validate_claims(*everything, limits=Limits(pairs=0))) == comparable(plain)
-    assert comparable(validation.validate_claims(*everything, limits=Limits(pairs=0, hot_rows=10))) == comparable(plain)
-    unlisted = validation.validate_claims(*everything, limits=Limits(value_chars=200, hot_rows=10))
-    assert comparable(unlisted, True) == comparable(plain, True)
-    hot = unlisted.filter("claim_id = 'hot' AND validation_category = 'IDENTITY'").first()
-    assert hot.actual_value is None and hot.validation_status == "FAILED"
+    for limits in (Limits(pairs=0), Limits(pairs=0, hot_rows=10), Limits(hot_rows=10)):
+        assert comparable(validation.validate_claims(*everything, limits=limits)) == comparable(plain), limits
+        claims, _, extractions = everything
+        for check in (validation.validate_identity, validation.validate_medicines):
+            assert comparable(check(claims, extractions, limits)) == comparable(check(claims, extractions)), (check, limits)
+    hot = plain.filter("claim_id = 'hot' AND validation_category = 'IDENTITY'").first()
+    assert hot.actual_value.count("CLAIM_FORM: ") + hot.actual_value.count(": ") > 300 and hot.validation_status == "FAILED"
 
 
 def test_evidence_holds_what_listings_hold(everything):
