@@ -357,6 +357,14 @@ ORACLES = {
                nullif(regexp_extract(text, '[0-9]{16}'), '') AS card_number,
                nullif(regexp_extract(text, 'token = "([0-9a-f]+)"', 1), '') AS secret, 'EXTRACTED' AS extraction_status
         FROM documents""",
+    "extract_isolated": """
+        SELECT doc_id, CASE WHEN ok THEN nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+'), '') END AS email,
+               CASE WHEN ok THEN nullif(regexp_extract(text, '[0-9]{16}'), '') END AS card_number,
+               CASE WHEN ok THEN nullif(regexp_extract(text, 'token = "([0-9a-f]+)"', 1), '') END AS secret,
+               CASE WHEN ok THEN 'EXTRACTED' ELSE 'FAILED' END AS extraction_status,
+               CASE WHEN NOT known THEN '{"code":"LookupError","message":"unknown template"}'
+                    WHEN NOT ok THEN '{"code":"ValueError","message":"too short"}' END AS error_message
+        FROM (SELECT *, coalesce(lang, '') <> 'fr' AS known, known AND length(text) >= 400 AS ok FROM documents)""",
     "extract_fields_adhoc": """
         SELECT doc_id, nullif(regexp_extract(text, '[0-9]+'), '') AS first_number,
                nullif(regexp_extract(text, 'token = "([0-9a-f]+)"', 1), '') AS secret,
@@ -365,13 +373,14 @@ ORACLES = {
         WITH visible AS (
           SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS h FROM pages
         ),
-        segments AS (
-          SELECT page_id, unnest(list_zip(regexp_extract_all(h, '<(/?[a-zA-Z0-9]+)[^>]*>([^<]+)', 1),
-                                          regexp_extract_all(h, '<(/?[a-zA-Z0-9]+)[^>]*>([^<]+)', 2))) AS s,
-                 generate_subscripts(regexp_extract_all(h, '<(/?[a-zA-Z0-9]+)[^>]*>([^<]+)', 1), 1) AS pos
-          FROM visible
+        pieces AS (
+          SELECT page_id, string_split(regexp_replace(h, '(?s)<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM visible
         ),
-        cleaned AS (SELECT page_id, pos, lower(s[1]) AS tag, trim(s[2], chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM segments)
+        numbered AS (SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM pieces),
+        cleaned AS (
+          SELECT page_id, pos, CASE WHEN pos > 1 THEN lower(split_part(piece, chr(2), 1)) ELSE '' END AS tag,
+                 trim(CASE WHEN pos > 1 THEN split_part(piece, chr(2), 2) ELSE piece END, chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM numbered
+        )
         SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS block_no,
                CASE WHEN tag = 'title' THEN 'TITLE' WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN 'HEADING' WHEN tag = 'p' THEN 'PARAGRAPH'
                     WHEN tag = 'li' THEN 'LIST_ITEM' WHEN tag IN ('td', 'th') THEN 'TABLE_CELL' WHEN tag = 'a' THEN 'LINK'

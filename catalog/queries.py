@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import normalize_folder, sanitize_name
-from claimweave.functions.variants import entries
 from claimweave.operators import extraction, intake, keyed, latest, medicines, review, runs
 from claimweave.plans import features, loading, validation
 from claimweave.session import materialize
@@ -108,10 +107,11 @@ def resolve_templates(spark, sf_dir):
 @query
 def template_field_catalog(spark, sf_dir):
     catalog = templates.field_catalog(templates.resolve_templates(templates.builtin_templates(spark)))
-    newest = latest.latest_extractions(D.extractions(spark, sf_dir))
-    filled = entries(newest.select("template_id", "extracted_response"), "extracted_response").groupBy(
-        "template_id", F.col("key").alias("field")
-    ).agg(F.count(F.lit(1)).alias("documents"))
+    fields = F.map_keys(F.try_variant_get("extracted_response", "$", "map<string,variant>"))
+    newest = extraction.newest_typed(D.extractions(spark, sf_dir), None, F.col("template_id"), fields.alias("fields"))
+    filled = newest.select("template_id", F.explode("fields").alias("field")).groupBy("template_id", "field").agg(
+        F.count(F.lit(1)).alias("documents")
+    )
     rows = catalog.join(filled, ["template_id", "field"], "left")
     return rows.select(
         "template_id", F.col("template_version").cast("bigint").alias("template_version"), "field", "kind",
@@ -137,15 +137,36 @@ def pattern_templates(languages: DataFrame, patterns: dict[str, str]) -> DataFra
     return languages.select("template_id", F.to_variant_object(F.struct(schema)).alias("response_format"))
 
 
-@query
-def extract_fields(spark, sf_dir):
-    texts = D.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("template_id"))
-    payloads = extraction.extract_documents(
-        texts, pattern_templates(texts.select("template_id").distinct(), EXTRACTED_PATTERNS), "doc_id", "text", extraction.pattern_extractor
-    )
+def _texts(spark, sf_dir):
+    return D.table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("template_id"))
+
+
+def _fields(payloads: DataFrame, *kept: str) -> DataFrame:
     split = extraction.split_envelope(payloads)
     fields = [F.try_variant_get("extracted_response", f"$.{name}", "string").alias(name) for name in EXTRACTED_PATTERNS]
-    return split.select("doc_id", *fields, "extraction_status")
+    return split.select("doc_id", *fields, "extraction_status", *kept)
+
+
+@query
+def extract_fields(spark, sf_dir):
+    texts = _texts(spark, sf_dir)
+    registry = pattern_templates(texts.select("template_id").distinct(), EXTRACTED_PATTERNS)
+    return _fields(extraction.extract_by_patterns(texts, registry, "doc_id", "text"))
+
+
+def _careful(content, response_format):
+    """A foreign extractor that refuses short texts."""
+    if len(content) < 400:
+        raise ValueError("too short")
+    return extraction.pattern_extractor(content, response_format)
+
+
+@query
+def extract_isolated(spark, sf_dir):
+    """A foreign extractor that fails on some documents, with a registry that lacks one language: the others go on."""
+    texts = _texts(spark, sf_dir)
+    registry = pattern_templates(texts.select("template_id").where("template_id <> 'fr'").distinct(), EXTRACTED_PATTERNS)
+    return _fields(extraction.extract_documents(texts, registry, "doc_id", "text", _careful), "error_message")
 
 
 @query
@@ -176,10 +197,10 @@ def split_envelope(spark, sf_dir):
 
 @query
 def line_items(spark, sf_dir):
-    newest = latest.latest_extractions(D.extractions(spark, sf_dir))
+    extractions = D.extractions(spark, sf_dir)
 
     def lines(document_type, extra):
-        rows = extraction.line_items(newest, document_type)
+        rows = extraction.line_items(extractions, document_type)
         return rows.select("document_id", F.col("item_no").cast("bigint").alias("item_no"), "medicine_name", F.col(extra).alias("detail"))
 
     return lines("PRESCRIPTION", "dosage").unionByName(lines("PHARMACY_INVOICE", "quantity"))
@@ -187,14 +208,12 @@ def line_items(spark, sf_dir):
 
 @query
 def extraction_scores(spark, sf_dir):
-    newest = latest.latest_extractions(D.extractions(spark, sf_dir))
-    return extraction.extraction_scores(newest).select("document_id", "field", "score")
+    return extraction.extraction_scores(D.extractions(spark, sf_dir)).select("document_id", "field", "score")
 
 
 @query
 def flatten_medicines(spark, sf_dir):
-    newest = latest.latest_extractions(D.extractions(spark, sf_dir))
-    return extraction.flatten_medicines(newest)
+    return extraction.flatten_medicines(D.extractions(spark, sf_dir))
 
 
 # --- keyed tables ---------------------------------------------------------------------------------------------------
@@ -280,7 +299,7 @@ def missing_documents(spark, sf_dir):
 
 @query
 def unmatched_medicines(spark, sf_dir):
-    names = extraction.flatten_medicines(latest.latest_extractions(D.extractions(spark, sf_dir)))
+    names = extraction.flatten_medicines(D.extractions(spark, sf_dir))
     distinct = materialize(medicines.distinct_medicines(names.select("claim_id", "side", "medicine")), "medicines")
     return medicines.unmatched_medicines(distinct)
 
@@ -288,7 +307,7 @@ def unmatched_medicines(spark, sf_dir):
 @query
 def unmatched_medicines_by_join(spark, sf_dir):
     """The form for claims with very many names, here for all claims."""
-    names = extraction.flatten_medicines(latest.latest_extractions(D.extractions(spark, sf_dir)))
+    names = extraction.flatten_medicines(D.extractions(spark, sf_dir))
     distinct = materialize(medicines.distinct_medicines(names.select("claim_id", "side", "medicine")), "medicines")
     return medicines.unmatched_by_join(distinct).select("claim_id", "medicine")
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,7 +65,8 @@ def test_a_failing_document_does_not_stop_the_others(spark):
     docs = spark.createDataFrame([(1, "ok", "PAYMENT_RECEIPT_V1"), (2, "bad", "PAYMENT_RECEIPT_V1"), (3, "x", "NONE")], "id long, content string, template_id string")
     payloads = extraction.extract_documents(docs, resolved, "id", "content", picky)
     found = {r.id: r for r in extraction.split_envelope(payloads).collect()}
-    assert set(found) == {1, 2}
+    assert set(found) == {1, 2, 3}
+    assert found[3].extraction_status == "FAILED" and json.loads(found[3].error_message)["message"] == "unknown template"
     assert found[1].extraction_status == "EXTRACTED" and found[2].extraction_status == "FAILED"
     assert json.loads(found[2].error_message) == {"message": "cannot read", "code": "ValueError"}
 
@@ -90,6 +92,34 @@ def test_layout_covers_text_after_closing_tags(spark):
     ]
 
 
+def test_layout_keeps_all_text(spark):
+    pages = spark.createDataFrame([(1, "lead text <p>a < b and more</p> tail 3 <4"), (2, "no tags at all"), (3, "<p>x</p")], "page_id long, html string")
+    blocks = [(r.page_id, r.block_type, r.text) for r in extraction.parse_layout(pages).orderBy("page_id", "block_no").collect()]
+    assert blocks == [
+        (1, "TEXT", "lead text"), (1, "PARAGRAPH", "a < b and more"), (1, "TEXT", "tail 3 <4"), (2, "TEXT", "no tags at all"), (3, "PARAGRAPH", "x</p"),
+    ]
+
+
+def test_patterns_inside_spark_equal_the_bundled_extractor(spark):
+    formats = {"A": {"first": "[0-9]+", "word": "name: ([a-z]+)"}, "B": {"first": "[a-z]+"}}
+    rows = [(name, json.dumps({"schema": {"type": "object", "properties": {f: {"type": "string", "description": p} for f, p in fields.items()}}})) for name, fields in formats.items()]
+    registry = spark.createDataFrame(rows, "template_id string, format string").select("template_id", F.parse_json("format").alias("response_format"))
+    docs = spark.createDataFrame([(1, "name: bob 12", "A"), (2, "none", "A"), (3, "12 x", "B"), (4, "x", "C"), (5, "x", None)], "id long, content string, template_id string")
+    native = extraction.extract_by_patterns(docs, registry, "id", "content")
+    foreign = extraction.extract_documents(docs, registry, "id", "content", extraction.pattern_extractor)
+    assert {r.id: json.loads(r.payload) for r in native.collect()} == {r.id: json.loads(r.payload) for r in foreign.collect()}
+    assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_and_payloads_stay_out_of_needless_shuffles(spark, make_extractions):
+    rows = make_extractions([("c", "d1", "PRESCRIPTION", {"medicines": {"medicine_name": ["a"]}})])
+    for frame in (extraction.line_items(rows, "PRESCRIPTION"), extraction.flatten_medicines(rows), extraction.extraction_scores(rows)):
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = frame._jdf.queryExecution().explainString(mode)
+        for moved in re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan):
+            assert "extracted_response" not in moved and "extraction_scoring" not in moved and "extraction_result" not in moved
+
+
 def test_templates(spark, tmp_path):
     catalog = templates.field_catalog(templates.builtin_templates(spark))
     assert catalog.count() == 72 and catalog.filter("kind = 'object'").count() == 4
