@@ -477,6 +477,45 @@ ORACLES = {
     "validate_claims": _with(*RESULTS) + """
         SELECT claim_id, validation_category, validation_name, validation_status, expected_value, validation_message, severity, requires_review,
                source_documents FROM results""",
+    "validation_values": _with(*RESULTS) + """,
+        picked AS (
+          SELECT claim_id, 'DOCUMENT' AS validation_category,
+                 '[' || CASE WHEN missing_types = '' THEN '' ELSE '"' || replace(missing_types, '|', '","') || '"' END || ']' AS first_value,
+                 CAST(NULL AS VARCHAR) AS second_value, CAST(NULL AS VARCHAR) AS third_value FROM feat
+          UNION ALL SELECT claim_id, 'IDENTITY', NULL, NULL, NULL FROM feat
+          UNION ALL SELECT claim_id, 'TREATMENT_DATE', CAST(min_admission AS VARCHAR), CAST(max_discharge AS VARCHAR), CAST(admission_variants AS VARCHAR) FROM feat
+          UNION ALL SELECT claim_id, 'FINANCIAL', CAST(supported_amount AS VARCHAR), CAST(claim_difference AS VARCHAR), CAST(receipt_amount AS VARCHAR) FROM feat
+          UNION ALL SELECT claim_id, 'MEDICAL', CAST(prescribed_count AS VARCHAR),
+                 '[' || CASE WHEN purchased_items = '' THEN '' ELSE '"' || replace(purchased_items, '|', '","') || '"' END || ']',
+                 '[' || CASE WHEN unmatched_items = '' THEN '' ELSE '"' || replace(unmatched_items, '|', '","') || '"' END || ']' FROM feat
+          UNION ALL SELECT claim_id, 'CLAIM_DECISION', recommendation, CAST(failed_validations AS VARCHAR), CAST(warning_validations AS VARCHAR) FROM recommended
+        )
+        SELECT * FROM picked""",
+    "claim_evidence": _with(ORDERS, DOCS, VALUES, MEDICINES) + """
+        SELECT claim_id, 'NAME' AS kind, document_id AS source, document_type || ': ' || coalesce(nm, 'NOT EXTRACTED') AS item FROM vals
+        UNION ALL SELECT claim_id, side, NULL, medicine FROM medk""",
+    "validation_summary": _with(*RESULTS) + """
+        SELECT claim_id, 'SUCCESS' AS status, recommendation, total_validations, failed_validations,
+               max(validation_status) FILTER (WHERE validation_category = 'DOCUMENT') AS document_status,
+               max(validation_status) FILTER (WHERE validation_category = 'IDENTITY') AS identity_status,
+               max(validation_status) FILTER (WHERE validation_category = 'TREATMENT_DATE') AS date_status,
+               max(validation_status) FILTER (WHERE validation_category = 'MEDICAL') AS medical_status,
+               max(validation_status) FILTER (WHERE validation_category = 'FINANCIAL') AS financial_status,
+               max(validation_message) FILTER (WHERE validation_category = 'FINANCIAL') AS financial_message
+        FROM checks JOIN recommended USING (claim_id) GROUP BY ALL""",
+    "validate_requested": _with(*RESULTS) + """
+        SELECT results.claim_id, validation_category, validation_status, severity, validation_message
+        FROM results JOIN o USING (claim_id) WHERE o_orderstatus = 'O'""",
+    "folder_failures": _with(ORDERS, CLAIMS) + """
+        SELECT claims.claim_id, CASE WHEN o_orderstatus = 'F' THEN 'EXTRACTION_FAILED' ELSE claim_status END AS claim_status,
+               CASE WHEN o_orderstatus = 'F' THEN 'Folder processing error: broken off at ' || k ELSE reviewer_comments END AS reviewer_comments
+        FROM claims JOIN o USING (claim_id)""",
+    "claim_tables_current": _with(ORDERS, CLAIMS, DOCS) + """
+        SELECT d.claim_id, documents,
+               CASE WHEN k % 7 = 0 THEN 'REJECTED' WHEN k % 5 = 0 THEN 'APPROVED' ELSE claim_status END AS claim_status,
+               CASE WHEN k % 7 = 0 THEN 'REJECTED' WHEN k % 5 = 0 THEN 'APPROVED' ELSE reviewer_decision END AS reviewer_decision
+        FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'M-' ELSE '' END || claim_id AS claim_id, count(*) AS documents FROM docs GROUP BY 1) d
+        LEFT JOIN (SELECT claims.*, k FROM claims JOIN o USING (claim_id)) c ON c.claim_id = d.claim_id""",
     "consolidate_claims": _with(*RESULTS) + "SELECT * FROM recommended",
     "validation_requests": _with(*RESULTS) + """
         SELECT claim_id, 'SUCCESS' AS request_status, CAST(NULL AS VARCHAR) AS message, recommendation, total_validations
@@ -490,11 +529,12 @@ ORACLES = {
           AND (contains(claim_id, '00000012') OR contains(patient_name, '00000012') OR contains(patient_id, '00000012'))""",
     "status_options": _with(ORDERS, CLAIMS) + "SELECT DISTINCT claim_status FROM claims WHERE claim_status IS NOT NULL",
     "claim_documents_view": _with(ORDERS, DOCS) + """
-        SELECT claim_id, CAST(t AS INTEGER) AS type_rank, file_name, document_type, CASE WHEN failed THEN 'FAILED' ELSE 'EXTRACTED' END AS processing_status,
+        SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY t, file_name) AS position, CAST(t AS INTEGER) AS type_rank, file_name, document_type, CASE WHEN failed THEN 'FAILED' ELSE 'EXTRACTED' END AS processing_status,
                CASE WHEN failed THEN 'extraction timed out' END AS error_message FROM docs""",
     "claim_validations_view": _with(*RESULTS) + """
-        SELECT claim_id, CASE validation_status WHEN 'FAILED' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'PASSED' THEN 3 ELSE 4 END AS status_rank,
-               validation_category, validation_status, severity FROM results""",
+        SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY status_rank, validation_category) AS position FROM (
+          SELECT claim_id, CASE validation_status WHEN 'FAILED' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'PASSED' THEN 3 ELSE 4 END AS status_rank,
+                 validation_category, validation_status, severity FROM results)""",
     "validation_counts": _with(*RESULTS) + """
         SELECT claim_id, passed_validations AS passed_checks, warning_validations AS warnings, failed_validations AS failed_checks FROM summary""",
     "open_issues": _with(*RESULTS) + """

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from claimweave.functions.text import normalize_folder, sanitize_name
 from claimweave.operators import extraction, intake, keyed, latest, medicines, review, runs
 from claimweave.plans import features, loading, validation
-from claimweave.session import materialize
+from claimweave.session import materialize, scratch_dir
 from claimweave.sources import derived as D
 from claimweave.sources import templates
+from claimweave.sources.tables import ClaimTables
 from claimweave.streaming import process
 
 QUERIES = {}
@@ -289,6 +290,35 @@ def folder_load_summary(spark, sf_dir):
     return loading.load_folders(files, payloads, day("2024-01-31"), store=lambda rows: rows).summary
 
 
+@query
+def folder_failures(spark, sf_dir):
+    """Claims after the folders of finished orders broke off."""
+    failures = D.orders(spark, sf_dir).filter(F.col("o_orderstatus") == "F").select(
+        "claim_id", F.concat(F.lit("broken off at "), F.col("k").cast("string")).alias("message")
+    )
+    return loading.raised_failure(D.claims(spark, sf_dir), failures).select("claim_id", "claim_status", "reviewer_comments")
+
+
+@query
+def claim_tables_current(spark, sf_dir):
+    """Current rows of stored tables after several runs: documents that moved to another claim, and decisions of two writers."""
+    tables = ClaimTables(spark, scratch_dir(spark, "claim-tables"), buckets=8)
+    claims, documents = D.claims(spark, sf_dir), D.documents(spark, sf_dir)
+    tables.write("claims", claims.withColumn("loaded_at", day("2024-01-01")), 1)
+    tables.write("documents", documents, 1)
+    moved = documents.join(D.orders(spark, sf_dir).filter(F.col("o_orderstatus") == "P").select("claim_id"), "claim_id", "left_semi")
+    tables.write("documents", moved.withColumn("claim_id", F.concat(F.lit("M-"), "claim_id")), 2)
+    number = F.substring("claim_id", 5, 8).cast("int")
+    for divisor, decision, recorded in ((5, "APPROVED", "2024-01-02"), (7, "REJECTED", "2024-01-03"), (11, "APPROVED", "2023-12-31")):
+        tables.append("decisions", claims.filter(number % divisor == 0).select(
+            "claim_id", F.lit(decision).alias("reviewer_decision"), F.lit("by two writers").alias("reviewer_comments"),
+            day(recorded).alias("reviewed_at"), day(recorded).alias("recorded_at"),
+        ))
+    counted = tables.read("documents").groupBy("claim_id").agg(F.count(F.lit(1)).alias("documents"))
+    current = tables.read("claims").select("claim_id", "claim_status", "reviewer_decision")
+    return counted.join(current, "claim_id", "left")
+
+
 # --- validation -----------------------------------------------------------------------------------------------------
 
 
@@ -374,6 +404,63 @@ def validate_claims(spark, sf_dir):
     )
 
 
+def _value(path: str):
+    return F.get_json_object("actual_value", f"$.{path}")
+
+
+@query
+def validation_values(spark, sf_dir):
+    """What the checks found, out of the JSON of their result rows."""
+    rows = validation.validate_claims(D.claims(spark, sf_dir), D.documents(spark, sf_dir), D.extractions(spark, sf_dir))
+    category = F.col("validation_category")
+
+    def pick(**by_category):
+        choice = F.lit(None).cast("string")
+        for name, value in by_category.items():
+            choice = F.when(category == name, value).otherwise(choice)
+        return choice
+
+    def money(path):
+        return _value(path).cast("decimal(18,2)").cast("string")
+
+    return rows.select(
+        "claim_id", "validation_category",
+        pick(DOCUMENT=F.col("actual_value"), TREATMENT_DATE=_value("minimum_admission_date"), FINANCIAL=money("supported_amount"),
+             MEDICAL=_value("prescribed_medicine_count"), CLAIM_DECISION=_value("recommendation")).alias("first_value"),
+        pick(TREATMENT_DATE=_value("maximum_discharge_date"), FINANCIAL=money("claim_difference"), MEDICAL=_value("purchased_medicines"),
+             CLAIM_DECISION=_value("failed_validations")).alias("second_value"),
+        pick(TREATMENT_DATE=_value("admission_date_variants"), FINANCIAL=money("payment_receipt_amount"), MEDICAL=_value("unmatched_medicines"),
+             CLAIM_DECISION=_value("warning_validations")).alias("third_value"),
+    )
+
+
+@query
+def claim_evidence(spark, sf_dir):
+    return features.claim_evidence(features.stored_fields(D.extractions(spark, sf_dir)))
+
+
+@query
+def validation_summary(spark, sf_dir):
+    """Counts and recommendation per claim, with status and message of each check out of the answer's JSON."""
+    summary = validation.validation_summary(
+        validation.validate_claims(D.claims(spark, sf_dir), D.documents(spark, sf_dir), D.extractions(spark, sf_dir))
+    )
+    checks = [
+        F.get_json_object(f"{name}_validation", "$.validation_status").alias(f"{name}_status")
+        for name in ("document", "identity", "date", "medical", "financial")
+    ]
+    message = F.get_json_object("financial_validation", "$.validation_message").alias("financial_message")
+    return summary.select("claim_id", "status", "recommendation", "total_validations", "failed_validations", *checks, message)
+
+
+@query
+def validate_requested(spark, sf_dir):
+    """Validation of the claims of open orders only."""
+    asked = D.orders(spark, sf_dir).filter(F.col("o_orderstatus") == "O").select("claim_id")
+    rows = validation.validate_requested(asked, D.claims(spark, sf_dir), D.documents(spark, sf_dir), D.extractions(spark, sf_dir))
+    return rows.select("claim_id", "validation_category", "validation_status", "severity", "validation_message")
+
+
 @query
 def consolidate_claims(spark, sf_dir):
     return validation.consolidate_claims(D.results(spark, sf_dir))
@@ -409,14 +496,14 @@ def status_options(spark, sf_dir):
 @query
 def claim_documents_view(spark, sf_dir):
     return review.claim_documents_view(D.documents(spark, sf_dir)).select(
-        "claim_id", "type_rank", "file_name", "document_type", "processing_status", "error_message"
+        "claim_id", F.col("position").cast("bigint").alias("position"), "type_rank", "file_name", "document_type", "processing_status", "error_message"
     )
 
 
 @query
 def claim_validations_view(spark, sf_dir):
     return review.claim_validations_view(D.results(spark, sf_dir)).select(
-        "claim_id", "status_rank", "validation_category", "validation_status", "severity"
+        "claim_id", F.col("position").cast("bigint").alias("position"), "status_rank", "validation_category", "validation_status", "severity"
     )
 
 

@@ -1,5 +1,7 @@
 """Directory listings as DataFrames."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,17 +37,48 @@ def read_directory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_directory(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Files as they arrive below a folder; every file is seen once per checkpoint."""
+    """Files as they arrive below a folder; every name is seen once per checkpoint, so it suits stages whose files are never
+    overwritten. `process_directory` sees overwritten ones, a change log (`stream_change_log`) both."""
     reader = spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _listing(reader.load(root), root)
 
 
-def read_contents(spark: SparkSession, root: str) -> DataFrame:
-    """Path and bytes of every file, for an extractor."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(relative_to(F.col("path"), root).alias("relative_path"), "content")
+def directory_changes(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """Changes of a folder against a stored listing: files that are new or have another time or size, and files that are gone."""
+    now = read_directory(spark, root).select("relative_path", "modified_at", "size")
+    before = known.filter(F.col("action") != "DELETE").select("relative_path", F.col("modified_at").alias("_at"), F.col("size").alias("_size"))
+    both = now.join(before, "relative_path", "full_outer")
+    gone = F.col("modified_at").isNull()
+    same = F.col("modified_at").eqNullSafe(F.col("_at")) & F.col("size").eqNullSafe(F.col("_size"))
+    return both.filter(~same).select(
+        "relative_path", F.coalesce("modified_at", F.current_timestamp().cast("timestamp_ntz")).alias("modified_at"),
+        F.coalesce("size", F.lit(0)).alias("size"), F.when(gone, "DELETE").otherwise("INSERT").alias("action"),
+    )
+
+
+# Up to so many paths are handed to the file source one by one; for more, it is given their folders.
+MAX_PATHS = 10_000
+
+
+def read_contents(files: DataFrame, root: str) -> DataFrame:
+    """Path and bytes of the listed files, for an extractor. Other files are not opened."""
+    spark, wanted = files.sparkSession, files.select("relative_path").distinct()
+    names = [row["relative_path"] for row in wanted.limit(MAX_PATHS + 1).collect()]
+    if not names:
+        return spark.createDataFrame([], "relative_path string, content binary")
+    if len(names) > MAX_PATHS:
+        folders = wanted.select(F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("folder")).distinct().limit(MAX_PATHS + 1).collect()
+        names = [row["folder"] for row in folders] if len(folders) <= MAX_PATHS else [""]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = reader.load([f"{root.rstrip('/')}/{_literal(name)}" for name in names])
+    return found.select(relative_to(F.col("path"), root).alias("relative_path"), "content").join(wanted, "relative_path", "left_semi")
+
+
+def _literal(path: str) -> str:
+    """A path in which characters of file patterns stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def stream_change_log(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:

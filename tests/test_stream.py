@@ -1,5 +1,6 @@
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from claimweave.operators.extraction import extract_documents
 from claimweave.operators.intake import classify_documents, list_documents
 from claimweave.sources import listing, templates
 from claimweave.sources.tables import ClaimTables
-from claimweave.streaming.process import ClaimProcessor, process_new_claims, record_decisions
+from claimweave.operators.runs import run_history
+from claimweave.streaming.process import ClaimProcessor, process_directory, process_new_claims, record_decisions
 
 
 def put(root, folder, **files):
@@ -29,7 +31,7 @@ def stage(spark, tmp_path):
 
     def read_payloads(files):
         typed = classify_documents(list_documents(files)).select("relative_path", "template_id")
-        contents = listing.read_contents(spark, str(root)).join(typed, "relative_path")
+        contents = listing.read_contents(files, str(root)).join(typed, "relative_path")
         return extract_documents(contents, resolved, "relative_path", "content", read_json)
 
     processor = ClaimProcessor(tables, read_payloads)
@@ -90,14 +92,12 @@ def test_replay_gives_the_same_tables(spark, stage):
     processor(changes, 0)
 
     def state():
-        timeless = {"claims": ["created_at"], "documents": ["uploaded_at", "processed_at"], "results": ["validated_at"]}
-        return {name: sorted(map(str, tables.read(name).drop(*dropped).collect())) for name, dropped in timeless.items()}
+        names = ("claims", "documents", "results", "extractions", "evidence", "claim_folders", "files")
+        return {name: sorted(map(str, tables.read(name).collect())) for name in names}
 
     before = state()
     processor(changes, 0)
     assert state() == before and tables.read("extractions").count() == 2
-    compacted = tables.compact(tables.root + "-compacted")
-    assert sorted(map(str, compacted.read("results").collect())) == sorted(map(str, tables.read("results").collect()))
 
 
 def test_deleted_files_and_retry(spark, stage):
@@ -127,3 +127,110 @@ def test_change_log_source(spark, tmp_path):
     stream = listing.stream_change_log(spark, str(log)).writeStream.foreachBatch(lambda batch, _: seen.extend(batch.collect()))
     stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [(r.relative_path, r.action) for r in seen] == [("a/x.pdf", "INSERT")]
+
+
+def decide(spark, tables, claim, decision, comments="seen"):
+    row = [(claim, decision, comments, datetime.datetime(2024, 1, 1))]
+    return record_decisions(tables, spark.createDataFrame(row, "claim_id string, decision string, comments string, decided_at timestamp_ntz"))
+
+
+def test_a_document_that_moves_to_another_claim(spark, stage):
+    root, tables, processor, _ = stage
+    put(root, "a", claim_form={"claim_id": "A", "patient_name": "Ann"}, receipt={"amount_paid": "1"})
+    process_directory(processor, str(root))
+    assert {r.claim_id for r in tables.read("documents").collect()} == {"A"}
+    time.sleep(1.1)
+    put(root, "a", claim_form={"claim_id": "B", "patient_name": "Ann, corrected"})  # the same name again
+    process_directory(processor, str(root))
+    for buckets in (None, tables.buckets_of(spark.createDataFrame([("a",)], "folder string"), "folder")):
+        assert {r.claim_id for r in tables.read("documents", buckets=buckets).collect()} == {"B"}
+        assert {r.claim_id for r in tables.read("extractions", buckets=buckets).collect()} == {"B"}
+    identity = tables.read("results").filter("claim_id = 'B' AND validation_category = 'IDENTITY'").first()
+    assert identity.expected_value == "Ann, corrected"
+    process_directory(processor, str(root))
+    assert processor.history().filter("return_value = 'no new files'").count() == 1
+
+
+def test_decisions_of_several_writers(spark, stage):
+    root, tables, processor, _ = stage
+    for claim in ("A", "B"):
+        put(root, claim.lower(), claim_form={"claim_id": claim, "patient_name": "Ann"})
+    processor(listing.read_directory(spark, str(root)), 0)
+    decide(spark, tables, "A", "APPROVED")
+    decide(spark, tables, "B", "REJECTED")
+    assert statuses(tables) == {"A": "APPROVED", "B": "REJECTED"}
+
+    class Slow(ClaimTables):
+        """A reviewer decides while a batch is between reading and writing claims."""
+
+        def write(self, name, rows, run):
+            if name == "results":
+                decide(spark, tables, "A", "REJECTED", "meanwhile")
+            return super().write(name, rows, run)
+
+    form = listing.read_directory(spark, str(root)).filter("relative_path = 'a/claim_form.pdf'")
+    ClaimProcessor(Slow(spark, tables.root, buckets=4), processor.read_payloads)(form, 1)
+    claim = tables.read("claims").filter("claim_id = 'A'").first()
+    assert (claim.claim_status, claim.reviewer_comments) == ("REJECTED", "meanwhile") and statuses(tables)["B"] == "REJECTED"
+
+
+def test_a_folder_that_cannot_be_read(spark, stage):
+    root, tables, processor, _ = stage
+    for claim in ("A", "B", "C", "D"):
+        put(root, claim.lower(), claim_form={"claim_id": claim, "patient_name": "Ann"})
+    processor(listing.read_directory(spark, str(root)), 0)
+
+    def refuse(files):
+        if files.filter("folder IN ('b', 'd')").count():
+            raise OSError("disk on fire")
+        return processor.read_payloads(files)
+
+    later = listing.read_directory(spark, str(root)).withColumn("modified_at", F.lit("2100-01-01").cast("timestamp_ntz"))
+    ClaimProcessor(tables, refuse)(later, 1)
+    assert {c: s == "EXTRACTION_FAILED" for c, s in statuses(tables).items()} == {"A": False, "B": True, "C": False, "D": True}
+    assert tables.read("claims").filter("claim_id = 'B'").first().reviewer_comments == "Folder processing error: disk on fire"
+    summary = processor.summaries().orderBy(F.desc("run_id")).first()
+    assert (summary.folders_processed, summary.folders_failed, summary.last_error) == (2, 2, "disk on fire")
+    processor.retry()
+    assert not [c for c, s in statuses(tables).items() if s == "EXTRACTION_FAILED"]
+    shown = [(r.state, r.return_value) for r in run_history(processor.history(), F.current_timestamp().cast("timestamp_ntz")).collect()]
+    assert shown == [
+        ("SUCCEEDED", "SUCCESS: 2 folders processed, 0 failed"), ("SUCCEEDED", "COMPLETED_WITH_ERRORS: 2 folders processed, 2 failed"),
+        ("SUCCEEDED", "SUCCESS: 4 folders processed, 0 failed"),
+    ]
+
+
+def test_only_listed_files_are_opened(spark, tmp_path):
+    put(tmp_path, "a", one={"x": 1}, two={"x": 2})
+    put(tmp_path, "b", three={"x": 3})
+    (tmp_path / "a" / "odd {name}[1].pdf").write_text("odd")
+    files = listing.read_directory(spark, str(tmp_path)).filter("relative_path NOT LIKE '%two%'")
+    assert {r.relative_path for r in listing.read_contents(files, str(tmp_path)).collect()} == {"a/one.pdf", "b/three.pdf", "a/odd {name}[1].pdf"}
+    rows = spark.createDataFrame(files.select("relative_path").collect(), "relative_path string")
+    assert len(listing.read_contents(rows, str(tmp_path)).inputFiles()) == 3
+    assert listing.read_contents(files.limit(0), str(tmp_path)).collect() == []
+
+
+def test_compaction_in_place(spark, stage):
+    root, tables, processor, _ = stage
+    for number in range(3):
+        put(root, "a", **{f"receipt_{number}": {"amount_paid": "1"}}, claim_form={"claim_id": "A"})
+        changes = listing.read_directory(spark, str(root)).withColumn("modified_at", F.lit(f"210{number}-01-01").cast("timestamp_ntz"))
+        processor(changes, number)
+    before = {name: sorted(map(str, tables.read(name).collect())) for name in ("claims", "documents", "extractions", "results", "evidence", "files")}
+    for name in before:
+        tables.compact(name, 3 * 1_000_000 + 1)
+        assert tables._versions(name, None).select("run").distinct().count() == 1
+    assert {name: sorted(map(str, tables.read(name).collect())) for name in before} == before
+
+
+def test_no_untouched_bucket_is_read(spark, stage):
+    root, tables, processor, _ = stage
+    for number in range(6):
+        put(root, f"f{number}", claim_form={"claim_id": f"C{number}"})
+    processor(listing.read_directory(spark, str(root)), 0)
+    touched = spark.createDataFrame([("f1",)], "folder string")
+    buckets = tables.buckets_of(touched, "folder")
+    for name in ("documents", "extractions", "files"):
+        opened = tables.read(name, buckets=buckets).inputFiles()
+        assert opened and all(f"/bucket={buckets[0]}/" in path for path in opened)
