@@ -123,7 +123,7 @@ feat AS (
   FROM claims LEFT JOIN v1 USING (claim_id) LEFT JOIN per_claim USING (claim_id) LEFT JOIN meds USING (claim_id) LEFT JOIN um USING (claim_id)
 )"""
 
-# One arm per line: condition, status, message.
+# One arm per line with condition, status and message, as the checks have them.
 LADDERS = {
     "DOCUMENT": (
         [("missing_types <> ''", "FAILED", "One or more mandatory documents are missing.")],
@@ -157,6 +157,7 @@ LADDERS = {
         "Claimed amount, invoice totals and payment receipt are consistent.", "MEDIUM",
     ),
 }
+# Name, expectation and source documents of each check.
 NAMES = {
     "DOCUMENT": ("Required documents available", "CAST(NULL AS VARCHAR)", "missing_types"),
     "IDENTITY": ("Patient identity consistency", "expected_name",
@@ -575,33 +576,85 @@ ORACLES = {
         FROM x GROUP BY run_id""",
 }
 
-# Fields of the built-in templates that the derived payloads never fill, and those they do, by document type.
-_CATALOG = {
-    "CLAIM_FORM": "claim_id patient_id patient_name policy_number insurance_provider claim_type hospital_name admission_date discharge_date "
-                  "primary_diagnosis claimed_amount patient_signature_present",
-    "PRESCRIPTION": "patient_name patient_age doctor_name hospital_or_clinic prescription_date diagnosis follow_up_instructions "
-                    "doctor_signature_present medicines:6",
-    "DISCHARGE_SUMMARY": "patient_name patient_id hospital_name admission_date discharge_date attending_doctor primary_diagnosis clinical_summary "
-                         "procedures_performed:0 discharge_medications:0 follow_up_advice discharge_condition",
-    "HOSPITAL_INVOICE": "invoice_number claim_id patient_name patient_id hospital_name admission_date discharge_date diagnosis subtotal discount "
-                        "tax_amount invoice_total invoice_items:4",
-    "PHARMACY_INVOICE": "invoice_number claim_id patient_name pharmacy_name invoice_date prescribing_doctor invoice_total medicine_items:5",
-    "DIAGNOSTIC_REPORT": "patient_name patient_id laboratory_name ordering_doctor report_date diagnosis clinical_interpretation test_results:4",
-    "PAYMENT_RECEIPT": "receipt_number claim_id patient_name hospital_invoice_number pharmacy_invoice_number payment_date amount_paid "
-                       "payment_method transaction_reference payment_status",
-}
-
-
-def _catalog_rows():
-    for document_type, fields in _CATALOG.items():
-        for field in fields.split():
-            name, _, columns = field.partition(":")
-            kind = "string" if not columns else "array" if columns == "0" else "object"
-            yield f"('{document_type}', '{name}', '{kind}', {columns or 0})"
+# Fields of the built-in templates by document type, with their kind and the number of table columns.
+CATALOG = (
+    ("CLAIM_FORM", "claim_id", "string", 0),
+    ("CLAIM_FORM", "patient_id", "string", 0),
+    ("CLAIM_FORM", "patient_name", "string", 0),
+    ("CLAIM_FORM", "policy_number", "string", 0),
+    ("CLAIM_FORM", "insurance_provider", "string", 0),
+    ("CLAIM_FORM", "claim_type", "string", 0),
+    ("CLAIM_FORM", "hospital_name", "string", 0),
+    ("CLAIM_FORM", "admission_date", "string", 0),
+    ("CLAIM_FORM", "discharge_date", "string", 0),
+    ("CLAIM_FORM", "primary_diagnosis", "string", 0),
+    ("CLAIM_FORM", "claimed_amount", "string", 0),
+    ("CLAIM_FORM", "patient_signature_present", "string", 0),
+    ("PRESCRIPTION", "patient_name", "string", 0),
+    ("PRESCRIPTION", "patient_age", "string", 0),
+    ("PRESCRIPTION", "doctor_name", "string", 0),
+    ("PRESCRIPTION", "hospital_or_clinic", "string", 0),
+    ("PRESCRIPTION", "prescription_date", "string", 0),
+    ("PRESCRIPTION", "diagnosis", "string", 0),
+    ("PRESCRIPTION", "follow_up_instructions", "string", 0),
+    ("PRESCRIPTION", "doctor_signature_present", "string", 0),
+    ("PRESCRIPTION", "medicines", "object", 6),
+    ("DISCHARGE_SUMMARY", "patient_name", "string", 0),
+    ("DISCHARGE_SUMMARY", "patient_id", "string", 0),
+    ("DISCHARGE_SUMMARY", "hospital_name", "string", 0),
+    ("DISCHARGE_SUMMARY", "admission_date", "string", 0),
+    ("DISCHARGE_SUMMARY", "discharge_date", "string", 0),
+    ("DISCHARGE_SUMMARY", "attending_doctor", "string", 0),
+    ("DISCHARGE_SUMMARY", "primary_diagnosis", "string", 0),
+    ("DISCHARGE_SUMMARY", "clinical_summary", "string", 0),
+    ("DISCHARGE_SUMMARY", "procedures_performed", "array", 0),
+    ("DISCHARGE_SUMMARY", "discharge_medications", "array", 0),
+    ("DISCHARGE_SUMMARY", "follow_up_advice", "string", 0),
+    ("DISCHARGE_SUMMARY", "discharge_condition", "string", 0),
+    ("HOSPITAL_INVOICE", "invoice_number", "string", 0),
+    ("HOSPITAL_INVOICE", "claim_id", "string", 0),
+    ("HOSPITAL_INVOICE", "patient_name", "string", 0),
+    ("HOSPITAL_INVOICE", "patient_id", "string", 0),
+    ("HOSPITAL_INVOICE", "hospital_name", "string", 0),
+    ("HOSPITAL_INVOICE", "admission_date", "string", 0),
+    ("HOSPITAL_INVOICE", "discharge_date", "string", 0),
+    ("HOSPITAL_INVOICE", "diagnosis", "string", 0),
+    ("HOSPITAL_INVOICE", "subtotal", "string", 0),
+    ("HOSPITAL_INVOICE", "discount", "string", 0),
+    ("HOSPITAL_INVOICE", "tax_amount", "string", 0),
+    ("HOSPITAL_INVOICE", "invoice_total", "string", 0),
+    ("HOSPITAL_INVOICE", "invoice_items", "object", 4),
+    ("PHARMACY_INVOICE", "invoice_number", "string", 0),
+    ("PHARMACY_INVOICE", "claim_id", "string", 0),
+    ("PHARMACY_INVOICE", "patient_name", "string", 0),
+    ("PHARMACY_INVOICE", "pharmacy_name", "string", 0),
+    ("PHARMACY_INVOICE", "invoice_date", "string", 0),
+    ("PHARMACY_INVOICE", "prescribing_doctor", "string", 0),
+    ("PHARMACY_INVOICE", "invoice_total", "string", 0),
+    ("PHARMACY_INVOICE", "medicine_items", "object", 5),
+    ("DIAGNOSTIC_REPORT", "patient_name", "string", 0),
+    ("DIAGNOSTIC_REPORT", "patient_id", "string", 0),
+    ("DIAGNOSTIC_REPORT", "laboratory_name", "string", 0),
+    ("DIAGNOSTIC_REPORT", "ordering_doctor", "string", 0),
+    ("DIAGNOSTIC_REPORT", "report_date", "string", 0),
+    ("DIAGNOSTIC_REPORT", "diagnosis", "string", 0),
+    ("DIAGNOSTIC_REPORT", "clinical_interpretation", "string", 0),
+    ("DIAGNOSTIC_REPORT", "test_results", "object", 4),
+    ("PAYMENT_RECEIPT", "receipt_number", "string", 0),
+    ("PAYMENT_RECEIPT", "claim_id", "string", 0),
+    ("PAYMENT_RECEIPT", "patient_name", "string", 0),
+    ("PAYMENT_RECEIPT", "hospital_invoice_number", "string", 0),
+    ("PAYMENT_RECEIPT", "pharmacy_invoice_number", "string", 0),
+    ("PAYMENT_RECEIPT", "payment_date", "string", 0),
+    ("PAYMENT_RECEIPT", "amount_paid", "string", 0),
+    ("PAYMENT_RECEIPT", "payment_method", "string", 0),
+    ("PAYMENT_RECEIPT", "transaction_reference", "string", 0),
+    ("PAYMENT_RECEIPT", "payment_status", "string", 0),
+)
 
 
 ORACLES["template_field_catalog"] = _with(ORDERS, DOCS, VALUES) + f""",
-    catalog(document_type, field, kind, table_columns) AS (VALUES {', '.join(_catalog_rows())}),
+    catalog(document_type, field, kind, table_columns) AS (VALUES {', '.join(map(str, CATALOG))}),
     renamed AS (SELECT *, t = 3 AND k % 6 = 0 AS other_names FROM vals WHERE NOT (t = 6 AND k % 16 = 0)),
     filled AS (
       SELECT document_type, unnest(list_filter([

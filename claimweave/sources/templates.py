@@ -20,71 +20,142 @@ DESCRIPTIONS = {
     "PAYMENT_RECEIPT": "Extract payment receipt details",
 }
 
-# Fields per document type. "name[]" is a list; "name{a b}" is a table whose columns a and b are lists.
+# Fields per document type as (name, kind, columns); the columns of a table (object) are lists.
 FIELDS = {
-    "CLAIM_FORM": """
-        claim_id patient_id patient_name policy_number insurance_provider claim_type hospital_name admission_date
-        discharge_date primary_diagnosis claimed_amount patient_signature_present""",
-    "PRESCRIPTION": """
-        patient_name patient_age doctor_name hospital_or_clinic prescription_date diagnosis follow_up_instructions
-        doctor_signature_present medicines{medicine_name strength dosage frequency duration instructions}""",
-    "DISCHARGE_SUMMARY": """
-        patient_name patient_id hospital_name admission_date discharge_date attending_doctor primary_diagnosis
-        clinical_summary procedures_performed[] discharge_medications[] follow_up_advice discharge_condition""",
-    "HOSPITAL_INVOICE": """
-        invoice_number claim_id patient_name patient_id hospital_name admission_date discharge_date diagnosis subtotal
-        discount tax_amount invoice_total invoice_items{description quantity rate amount}""",
-    "PHARMACY_INVOICE": """
-        invoice_number claim_id patient_name pharmacy_name invoice_date prescribing_doctor invoice_total
-        medicine_items{medicine_name strength quantity unit_price line_amount}""",
-    "DIAGNOSTIC_REPORT": """
-        patient_name patient_id laboratory_name ordering_doctor report_date diagnosis clinical_interpretation
-        test_results{test_date test_name result reference_or_comment}""",
-    "PAYMENT_RECEIPT": """
-        receipt_number claim_id patient_name hospital_invoice_number pharmacy_invoice_number payment_date amount_paid
-        payment_method transaction_reference payment_status""",
+    "CLAIM_FORM": (
+        ("claim_id", "string", ()),
+        ("patient_id", "string", ()),
+        ("patient_name", "string", ()),
+        ("policy_number", "string", ()),
+        ("insurance_provider", "string", ()),
+        ("claim_type", "string", ()),
+        ("hospital_name", "string", ()),
+        ("admission_date", "string", ()),
+        ("discharge_date", "string", ()),
+        ("primary_diagnosis", "string", ()),
+        ("claimed_amount", "string", ()),
+        ("patient_signature_present", "string", ()),
+    ),
+    "PRESCRIPTION": (
+        ("patient_name", "string", ()),
+        ("patient_age", "string", ()),
+        ("doctor_name", "string", ()),
+        ("hospital_or_clinic", "string", ()),
+        ("prescription_date", "string", ()),
+        ("diagnosis", "string", ()),
+        ("follow_up_instructions", "string", ()),
+        ("doctor_signature_present", "string", ()),
+        ("medicines", "object", ("medicine_name", "strength", "dosage", "frequency", "duration", "instructions")),
+    ),
+    "DISCHARGE_SUMMARY": (
+        ("patient_name", "string", ()),
+        ("patient_id", "string", ()),
+        ("hospital_name", "string", ()),
+        ("admission_date", "string", ()),
+        ("discharge_date", "string", ()),
+        ("attending_doctor", "string", ()),
+        ("primary_diagnosis", "string", ()),
+        ("clinical_summary", "string", ()),
+        ("procedures_performed", "array", ()),
+        ("discharge_medications", "array", ()),
+        ("follow_up_advice", "string", ()),
+        ("discharge_condition", "string", ()),
+    ),
+    "HOSPITAL_INVOICE": (
+        ("invoice_number", "string", ()),
+        ("claim_id", "string", ()),
+        ("patient_name", "string", ()),
+        ("patient_id", "string", ()),
+        ("hospital_name", "string", ()),
+        ("admission_date", "string", ()),
+        ("discharge_date", "string", ()),
+        ("diagnosis", "string", ()),
+        ("subtotal", "string", ()),
+        ("discount", "string", ()),
+        ("tax_amount", "string", ()),
+        ("invoice_total", "string", ()),
+        ("invoice_items", "object", ("description", "quantity", "rate", "amount")),
+    ),
+    "PHARMACY_INVOICE": (
+        ("invoice_number", "string", ()),
+        ("claim_id", "string", ()),
+        ("patient_name", "string", ()),
+        ("pharmacy_name", "string", ()),
+        ("invoice_date", "string", ()),
+        ("prescribing_doctor", "string", ()),
+        ("invoice_total", "string", ()),
+        ("medicine_items", "object", ("medicine_name", "strength", "quantity", "unit_price", "line_amount")),
+    ),
+    "DIAGNOSTIC_REPORT": (
+        ("patient_name", "string", ()),
+        ("patient_id", "string", ()),
+        ("laboratory_name", "string", ()),
+        ("ordering_doctor", "string", ()),
+        ("report_date", "string", ()),
+        ("diagnosis", "string", ()),
+        ("clinical_interpretation", "string", ()),
+        ("test_results", "object", ("test_date", "test_name", "result", "reference_or_comment")),
+    ),
+    "PAYMENT_RECEIPT": (
+        ("receipt_number", "string", ()),
+        ("claim_id", "string", ()),
+        ("patient_name", "string", ()),
+        ("hospital_invoice_number", "string", ()),
+        ("pharmacy_invoice_number", "string", ()),
+        ("payment_date", "string", ()),
+        ("amount_paid", "string", ()),
+        ("payment_method", "string", ()),
+        ("transaction_reference", "string", ()),
+        ("payment_status", "string", ()),
+    ),
 }
 
-
-def parse_fields(text: str) -> list[tuple[str, str, list[str]]]:
-    """(name, kind, columns) per field, kind being string, array or object."""
-    fields, columns = [], None
-    for word in text.split():
-        name, opened, first = word.partition("{")
-        if opened:
-            columns = []
-            fields.append((name, "object", columns))
-            word = first
-        if columns is not None:
-            columns.append(word.rstrip("}"))
-            if word.endswith("}"):
-                columns = None
-        elif word.endswith("[]"):
-            fields.append((word[:-2], "array", []))
-        else:
-            fields.append((word, "string", []))
-    return fields
-
-
 TABLES = {
-    kind: [(name, columns) for name, shape, columns in parse_fields(text) if shape == "object"][0]
-    for kind, text in FIELDS.items()
-    if "{" in text
+    document_type: next((name, columns) for name, kind, columns in fields if kind == "object")
+    for document_type, fields in FIELDS.items()
+    if any(kind == "object" for _, kind, _ in fields)
+}
+
+# How an answer should look, for fields where that matters; other fields are asked for by their name in words.
+INSTRUCTIONS = {
+    "claimed_amount": "Total amount that is claimed, digits with a decimal point, without currency sign.",
+    "invoice_total": "Final amount of the invoice after discount and tax, digits with a decimal point, without currency sign.",
+    "amount_paid": "Amount that was paid, digits with a decimal point, without currency sign.",
+    "subtotal": "Sum before discount and tax, digits with a decimal point.",
+    "discount": "Discount as an amount, digits with a decimal point; nothing if there is none.",
+    "tax_amount": "Tax as an amount, digits with a decimal point; nothing if there is none.",
+    "admission_date": "Date of admission as DD-MM-YYYY.",
+    "discharge_date": "Date of discharge as DD-MM-YYYY.",
+    "prescription_date": "Date on the prescription as DD-MM-YYYY.",
+    "invoice_date": "Date of the invoice as DD-MM-YYYY.",
+    "report_date": "Date of the report as DD-MM-YYYY.",
+    "payment_date": "Date of the payment as DD-MM-YYYY.",
+    "patient_name": "Full name of the patient as written, without title.",
+    "patient_signature_present": "YES if the patient has signed, by hand or by stamp, else NO.",
+    "doctor_signature_present": "YES if a doctor has signed, by hand or by stamp, else NO.",
+    "medicine_name": "Name of the medicine as written, also by hand, without strength; one entry a line.",
+    "strength": "Strength with its unit, in the order of the medicines.",
+    "quantity": "Number of units, digits only, in the order of the lines.",
+    "rate": "Price of one unit, digits with a decimal point, in the order of the lines.",
+    "unit_price": "Price of one unit, digits with a decimal point, in the order of the lines.",
+    "amount": "Amount of the line, digits with a decimal point, in the order of the lines.",
+    "line_amount": "Amount of the line, digits with a decimal point, in the order of the lines.",
+    "test_date": "Date of the test as DD-MM-YYYY, in the order of the tests.",
+    "payment_status": "Whether the payment is complete, partial or open.",
 }
 
 
 def response_format(document_type: str) -> dict:
-    """JSON schema of a template. Questions default to the field name in words."""
+    """JSON schema of a template: a question for each field and, in tables, for each column."""
 
     def entry(name, kind, columns=()):
-        schema = {"description": name.replace("_", " "), "type": kind}
+        schema = {"description": INSTRUCTIONS.get(name, name.replace("_", " ")), "type": kind}
         if columns:
             schema["column_ordering"] = list(columns)
             schema["properties"] = {column: entry(column, "array") for column in columns}
         return schema
 
-    fields = parse_fields(FIELDS[document_type])
-    return {"schema": {"type": "object", "properties": {n: entry(n, kind, cols) for n, kind, cols in fields}}}
+    return {"schema": {"type": "object", "properties": {name: entry(name, kind, columns) for name, kind, columns in FIELDS[document_type]}}}
 
 
 def builtin_templates(spark: SparkSession) -> DataFrame:

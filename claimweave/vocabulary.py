@@ -10,6 +10,8 @@ DOCUMENT_TYPES = (
     "DIAGNOSTIC_REPORT",
     "PAYMENT_RECEIPT",
 )
+
+# Fixed value: type of files that no rule fits.
 OTHER = "OTHER"
 
 # Types every claim has to bring.
@@ -33,6 +35,7 @@ CLASSIFIER_RULES = (
     ("PAYMENT_RECEIPT", (("receipt",),), ("pharmacy",)),
 )
 
+# Fixed value: extensions of files that are processed.
 SUPPORTED_FILE = r"[.](pdf|png|jpg|jpeg)$"
 
 # Header fields with the names they may come under, in order of preference.
@@ -43,6 +46,8 @@ HEADER_ALIASES = {
     "policy_number": ("policy_number", "policy_id"),
     "claim_type": ("claim_type", "treatment_type"),
 }
+
+# Names that amounts and dates may come under, in order of preference.
 CLAIMED_AMOUNT_ALIASES = ("claimed_amount", "total_claim_amount", "claim_amount")
 ADMISSION_ALIASES = ("admission_date", "date_of_admission")
 DISCHARGE_ALIASES = ("discharge_date", "date_of_discharge")
