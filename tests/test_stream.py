@@ -10,6 +10,7 @@ from claimweave.operators.intake import classify_documents, list_documents
 from claimweave.sources import listing, templates
 from claimweave.sources.tables import ClaimTables
 from claimweave.operators.runs import run_history
+from claimweave.streaming import process
 from claimweave.streaming.process import ClaimProcessor, process_directory, process_new_claims, record_decisions
 
 
@@ -200,6 +201,47 @@ def test_a_folder_that_cannot_be_read(spark, stage):
     ]
 
 
+def test_any_number_of_folders_that_cannot_be_read(spark, stage):
+    """Errors that the reader gives for its files, on the executors: the folders that can be read load."""
+    _, tables, processor, _ = stage
+    rows = [(f"f{number:03}/claim_form.pdf", "2024-01-01", 1, "INSERT") for number in range(150)]
+    changes = spark.createDataFrame(rows, "relative_path string, at string, size long, action string")
+    changes = changes.selectExpr("relative_path", "CAST(at AS TIMESTAMP_NTZ) AS modified_at", "size", "action")
+
+    def read(files):
+        claim = F.col("folder")
+        response = F.to_json(F.struct(F.struct(claim.alias("claim_id"), F.lit("Ann").alias("patient_name")).alias("response")))
+        bad = F.when(claim >= "f020", F.concat(F.lit("no access to "), claim))
+        return files.select("relative_path", F.when(bad.isNull(), response).alias("payload"), bad.alias("read_error"))
+
+    ClaimProcessor(tables, read)(changes, 0)
+    assert sorted(statuses(tables)) == [f"f{number:03}" for number in range(20)]
+    logged = {r.folder: r.message or r.raised_error for r in tables.read("run_log").collect()}
+    assert len(logged) == 150 and logged["f019"] is None and logged["f149"] == "no access to f149"
+
+
+def test_more_than_a_hundred_folders_that_raise(spark, stage, monkeypatch):
+    _, tables, _, _ = stage
+    monkeypatch.setattr(process, "materialize", lambda rows, purpose: rows)
+    files = spark.range(0, 104, 1, 1).selectExpr("format_string('f%03d', id) AS folder", "format_string('f%03d/a.pdf', id) AS relative_path")
+
+    def refuse(part):
+        names = [r.folder for r in part.collect()]
+        if any(name >= "f003" for name in names):
+            raise OSError("disk on fire")
+        return part.select("relative_path", F.lit("{}").alias("payload"))
+
+    payloads, broken = ClaimProcessor(tables, refuse)._read_isolated(files)
+    assert sorted(r.relative_path for r in payloads.collect()) == ["f000/a.pdf", "f001/a.pdf", "f002/a.pdf"]
+    assert sorted(r.folder for r in broken.collect()) == [f"f{number:03}" for number in range(3, 104)]
+
+    def at_fault(part):
+        raise OSError("no such service")
+
+    with pytest.raises(OSError, match="no such service"):
+        ClaimProcessor(tables, at_fault)._read_isolated(files)
+
+
 def test_only_listed_files_are_opened(spark, tmp_path):
     put(tmp_path, "a", one={"x": 1}, two={"x": 2})
     put(tmp_path, "b", three={"x": 3})
