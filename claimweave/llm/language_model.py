@@ -2,8 +2,10 @@
 
 Words of the training texts are counted in full. The most frequent ones form classes of 64 by rank; all others are one more class.
 P(word | context) is P(class | context) P(word | class, context), both log-linear in hashed features of the two words before: the
-previous word, the word before it (a skip feature), and the two together. Within the class of other words, probabilities follow
-the counts, smoothed, so the model covers every text.
+previous word, the word before it (a skip feature), and the two together, each word by itself however rare. The class of other words
+is a tree with 64 branches at each node, by the digits of the word's hash; a branch is log-linear in node and previous word. The tree
+is as deep as the counted vocabulary asks for: 64 words in a cell at its end, on average. Within a cell, probabilities follow the
+counts, smoothed, so the model covers every text.
 
 Training is by rounds over disjoint shares of the training texts. In a round each task updates its own copy of the weights by Adagrad over all
 its texts; the changes, weighted by tokens, are summed in a tree of shuffles and applied to the shared weights. Scoring
@@ -11,6 +13,7 @@ is numpy over batches of texts; only rows of weights that occur are touched.
 """
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +33,16 @@ CLASSES, SLOTS = 32, 64
 #: Words with a class and a slot; the last class is for all others.
 KNOWN = (CLASSES - 1) * SLOTS
 OTHER, START = KNOWN, KNOWN + 1
+#: Other words are numbers from here on: 31 bits of their hash are added.
+HASHED, _HASH = 1 << 31, (1 << 31) - 1
 ROUNDS = 2
 RATE, BATCH = 0.05, 16_384
-#: Rows of the weights of classes: by previous word, by skipped word, by both (hashed); and of slots: by class and previous word (hashed).
-_SKIPPED, _PAIR, CLASS_ROWS, SLOT_ROWS = 2_048, 4_096, 12_288, 8_192
+#: Rows of the weights of classes: by previous word, by skipped word, by both (hashed), by either if it is another word (hashed); of
+#: slots: by class and previous word (hashed); and of branches: by node and previous word (hashed).
+_SKIPPED, _PAIR, _RARE, _RARE_SKIPPED, CLASS_ROWS, SLOT_ROWS, BRANCH_ROWS = 2_048, 4_096, 12_288, 16_384, 20_480, 8_192, 32_768
 _CLASS_WEIGHTS = CLASS_ROWS * CLASSES
-WEIGHTS = _CLASS_WEIGHTS + SLOT_ROWS * SLOTS
+_SLOT_WEIGHTS = SLOT_ROWS * SLOTS
+WEIGHTS = _CLASS_WEIGHTS + _SLOT_WEIGHTS + BRANCH_ROWS * SLOTS
 #: Weights that go through the tree of sums together.
 _BLOCK = 32_768
 #: Distinct words that a task counts before it passes them on.
@@ -89,6 +96,32 @@ class Vocabulary:
         self.slot_bias = np.concatenate([slots.reshape(-1, SLOTS), np.zeros((1, SLOTS))]).astype(np.float32)
         sizes = np.concatenate([np.pad(known, (0, KNOWN - len(known))).reshape(-1, SLOTS).sum(1), [self.other]])
         self.class_bias = np.log(sizes + _PRIOR).astype(np.float32)
+        every = np.array([zlib.crc32(w.encode()) & _HASH for w in words], np.int64)
+        self.ids = np.where(np.arange(len(words)) < KNOWN, np.arange(len(words)), HASHED + every).astype("<u4")
+        self.depth = 0
+        while SLOTS ** (self.depth + 1) < distinct - len(known):
+            self.depth += 1
+        self.cells = SLOTS**self.depth
+        self.known_cells = every[:KNOWN] & (self.cells - 1)
+        self.branch_bias: list[np.ndarray] = []
+        self.log_cells = np.array([self.log_other])
+
+    def fill_cells(self, cells: np.ndarray, counts: np.ndarray, words: np.ndarray) -> None:
+        """The tree, from the cells that have words, the sums of their words' counts and the numbers of their words."""
+        mass = np.full(self.cells, _PRIOR)
+        mass[cells] += counts + _PRIOR * words
+        np.subtract.at(mass, self.known_cells, self.counts[:KNOWN] + _PRIOR)
+        mass = np.maximum(mass, _PRIOR)
+        self.log_cells = np.log10(mass)
+        self.branch_bias = []
+        while len(mass) > 1:
+            mass = mass.reshape(SLOTS, -1)
+            self.branch_bias.insert(0, np.log(mass.T).astype(np.float32))
+            mass = mass.sum(0)
+
+    @property
+    def biases(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        return self.class_bias, self.slot_bias, self.branch_bias
 
 
 def _vocabulary(counts: DataFrame, most: int) -> tuple[Vocabulary, int]:
@@ -101,7 +134,12 @@ def _vocabulary(counts: DataFrame, most: int) -> tuple[Vocabulary, int]:
             break
         chosen, least = chosen + r.n, r.least
     rows = sorted(((r.token, r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda r: (-r[1], r[0]))
-    return Vocabulary([w for w, _ in rows], [c for _, c in rows], sum(r.c for r in steps), sum(r.n for r in steps)), least
+    vocabulary = Vocabulary([w for w, _ in rows], [c for _, c in rows], sum(r.c for r in steps), sum(r.n for r in steps))
+    if vocabulary.depth:
+        cell = F.crc32(F.col("token").cast("binary")).bitwiseAND(F.lit(vocabulary.cells - 1))
+        found = counts.groupBy(cell.alias("cell")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
+        vocabulary.fill_cells(*(found.column(c).to_numpy() for c in ("cell", "c", "n")))
+    return vocabulary, least
 
 
 class _Ranks(dict):
@@ -110,7 +148,7 @@ class _Ranks(dict):
 
 
 ENCODED = (
-    "row long, doc_id {}, held_out boolean, share int, n_tokens long, n_known long, known_log double, other_log double, n_other long, "
+    "row long, doc_id {}, held_out boolean, share int, n_tokens long, n_known long, known_log double, other_log double, other_mass double, "
     "rare array<string>, rare_n array<int>, ids binary"
 )
 
@@ -124,6 +162,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, folds: int = FOLDS, rounds:
         ranks = _Ranks(vocabulary.rank)
         end = ranks[b""]
         logs = np.append(vocabulary.log_counts, 0.0)
+        codes = np.append(vocabulary.ids, np.uint32(0))
         for batch in batches:
             for some, texts in slices(batch, "text", _SLICE):
                 out = []
@@ -134,20 +173,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, folds: int = FOLDS, rounds:
                     rank[-1] = end
                     known = rank >= 0
                     other = (rank < 0) | (rank >= KNOWN)
+                    ids = codes[rank]
+                    for i in np.flatnonzero(~known[:-1]):
+                        ids[i] = HASHED + (zlib.crc32(words[i]) & _HASH)
+                    if end < 0:
+                        ids[-1] = HASHED + (zlib.crc32(b"") & _HASH)
+                    mass = vocabulary.log_cells[ids[other] & (vocabulary.cells - 1)].sum()
                     rare = Counter(words[i].decode() for i in np.flatnonzero(~known[:-1])) if not known[:-1].all() else {}
                     if end < 0:
                         rare[END] = 1
                     out.append((
-                        part << 36 | number, len(rank), int(known.sum()), float(logs[rank].sum()), float(logs[rank[other]].sum()), int(other.sum()),
-                        list(rare), list(rare.values()), np.where(other, OTHER, rank).astype("<u2").tobytes(),
+                        part << 36 | number, len(rank), int(known.sum()), float(logs[rank].sum()), float(logs[rank[other]].sum()), float(mass),
+                        list(rare), list(rare.values()), ids.tobytes(),
                     ))
                     number += 1
-                row, n, n_known, known_log, other_log, n_other, rare, rare_n, ids = zip(*out, strict=True)
+                row, n, n_known, known_log, other_log, other_mass, rare, rare_n, ids = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row, pa.int64()), some.column(0), some.column(1), some.column(2), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()),
-                     pa.array(known_log), pa.array(other_log), pa.array(n_other, pa.int64()), pa.array(rare, pa.list_(pa.string())),
+                     pa.array(known_log), pa.array(other_log), pa.array(other_mass), pa.array(rare, pa.list_(pa.string())),
                      pa.array(rare_n, pa.list_(pa.int32())), pa.array(ids, pa.binary())],
-                    ["row", "doc_id", "held_out", "share", "n_tokens", "n_known", "known_log", "other_log", "n_other", "rare", "rare_n", "ids"],
+                    ["row", "doc_id", "held_out", "share", "n_tokens", "n_known", "known_log", "other_log", "other_mass", "rare", "rare_n", "ids"],
                 )
 
     share = F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)).cast("int")
@@ -169,22 +214,36 @@ def _contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class Maxent:
-    """The weights in one vector: changes that features make to the logits of classes, then to those of a class's slots."""
+    """The weights in one vector: changes that features make to the logits of classes, to those of a class's slots, to those of branches."""
 
-    def __init__(self, class_bias: np.ndarray, slot_bias: np.ndarray, weights: np.ndarray):
-        self.class_bias, self.slot_bias, self.weights = class_bias, slot_bias, weights
+    def __init__(self, class_bias: np.ndarray, slot_bias: np.ndarray, weights: np.ndarray, branch_bias: list[np.ndarray] | None = None):
+        self.class_bias, self.slot_bias, self.weights, self.branch_bias = class_bias, slot_bias, weights, branch_bias or []
         self.of_class = weights[:_CLASS_WEIGHTS].reshape(CLASS_ROWS, CLASSES)
-        self.of_slot = weights[_CLASS_WEIGHTS:].reshape(SLOT_ROWS, SLOTS)
+        self.of_slot = weights[_CLASS_WEIGHTS : _CLASS_WEIGHTS + _SLOT_WEIGHTS].reshape(SLOT_ROWS, SLOTS)
+        self.of_branch = weights[_CLASS_WEIGHTS + _SLOT_WEIGHTS :].reshape(BRANCH_ROWS, SLOTS)
 
     @staticmethod
     def class_rows(previous: np.ndarray, skipped: np.ndarray) -> list[np.ndarray]:
-        pair = ((previous * 0x9E3779B1 + skipped * 0x85EBCA77) >> 7) % (CLASS_ROWS - _PAIR)
-        return [r.astype(np.uint16) for r in (previous, _SKIPPED + skipped, _PAIR + pair)]
+        pair = ((previous * 0x9E3779B1 + skipped * 0x85EBCA77) >> 7) % (_RARE - _PAIR)
+        one = np.where(previous < HASHED, previous, _RARE + previous % (_RARE_SKIPPED - _RARE))
+        two = np.where(skipped < HASHED, _SKIPPED + skipped, _RARE_SKIPPED + skipped % (CLASS_ROWS - _RARE_SKIPPED))
+        return [r.astype(np.uint16) for r in (one, two, _PAIR + pair)]
 
     @staticmethod
     def slot_rows(words: np.ndarray, previous: np.ndarray) -> np.ndarray:
         return (((words // SLOTS * 0x9E3779B1 + previous * 0xC2B2AE3D) >> 7) % SLOT_ROWS).astype(np.uint16)
 
+    def _branches(self, words: np.ndarray, previous: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level of the tree: places of the other words, rows of weights, logits, branches taken."""
+        at = np.flatnonzero(words >= HASHED)
+        own, before = words[at] - HASHED, previous[at]
+        for level, bias in enumerate(self.branch_bias):
+            node = own & (len(bias) - 1)
+            rows = ((((node * 4 + level) * 0x9E3779B1 + before * 0xC2B2AE3D) >> 7) % BRANCH_ROWS).astype(np.uint16)
+            logits = self.of_branch[rows]
+            logits += bias[node]
+            yield at, rows, logits, own // len(bias) % SLOTS
+
     def _class_logits(self, rows: list[np.ndarray]) -> np.ndarray:
         logits = self.of_class[rows[0]]
         for own in rows[1:]:
@@ -198,9 +257,11 @@ class Maxent:
         return logits
 
     def log10(self, words: np.ndarray, previous: np.ndarray, skipped: np.ndarray) -> np.ndarray:
-        """log10 probabilities; words of the last class have those of the class."""
+        """log10 probabilities; other words have those of their cell."""
         logits = self._class_logits(self.class_rows(previous, skipped))
-        out = logits[np.arange(len(words)), words // SLOTS] - _log_sum(logits)
+        out = logits[np.arange(len(words)), np.minimum(words // SLOTS, CLASSES - 1)] - _log_sum(logits)
+        for at, _, logits, taken in self._branches(words, previous):
+            out[at] += logits[np.arange(len(at)), taken] - _log_sum(logits)
         known = np.flatnonzero(words < KNOWN)
         words = words[known]
         logits = self._slot_logits(words, self.slot_rows(words, previous[known]))
@@ -211,9 +272,13 @@ class Maxent:
         """One Adagrad step on the gradient of a batch."""
         rows = self.class_rows(previous, skipped)
         error = _softmax(self._class_logits(rows))
-        error[np.arange(len(words)), words // SLOTS] -= 1
+        error[np.arange(len(words)), np.minimum(words // SLOTS, CLASSES - 1)] -= 1
         for own in rows:
             _step(self.of_class, squares.of_class, own, error)
+        for at, rows, logits, taken in self._branches(words, previous):
+            error = _softmax(logits)
+            error[np.arange(len(at)), taken] -= 1
+            _step(self.of_branch, squares.of_branch, rows, error)
         known = np.flatnonzero(words < KNOWN)
         words = words[known]
         rows = self.slot_rows(words, previous[known])
@@ -258,7 +323,7 @@ def _word_batches(ids: pa.BinaryArray):
     while start < len(ids):
         texts, n = [], 0
         while start < len(ids) and (not texts or n < BATCH):
-            texts.append(np.frombuffer(ids[start].as_buffer(), "<u2"))
+            texts.append(np.frombuffer(ids[start].as_buffer(), "<u4"))
             n += len(texts[-1])
             start += 1
         every = _contexts(texts)
@@ -271,11 +336,11 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> n
     context = encoded.sparkSession.sparkContext
     weights = np.zeros(WEIGHTS, np.float32)
     for number in range(rounds):
-        shared = context.broadcast((vocabulary.class_bias, vocabulary.slot_bias, weights))
+        shared = context.broadcast((vocabulary.biases, weights))
 
         def changes(batches, shared=shared):
-            class_bias, slot_bias, weights = shared.value
-            model = Maxent(class_bias, slot_bias, weights.copy())
+            (class_bias, slot_bias, branch_bias), weights = shared.value
+            model = Maxent(class_bias, slot_bias, weights.copy(), branch_bias)
             squares, tokens = Maxent(class_bias, slot_bias, np.zeros_like(weights)), 0
             for batch in batches:
                 for part in _word_batches(batch.column(0)):
@@ -338,13 +403,14 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, frequent: int = FREQUENT, r
     vocabulary, least = _vocabulary(counts, frequent)
     encoded = materialize(encode(docs, vocabulary, folds, rounds), "encoded")
     weights = train(encoded, vocabulary, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.class_bias, vocabulary.slot_bias, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.biases, weights))
 
     def scored(batches):
-        model = Maxent(*shared.value)
+        (class_bias, slot_bias, branch_bias), weights = shared.value
+        model = Maxent(class_bias, slot_bias, weights, branch_bias)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            lengths = np.array([ids[i].as_buffer().size // 2 for i in range(len(ids))], np.int64)
+            lengths = np.array([ids[i].as_buffer().size // 4 for i in range(len(ids))], np.int64)
             probabilities = [model.log10(*part).astype(np.float64) for part in _word_batches(ids)]
             sums = np.add.reduceat(np.concatenate(probabilities), np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums)], [*batch.schema.names[:-1], "model_log"])
@@ -353,8 +419,8 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, frequent: int = FREQUENT, r
     schema = ", ".join(f"{name} {kind}" for name, kind in kept.dtypes[:-1]) + ", model_log double"
     found = kept.mapInArrow(scored, schema).join(_rare_sums(encoded, counts, least), "row", "left").na.fill(0, ["rare_log", "rare_known"])
     base = F.col("known_log") + F.col("rare_log") - F.col("n_tokens") * F.lit(vocabulary.log_all)
-    # Words of the last class share its probability by their counts.
-    score = F.col("model_log") + F.col("other_log") + F.col("rare_log") - F.col("n_other") * F.lit(vocabulary.log_other)
+    # Words of a cell share its probability by their counts.
+    score = F.col("model_log") + F.col("other_log") + F.col("rare_log") - F.col("other_mass")
     return found.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"),
         F.lit(vocabulary.total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"),

@@ -69,6 +69,46 @@ def test_gradient_lowers_the_loss():
     assert model.log10(*part).mean() > before + 0.3
 
 
+def deep():
+    """Words beyond the known ones, in a tree of one level, with the model's parts."""
+    names = ["", *(f"w{i}" for i in range(2499))]
+    counts = list(range(5000, 2500, -1))
+    vocabulary = lm.Vocabulary(names, counts, sum(counts), 2500)
+    hashes = np.array([zlib.crc32(w.encode()) for w in names]) & (vocabulary.cells - 1)
+    cells = np.unique(hashes)
+    own = np.array(counts, float)
+    vocabulary.fill_cells(cells, np.array([own[hashes == c].sum() for c in cells]), np.array([(hashes == c).sum() for c in cells]))
+    return vocabulary, own
+
+
+def test_every_word_has_a_probability_of_its_own():
+    vocabulary, counts = deep()
+    assert vocabulary.depth == 1 and lm.Vocabulary([""], [1], 1, 300_000).depth == 3
+    weights = np.random.default_rng(3).normal(0, 0.5, lm.WEIGHTS).astype(np.float32)
+    model = lm.Maxent(vocabulary.class_bias, vocabulary.slot_bias, weights, vocabulary.branch_bias)
+    ids = vocabulary.ids.astype(np.int64)
+    for previous, skipped in ((lm.START, lm.START), (ids[2100], 90), (ids[2200], ids[2300])):
+        log = model.log10(ids, np.full(len(ids), previous), np.full(len(ids), skipped)).astype(np.float64)
+        other = ids >= lm.HASHED
+        inside = 10 ** log[other] * (counts[other] + 0.1) / 10 ** vocabulary.log_cells[ids[other] & (vocabulary.cells - 1)]
+        unseen = 0.1 / 10 ** vocabulary.log_cells  # in each cell, any word that was not counted
+        cells = np.arange(vocabulary.cells) + lm.HASHED
+        rest = 10 ** model.log10(cells, np.full(len(cells), previous), np.full(len(cells), skipped)).astype(np.float64) * unseen
+        assert abs((10 ** log[~other]).sum() + inside.sum() + rest.sum() - 1) < 1e-3
+
+
+def test_rare_words_follow_from_rare_words():
+    """Pairs of words beyond the known ones are learnt: their second word becomes likelier after the first, not after others."""
+    vocabulary, _ = deep()
+    text = np.tile(vocabulary.ids[[2100, 2200, 2150, 2300]], 1000)
+    model = lm.Maxent(vocabulary.class_bias, vocabulary.slot_bias, np.zeros(lm.WEIGHTS, np.float32), vocabulary.branch_bias)
+    squares = lm.Maxent(vocabulary.class_bias, vocabulary.slot_bias, np.zeros(lm.WEIGHTS, np.float32))
+    for _ in range(30):
+        model.update(squares, *lm._contexts([text]))
+    after = lambda w, v: float(model.log10(*(np.array([x]) for x in (vocabulary.ids[w].astype(np.int64), vocabulary.ids[v].astype(np.int64), lm.START)))[0])
+    assert after(2200, 2100) > after(2200, 2150) + 0.2 and after(2300, 2150) > after(2300, 2100) + 0.2
+
+
 def test_contexts_stay_within_texts():
     words_, previous, skipped = lm._contexts([np.array([5], "<u2"), np.array([6, 7, 8], "<u2")])
     assert words_.tolist() == [5, 6, 7, 8] and previous.tolist() == [lm.START, lm.START, 6, 7] and skipped.tolist() == [lm.START, lm.START, lm.START, 6]
