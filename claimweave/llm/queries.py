@@ -7,13 +7,16 @@ from claimweave.llm import (
     decontamination,
     language_model,
     line_dedup,
+    merkle,
     mixing,
     pii,
     quality_classifier,
     quality_rules,
+    sharding,
     simhash,
     token_counts,
     token_store,
+    whitening,
 )
 from claimweave.llm.common import documents
 from claimweave.session import scratch_dir
@@ -89,3 +92,18 @@ def op9_deobfuscated_pii(spark, sf_dir):
 @query
 def op10_containment_search(spark, sf_dir):
     return decontamination.contained_items(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.tamper_report(documents(spark, sf_dir))
+
+
+@query
+def op12_jump_sharding(spark, sf_dir):
+    return sharding.shard_report(documents(spark, sf_dir))
+
+
+@query
+def op13_multiplicity_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

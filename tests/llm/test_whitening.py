@@ -1,0 +1,119 @@
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from claimweave.llm import whitening
+
+NAMES = "vec_id long, embedding array<float>, label int, x string, weight double, h1 long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x", 0.5, 3) for i, v in rows], NAMES)
+
+
+def integers(vector):
+    return [math.floor(1024 * float(np.float32(c))) + 100_000 for c in vector]
+
+
+def expected(x, fitted=None):
+    """n, sums, eigenvalues and eigenvectors of integer vectors, centred exactly."""
+    fitted = np.array(x if fitted is None else fitted, dtype=object)
+    n, total = len(fitted), fitted.sum(0)
+    centred = np.array([[float(Fraction(int(v) * n - int(t), n)) for v, t in zip(row, total, strict=True)] for row in fitted])
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    return n, total, values[::-1], axes[:, ::-1]
+
+
+def check(found, rows, fitted=None, most=8):
+    """`found` against (vec_id, x) rows."""
+    n, total, values, axes = expected([x for _, x in rows], fitted)
+    assert sorted((str(r.vec_id), r.component) for r in found) == sorted((str(i), c) for i, _ in rows for c in range(1, most + 1))
+    by_key = {}
+    for i, x in rows:
+        by_key.setdefault(i, []).append(x)
+    for c in range(1, most + 1):
+        own = [r for r in found if r.component == c]
+        signs = set()
+        for r in own:
+            if len(by_key[r.vec_id]) > 1:
+                continue
+            x = by_key[r.vec_id][0]
+            centred = np.array([float(Fraction(int(v) * n - int(t), n)) for v, t in zip(x, total, strict=True)])
+            should = float(centred @ axes[:, c - 1] / math.sqrt(values[c - 1]))
+            assert r.n == n and r.deviation == sum((n * int(v) - int(t)) ** 2 for v, t in zip(x, total, strict=True))
+            assert abs(r.whitened) == pytest.approx(abs(should), rel=1e-7, abs=1e-7)
+            assert r.explained == pytest.approx(values[c - 1] / values.sum(), rel=1e-9)
+            assert r.identity_error < 1e-8
+            if abs(should) > 1e-3:
+                signs.add(r.whitened * should > 0)
+        assert len(signs) == 1
+
+
+def random_rows(count, width, seed):
+    rng = np.random.default_rng(seed)
+    spread = np.linspace(0.05, 1.0, width)
+    return [(i, [float(v) for v in (rng.normal(size=width) * spread).astype(np.float32)]) for i in range(count)]
+
+
+def test_same_as_numpy_with_copies(spark):
+    rows = random_rows(300, 12, 1)
+    rows += [(1000 + i, rows[0][1]) for i in range(150)] + [(None, rows[1][1]), (5, rows[2][1])]
+    found = whitening.whiten(frame(spark, rows).repartition(7)).collect()
+    check(found, [(i, integers(v)) for i, v in rows])
+    copies = [r for r in found if r.vec_id is not None and r.vec_id >= 1000]
+    assert len({(r.component, r.whitened) for r in copies}) == 8
+
+
+def test_each_vector_once(spark):
+    rows = random_rows(200, 10, 2)
+    twice = rows + [(500 + i, rows[0][1]) for i in range(100)]
+    found = whitening.whiten(frame(spark, twice), multiplicity=False).collect()
+    check(found, [(i, integers(v)) for i, v in twice], fitted=[integers(v) for _, v in rows])
+
+
+def test_rows_that_are_left_out(spark):
+    good = random_rows(60, 4, 3)
+    bad = [None, [], [0.1, None, 0.2, 0.3], [math.nan, 0.0, 0.0, 0.0], [0.0, math.inf, 0.0, 0.0], [-math.inf, 0.0, 0.0, 1.0], [0.1] * 5, [0.1], [3e38, 0.0, 0.0, 0.0]]
+    found = whitening.whiten(frame(spark, good + [(100 + i, v) for i, v in enumerate(bad)])).collect()
+    check(found, [(i, integers(v)) for i, v in good], most=4)
+
+
+def test_without_spread(spark):
+    assert whitening.whiten(frame(spark, [])).collect() == []
+    assert whitening.whiten(frame(spark, [(1, None)])).collect() == []
+    assert whitening.whiten(frame(spark, [(1, [0.5, 0.5]), (2, [0.5, 0.5])])).collect() == []
+    flat = whitening.whiten(frame(spark, [(i, [i / 8, 1.0, -i / 8]) for i in range(50)]))
+    assert {r.component for r in flat.collect()} == {1}
+    assert flat.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+
+
+def test_large_entries_stay_exact(spark):
+    rows = [(i, [float(2**40 + i * 2**20), float(i % 3), float(-i)]) for i in range(40)]
+    found = whitening.whiten(frame(spark, rows)).collect()
+    x = {i: integers(v) for i, v in rows}
+    n, total, _, _ = expected(list(x.values()))
+    for r in found:
+        exact = sum((n * v - int(t)) ** 2 for v, t in zip(x[r.vec_id], total, strict=True))
+        assert r.deviation == (exact if exact < 2**63 else None)
+
+
+def test_moments_are_added_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "_FAN", 2)
+    rows = random_rows(120, 5, 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = whitening.whiten(frame(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check(found, [(i, integers(v)) for i, v in rows], most=5)
+
+
+def test_whole_table(spark, sf):
+    vectors = spark.read.parquet(f"{sf('sf0.01')}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    good = [(i, integers(v)) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    check(whitening.whiten(vectors).collect(), good)
+    assert vectors.where(whitening.usable(F.col("embedding"))).count() == len(good)
