@@ -24,12 +24,15 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch whose texts have at most `most` bytes together, or one text that has more; with those texts."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, least: int = 0) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch whose texts have at most `most` bytes together, or one text that has more; with those texts.
+
+    A text counts with `least` bytes at least, which bounds the number of short texts in a part.
+    """
     texts = batch.column(batch.schema.get_field_index(column))
     start, size = 0, 0
     for row in range(len(texts)):
-        length = texts[row].as_buffer().size if texts[row].is_valid else 0
+        length = max(least, texts[row].as_buffer().size if texts[row].is_valid else 0)
         if row > start and size + length > most:
             yield batch.slice(start, row - start), texts.slice(start, row - start).to_pylist()
             start, size = row, 0

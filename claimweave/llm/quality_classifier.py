@@ -9,20 +9,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import bounded_sample, fold, slices, text_bytes
 
 PASSAGE_BYTES = 512
-#: Labelled rows that the model is fitted on, at most, and passages taken from each of them, evenly spaced, at most.
+#: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 8_000
-BAG_PASSAGES = 48
+#: Passages of all those rows together, at most: of a sample with more, the rows that come first by the hash of their id are taken, whole.
+SAMPLE_PASSAGES = 100_000
 FOLDS = 5
 ACCEPT = 0.3
 
-#: Vectors are computed for so many bytes of text at a time.
+#: Texts are read in slices of so many bytes, where a text counts as a passage at least, and encoded by so many passages at a time.
 _SLICE_BYTES = 1 << 20
+_ROUND = 512
+#: Bytes of the longest code.
+_REACH = 8
 _BUCKETS = 96
 _CLASSES = 8
 _CLASS = np.full(256, 7, np.int64)
@@ -37,36 +41,56 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A vector for each passage of the texts, in order, and the number of passages of each text; an empty text has one of zeros.
 
     Class shares of the bytes, a hashed histogram of byte pairs, and how much the byte pairs and triples of the passage repeat.
-    No pair reaches from one text into the next, so a text's vectors depend on it alone.
+    No pair reaches from one text into the next, so a text's vectors depend on it alone. `_ROUND` passages are worked on at a time,
+    of one long text or of many short ones; beside the vectors, memory does not grow with the texts.
     """
-    lengths = np.array([len(t) for t in texts], np.int64)
-    counts = np.maximum(1, -(-lengths // PASSAGE_BYTES))
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    total = int(counts.sum())
-    vectors = np.zeros((total, WIDTH), np.float32)
+    counts = np.array([max(1, -(-len(t) // PASSAGE_BYTES)) for t in texts], np.int64)
+    vectors = np.zeros((int(counts.sum()), WIDTH), np.float32)
+    some, held, done = [], 0, 0
+    for text, count in zip(texts, counts.tolist(), strict=True):
+        first = 0
+        while first < count:
+            taken = min(count - first, _ROUND - held)
+            some.append((text, first, taken))
+            first, held = first + taken, held + taken
+            if held == _ROUND:
+                _encode(some, vectors[done : done + held])
+                some, held, done = [], 0, done + held
+    if held:
+        _encode(some, vectors[done:])
+    return vectors, counts
+
+
+def _encode(some: list[tuple[bytes, int, int]], vectors: np.ndarray) -> None:
+    """Fills `vectors` for runs of passages, given as (text, first passage, number of passages)."""
+    total = len(vectors)
+    # A run's bytes, and those after it that a code which starts in the run may reach into.
+    parts = [text[first * PASSAGE_BYTES : (first + taken) * PASSAGE_BYTES + _REACH - 1] for text, first, taken in some]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    owned = np.minimum(lengths, np.array([taken * PASSAGE_BYTES for *_, taken in some], np.int64))
+    runs = np.array([taken for *_, taken in some], np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
     if not len(data):
-        return vectors, counts
-    text_start = np.cumsum(lengths) - lengths
-    within = np.arange(len(data)) - np.repeat(text_start, lengths)
-    passage = np.repeat(np.cumsum(counts) - counts, lengths) + within // PASSAGE_BYTES
-    size = np.maximum(1, np.bincount(passage, minlength=total)).astype(np.float32)
-    vectors[:, :_CLASSES] = np.bincount(passage * _CLASSES + _CLASS[data], minlength=total * _CLASSES).reshape(total, -1) / size[:, None]
-    left = np.repeat(text_start + lengths, lengths) - np.arange(len(data))  # bytes from here to the text's end
-    for reach, place in ((2, 0), (4, 1), (8, 2)):
-        at = np.flatnonzero(left >= reach)
+        return
+    within = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    passage = np.repeat(np.cumsum(runs) - runs, lengths) + within // PASSAGE_BYTES
+    own, left = within < np.repeat(owned, lengths), np.repeat(lengths, lengths) - within
+    size = np.maximum(1, np.bincount(passage[own], minlength=total)).astype(np.float32)
+    vectors[:, :_CLASSES] = np.bincount(passage[own] * _CLASSES + _CLASS[data[own]], minlength=total * _CLASSES).reshape(total, -1) / size[:, None]
+    for reach, place in ((2, 0), (4, 1), (_REACH, 2)):
+        at = np.flatnonzero(own & (left >= reach))
         code = data[at]
         for step in range(1, reach):
             code = code * 257 + data[at + step]
         mixed = (code * 0x9E3779B97F4A7C1) >> 20
         buckets = _BUCKETS if reach == 2 else 1024
         seen = np.bincount(passage[at] * buckets + mixed % buckets, minlength=total * buckets).reshape(total, -1).astype(np.float32)
-        own = seen.sum(1)
+        codes = seen.sum(1)
         if reach == 2:
-            vectors[:, _CLASSES : _CLASSES + _BUCKETS] = np.sqrt(seen / np.maximum(1, own)[:, None])
+            vectors[:, _CLASSES : _CLASSES + _BUCKETS] = np.sqrt(seen / np.maximum(1, codes)[:, None])
         # The chance that two of them are alike, whatever the passage's length.
-        alike = ((seen * seen).sum(1) - own) / np.maximum(1, own * (own - 1))
+        alike = ((seen * seen).sum(1) - codes) / np.maximum(1, codes * (codes - 1))
         vectors[:, _CLASSES + _BUCKETS + place] = np.sqrt(alike)
-    return vectors, counts
 
 
 @dataclass
@@ -147,38 +171,50 @@ def fit(bags: list[np.ndarray], good: np.ndarray, hidden: int = 24, attention: i
     return AttentionModel(mean.astype(np.float32), scale.astype(np.float32), {k: v.astype(np.float32) for k, v in w.items()})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS, seed: int = 5) -> AttentionModel:
-    """Fits on at most `sample_rows` labelled ids whose fold is not 0, chosen by a hash of the id."""
+def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, passages_most: int, folds: int, seed: int) -> DataFrame:
+    """(doc_id, row, quality): at most `sample_rows` different labelled texts with at most `passages_most` passages together.
+
+    They are the first by a hash of the id, so the same for the same tables. A text with more passages than that alone is not learnt from.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = F.broadcast(bounded_sample(known, ["doc_id"], sample_rows, seed))
-    texts = docs.select("doc_id", text_bytes(F.col("text")).alias("text")).join(chosen, "doc_id")
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length(text_bytes(F.col("text"))) / F.lit(PASSAGE_BYTES)))
+    sized = docs.select("doc_id", F.xxhash64("text").alias("row"), size.alias("size")).where(F.col("size") <= passages_most)
+    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("row")]
+    first = sized.join(chosen, "doc_id").distinct().orderBy(*order).limit(sample_rows)
+    # A window over the bounded sample.
+    so_far = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("_so_far", so_far).where(F.col("_so_far") <= passages_most).select("doc_id", "row", "quality")
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS, seed: int = 5, passages_most: int = SAMPLE_PASSAGES
+) -> AttentionModel:
+    """Fits on a bounded sample of labelled texts whose fold is not 0 (`_training_rows`), on all passages of each."""
+    chosen = F.broadcast(_training_rows(docs, labels, sample_rows, passages_most, folds, seed))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), text_bytes(F.col("text")).alias("text")).join(chosen, ["doc_id", "row"])
+    texts = texts.dropDuplicates(["doc_id", "row"]).select("doc_id", "text", "quality")
 
     def bags(batches):
         for batch in batches:
-            for part, some in slices(batch, "text", _SLICE_BYTES):
+            for part, some in slices(batch, "text", _SLICE_BYTES, PASSAGE_BYTES):
                 vectors, counts = passages(some)
-                kept = [_spaced(own).astype("<f4").tobytes() for own in np.split(vectors, np.cumsum(counts)[:-1])]
+                kept = [own.astype("<f4").tobytes() for own in np.split(vectors, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(kept, pa.binary())], ["doc_id", "quality", "bag"])
 
     found = texts.mapInArrow(bags, f"doc_id {dict(texts.dtypes)['doc_id']}, quality int, bag binary")
-    rows = sorted({(r.doc_id, r.quality, bytes(r.bag)) for r in found.limit(2 * sample_rows).collect()})
+    rows = sorted((r.doc_id, r.quality, bytes(r.bag)) for r in found.collect())
     return fit([np.frombuffer(b, "<f4").reshape(-1, WIDTH) for *_, b in rows], np.array([float(q == 1) for _, q, _ in rows]), seed=seed)
 
 
-def _spaced(vectors: np.ndarray) -> np.ndarray:
-    if len(vectors) <= BAG_PASSAGES:
-        return vectors
-    return vectors[np.linspace(0, len(vectors) - 1, BAG_PASSAGES).astype(int)]
-
-
 def score(docs: DataFrame, model: AttentionModel, accept: float = ACCEPT, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, from all passages of its text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         for batch in batches:
-            for part, texts in slices(batch, "text", _SLICE_BYTES):
+            for part, texts in slices(batch, "text", _SLICE_BYTES, PASSAGE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(shared.value.scores(*passages(texts)), 6))], ["doc_id", "score"])
 
     rows = docs.select("doc_id", text_bytes(F.col("text")).alias("text"))
@@ -205,7 +241,7 @@ def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     def kept(batches):
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).fill_null(b"")
-            for part, some in slices(pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], ["text", "i"]), "text", _SLICE_BYTES):
+            for part, some in slices(pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], ["text", "i"]), "text", _SLICE_BYTES, PASSAGE_BYTES):
                 good = np.round(shared.value.scores(*passages(some)), 6) >= accept
                 yield batch.slice(part.column(1)[0].as_py(), len(part)).filter(pa.array(good))
 

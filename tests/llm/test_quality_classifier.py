@@ -1,4 +1,7 @@
+import random
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -12,12 +15,76 @@ def test_vectors_depend_on_the_text_alone():
     assert np.array_equal(vectors, np.concatenate([qc.passages([t])[0] for t in texts]))
 
 
+def dense(text):
+    """Vectors of one text by plain counting."""
+    out = []
+    for first in range(0, max(1, len(text)), qc.PASSAGE_BYTES):
+        own = text[first : first + qc.PASSAGE_BYTES]
+        v = np.zeros(qc.WIDTH)
+        for c in own:
+            v[qc._CLASS[c]] += 1 / len(own)
+        for place, reach in enumerate((2, 4, 8)):
+            codes = Counter()
+            for i in range(first, first + len(own)):
+                if i + reach <= len(text):
+                    code = 0
+                    for c in text[i : i + reach]:
+                        code = (code * 257 + c + 2**63) % 2**64 - 2**63
+                    mixed = ((code * 0x9E3779B97F4A7C1 + 2**63) % 2**64 - 2**63) >> 20
+                    codes[mixed % (96 if reach == 2 else 1024)] += 1
+            n = sum(codes.values())
+            if reach == 2:
+                for bucket, k in codes.items():
+                    v[8 + bucket] = (k / n) ** 0.5
+            v[8 + 96 + place] = (sum(k * k - k for k in codes.values()) / max(1, n * (n - 1))) ** 0.5
+        out.append(v)
+    return np.array(out)
+
+
+def test_vectors_by_counting():
+    texts = [b"", b"a", b"some words of a text " * 60, "é東ß ".encode() * 300, bytes(random.Random(1).choices(range(32, 127), k=3000))]
+    vectors, _ = qc.passages(texts)
+    assert np.abs(vectors - np.concatenate([dense(t) for t in texts])).max() < 1e-5
+
+
+def test_rounds_do_not_show(monkeypatch):
+    texts = [b"one text " * 400, b"", b"x" * 513, b"y", bytes(range(256)) * 9]
+    whole = qc.passages(texts)[0]
+    for most in (1, 2, 5):
+        monkeypatch.setattr(qc, "_ROUND", most)
+        assert np.array_equal(qc.passages(texts)[0], whole)
+
+
+def test_memory_of_a_long_text_and_of_many_short_ones():
+    for texts in ([b"long words " * 1_000_000], [b"some short text"] * 20_000):
+        tracemalloc.start()
+        qc.passages(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 120e6
+
+
+def test_sample_takes_whole_bags_and_is_the_same_every_time(spark, make_docs):
+    docs = make_docs([(i, f"text {i} " * (10 if i % 9 else 4000)) for i in range(400)] + [(7, f"more {i}") for i in range(50)] * 2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+
+    def chosen(parts, **bounds):
+        rows = qc._training_rows(docs.repartition(parts), labels, **({"sample_rows": 10_000, "passages_most": 10**6} | bounds), folds=5, seed=5).collect()
+        return {(r.doc_id, r.row): r.quality for r in rows}
+
+    every = chosen(3)
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400)) + 50 * (zlib.crc32(b"7") % 5 != 0)
+    assert len(chosen(3, sample_rows=60)) == 60 and chosen(3, sample_rows=60) == chosen(8, sample_rows=60)
+    some = chosen(4, passages_most=500)
+    assert 0 < len(some) < len(every) and some == chosen(9, passages_most=500) and some.items() <= every.items()
+
+
 def test_gradient():
-    random = np.random.default_rng(1)
+    rng = np.random.default_rng(1)
     counts = np.array([3, 1, 5])
-    x, y = random.normal(size=(9, 6)), np.array([1.0, 0.0, 1.0])
-    w = {"encode": random.normal(size=(6, 4)), "encode_bias": random.normal(size=4), "tanh": random.normal(size=(4, 3)), "gate": random.normal(size=(4, 3)),
-         "energy": random.normal(size=3), "score": random.normal(size=4), "score_bias": np.zeros(1)}
+    x, y = rng.normal(size=(9, 6)), np.array([1.0, 0.0, 1.0])
+    w = {"encode": rng.normal(size=(6, 4)), "encode_bias": rng.normal(size=4), "tanh": rng.normal(size=(4, 3)), "gate": rng.normal(size=(4, 3)),
+         "energy": rng.normal(size=3), "score": rng.normal(size=4), "score_bias": np.zeros(1)}
 
     def loss():
         p = qc._sigmoid(qc._forward(w, x, counts)["logit"])
