@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions.errors import is_outage
 from claimweave.functions.variants import is_object, texts_at, value_at, wrapped
 from claimweave.operators.latest import newest_first, newest_per_key
 from claimweave.operators.skew import hot_join
@@ -32,11 +33,14 @@ def pattern_extractor(content, response_format: dict) -> dict:
     return {"response": response, "scoring": scoring, "error": None}
 
 
-def extract_documents(documents: DataFrame, templates: DataFrame, key: str, content: str, extractor: Extractor) -> DataFrame:
+def extract_documents(
+    documents: DataFrame, templates: DataFrame, key: str, content: str, extractor: Extractor, outage: Callable[[BaseException], bool] = is_outage
+) -> DataFrame:
     """Payload text per document, produced by a pluggable extractor on the executors.
 
     `documents` has `key`, `content` and template_id; `templates` holds one resolved version per id. A document whose
-    extractor raises, or whose template is not known, gets an error payload; the others go on. Contents stay where they are: up to
+    extractor raises, or whose template is not known, gets an error payload with the error's class; the others go on. An error that
+    `outage` says is not about the document (a service, a disk, memory) ends the job. Contents stay where they are: up to
     MAX_TEMPLATES formats travel to them; beyond, formats are joined to the ids first and only the format's text joins the contents.
     """
     formats = templates.select("template_id", F.to_json("response_format").alias("_format"))
@@ -63,6 +67,8 @@ def extract_documents(documents: DataFrame, templates: DataFrame, key: str, cont
                         known[text] = json.loads(text)
                     result = extractor(value, known[text])
                 except Exception as problem:
+                    if outage(problem):
+                        raise
                     result = {"response": None, "scoring": None, "error": {"message": str(problem), "code": type(problem).__name__}}
                 payloads.append(json.dumps(result))
             yield pd.DataFrame({key: batch[key], "payload": payloads})

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.text import is_blank, sanitize_name
 from claimweave.operators.latest import newest_per_key
-from claimweave.operators.skew import hot_join
 from claimweave.vocabulary import CLASSIFIER_RULES, DOCUMENT_TYPES, OTHER, SUPPORTED_FILE
 
 
@@ -81,10 +80,15 @@ def new_folders(changes: DataFrame) -> DataFrame:
     return list_documents(inserted(changes)).select("folder").distinct()
 
 
+def touched_folders(changes: DataFrame) -> DataFrame:
+    """Folders that got or lost at least one supported file."""
+    return list_documents(changes.filter(F.col("action").isin("INSERT", "DELETE"))).select("folder").distinct()
+
+
 def folders_to_reload(listing: DataFrame, folders: DataFrame) -> DataFrame:
-    """Every listed file of the touched folders: one new file reloads its whole folder."""
+    """Every listed file of the touched folders: one new file reloads its whole folder. Adaptive execution splits a hot folder."""
     listed = list_documents(listing, supported_only=False)
-    return hot_join(listed, folders.select("folder").distinct(), ["folder"], "left_semi", F.col("relative_path"))
+    return listed.join(folders.select("folder").distinct(), "folder", "left_semi").select(*listed.columns)
 
 
 def pending_files(changes: DataFrame, processed: DataFrame) -> DataFrame:

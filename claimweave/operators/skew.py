@@ -1,20 +1,22 @@
 """Joins and groupings that stay balanced when one key holds a large share of the rows.
 
-`hot_groups` lists the keys with more than `limit` rows. A table of n rows has fewer than n / limit of them, so the list is
-small whatever the data looks like; that bound is what makes broadcasting it safe. Counting is a partial aggregate: no
-task ever sees a whole group.
+`hot_groups` lists the keys with more than `limit` rows, the `MOST_GROUPS` largest at most; that bound is what makes broadcasting it
+safe. Groups beyond it are no larger than any of those, are not cut, and are joined like all others. Counting is a
+partial aggregate: no task ever sees a whole group.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MOST_GROUPS = 10_000
 
 
 def hot_groups(rows: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `limit` rows, with the number of parts of at most about `limit` rows each needs."""
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.filter(F.col("_rows") > limit).select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
+    hot = counted.filter(F.col("_rows") > limit).orderBy(F.desc("_rows"), *keys).limit(MOST_GROUPS)
+    return hot.select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
 
 
 def with_part(rows: DataFrame, keys: list[str], spread_by: Column, limit: int = HOT_ROWS, part: str = "part") -> DataFrame:

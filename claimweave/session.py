@@ -40,16 +40,21 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
+def stored(rows: DataFrame, purpose: str) -> str:
+    """Path of rows that were written to the shared scratch folder."""
+    path = scratch_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    if _written.get() is not None:
+        _written.get().append(path)
+    return path
+
+
 def materialize(rows: DataFrame, purpose: str) -> DataFrame:
     """Writes rows to the shared scratch folder and reads them back.
 
     Cuts lineage in a way that survives lost executors, and lets later passes read only the columns they need.
     """
-    path = scratch_dir(rows.sparkSession, purpose)
-    rows.write.parquet(path)
-    if _written.get() is not None:
-        _written.get().append(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(stored(rows, purpose))
 
 
 @contextmanager

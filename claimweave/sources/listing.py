@@ -1,6 +1,4 @@
-"""Directory listings as DataFrames."""
-
-import re
+"""Directory listings as DataFrames. Contents of listed files, and a stream that sees overwritten and deleted ones, are in `files`."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +36,7 @@ def read_directory(spark: SparkSession, root: str) -> DataFrame:
 
 def stream_directory(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Files as they arrive below a folder; every name is seen once per checkpoint, so it suits stages whose files are never
-    overwritten. `process_directory` sees overwritten ones, a change log (`stream_change_log`) both."""
+    overwritten or deleted. `files.stream_files` and a change log (`stream_change_log`) give those changes, too."""
     reader = spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -58,29 +56,6 @@ def directory_changes(spark: SparkSession, root: str, known: DataFrame) -> DataF
     )
 
 
-# Up to so many paths are handed to the file source one by one; for more, it is given their folders.
-MAX_PATHS = 10_000
-
-
-def read_contents(files: DataFrame, root: str) -> DataFrame:
-    """Path and bytes of the listed files, for an extractor. Other files are not opened."""
-    spark, wanted = files.sparkSession, files.select("relative_path").distinct()
-    names = [row["relative_path"] for row in wanted.limit(MAX_PATHS + 1).collect()]
-    if not names:
-        return spark.createDataFrame([], "relative_path string, content binary")
-    if len(names) > MAX_PATHS:
-        folders = wanted.select(F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("folder")).distinct().limit(MAX_PATHS + 1).collect()
-        names = [row["folder"] for row in folders] if len(folders) <= MAX_PATHS else [""]
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = reader.load([f"{root.rstrip('/')}/{_literal(name)}" for name in names])
-    return found.select(relative_to(F.col("path"), root).alias("relative_path"), "content").join(wanted, "relative_path", "left_semi")
-
-
-def _literal(path: str) -> str:
-    """A path in which characters of file patterns stand for themselves."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
-
-
 def stream_change_log(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Changes from a log that the storage writes as JSON lines (relative_path, modified_at, size, action).
 

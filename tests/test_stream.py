@@ -1,16 +1,18 @@
 import datetime
 import json
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave.functions import errors
 from claimweave.operators.extraction import extract_documents
 from claimweave.operators.intake import classify_documents, list_documents
 from claimweave.sources import listing, templates
+from claimweave.sources.files import read_contents, stream_files
 from claimweave.sources.tables import ClaimTables
 from claimweave.operators.runs import run_history
-from claimweave.streaming import process
 from claimweave.streaming.process import ClaimProcessor, process_directory, process_new_claims, record_decisions
 
 
@@ -32,7 +34,7 @@ def stage(spark, tmp_path):
 
     def read_payloads(files):
         typed = classify_documents(list_documents(files)).select("relative_path", "template_id")
-        contents = listing.read_contents(files, str(root)).join(typed, "relative_path")
+        contents = read_contents(files, str(root)).join(typed, "relative_path")
         return extract_documents(contents, resolved, "relative_path", "content", read_json)
 
     processor = ClaimProcessor(tables, read_payloads)
@@ -111,7 +113,7 @@ def test_deleted_files_and_retry(spark, stage):
     processor(changes.withColumn("modified_at", later).withColumn("size", F.lit(1).cast("long")), 1)
     newest = tables.read("run_log").filter("run > 1000000 AND folder = 'a'")
     assert newest.count() == 1 and tables.read("files").filter("action = 'DELETE'").count() == 1
-    assert tables.read("extractions").filter("extracted_at IS NOT NULL").count() == 3
+    assert {r.document_type for r in tables.read("extractions").collect()} == {"CLAIM_FORM", "PAYMENT_RECEIPT"}
 
     put(root, "late", claim_form={"claim_id": "L"})
     again = ClaimProcessor(tables, processor.read_payloads, retry_failed=True)
@@ -164,10 +166,10 @@ def test_decisions_of_several_writers(spark, stage):
     class Slow(ClaimTables):
         """A reviewer decides while a batch is between reading and writing claims."""
 
-        def write(self, name, rows, run):
+        def write(self, name, rows, run, observed=None):
             if name == "results":
                 decide(spark, tables, "A", "REJECTED", "meanwhile")
-            return super().write(name, rows, run)
+            return super().write(name, rows, run, observed)
 
     form = listing.read_directory(spark, str(root)).filter("relative_path = 'a/claim_form.pdf'")
     ClaimProcessor(Slow(spark, tables.root, buckets=4), processor.read_payloads)(form, 1)
@@ -182,16 +184,15 @@ def test_a_folder_that_cannot_be_read(spark, stage):
     processor(listing.read_directory(spark, str(root)), 0)
 
     def refuse(files):
-        if files.filter("folder IN ('b', 'd')").count():
-            raise OSError("disk on fire")
-        return processor.read_payloads(files)
+        bad = F.when(F.element_at(F.split("relative_path", "/"), 1).isin("b", "d"), "PermissionError: not yours")
+        return processor.read_payloads(files).withColumn("read_error", bad)
 
     later = listing.read_directory(spark, str(root)).withColumn("modified_at", F.lit("2100-01-01").cast("timestamp_ntz"))
     ClaimProcessor(tables, refuse)(later, 1)
     assert {c: s == "EXTRACTION_FAILED" for c, s in statuses(tables).items()} == {"A": False, "B": True, "C": False, "D": True}
-    assert tables.read("claims").filter("claim_id = 'B'").first().reviewer_comments == "Folder processing error: disk on fire"
+    assert tables.read("claims").filter("claim_id = 'B'").first().reviewer_comments == "Folder processing error: PermissionError: not yours"
     summary = processor.summaries().orderBy(F.desc("run_id")).first()
-    assert (summary.folders_processed, summary.folders_failed, summary.last_error) == (2, 2, "disk on fire")
+    assert (summary.folders_processed, summary.folders_failed, summary.last_error) == (2, 2, "PermissionError: not yours")
     processor.retry()
     assert not [c for c, s in statuses(tables).items() if s == "EXTRACTION_FAILED"]
     shown = [(r.state, r.return_value) for r in run_history(processor.history(), F.current_timestamp().cast("timestamp_ntz")).collect()]
@@ -201,6 +202,121 @@ def test_a_folder_that_cannot_be_read(spark, stage):
     ]
 
 
+def test_an_outage_fails_the_run_marks_nothing_and_is_replayed(spark, stage, tmp_path):
+    """A service that is down meets every file: the extractor finds out on the executors."""
+    root, tables, processor, _ = stage
+    for claim in ("A", "B", "C", "D"):
+        put(root, claim.lower(), claim_form={"claim_id": claim, "patient_name": "Ann"})
+    down, calls = tmp_path / "down", []
+    resolved = templates.resolve_templates(templates.builtin_templates(spark))
+
+    def ask_service(content, response_format):
+        if down.exists():
+            raise ConnectionError("model service down")
+        return {"response": json.loads(bytes(content)), "scoring": None, "error": None}
+
+    def read(files):
+        calls.append(1)
+        typed = classify_documents(list_documents(files)).select("relative_path", "template_id")
+        contents = read_contents(files, str(root)).join(typed, "relative_path")
+        return extract_documents(contents, resolved, "relative_path", "content", ask_service)
+
+    by_service = ClaimProcessor(tables, read)
+
+    def run():
+        changes = stream_files(spark, str(root), str(tmp_path / "state"), parts=3)
+        process_new_claims(changes, by_service, str(tmp_path / "checkpoint-service")).awaitTermination()
+
+    run()
+    before = {name: sorted(map(str, tables.read(name).collect())) for name in ("claims", "results", "documents", "run_log")}
+    assert set(statuses(tables)) == {"A", "B", "C", "D"} and "EXTRACTION_FAILED" not in statuses(tables).values()
+
+    time.sleep(0.01)
+    down.touch()
+    for claim in ("A", "B", "C", "D"):
+        put(root, claim.lower(), claim_form={"claim_id": claim, "patient_name": "Ann, corrected"})
+    for _ in range(2):
+        calls.clear()
+        with pytest.raises(Exception, match="model service down"):
+            run()
+        assert len(calls) == 1  # no search for a folder to blame
+    assert {name: sorted(map(str, tables.read(name).collect())) for name in before} == before
+    last = processor.history().orderBy(F.desc("run_id")).first()
+    assert last.state == "FAILED" and "model service down" in last.error_message
+
+    down.unlink()
+    run()
+    assert {r.patient_name for r in tables.read("claims").collect()} == {"Ann, corrected"}
+    assert processor.history().orderBy(F.desc("run_id")).first().state == "SUCCEEDED"
+
+
+def test_a_reader_that_raises_fails_the_run(spark, stage):
+    root, tables, _, _ = stage
+    put(root, "a", claim_form={"claim_id": "A"})
+
+    def at_fault(files):
+        raise RuntimeError("no such service")
+
+    with pytest.raises(RuntimeError, match="no such service"):
+        ClaimProcessor(tables, at_fault)(listing.read_directory(spark, str(root)), 0)
+    assert statuses(tables) == {} and tables.read("run_log").isEmpty()
+
+
+def test_errors_about_a_file_and_others():
+    about_a_file = [FileNotFoundError("x"), PermissionError("x"), ValueError("x"), KeyError("x"), UnicodeDecodeError("utf-8", b"", 0, 1, "x"), RuntimeError("x")]
+    others = [ConnectionResetError("x"), TimeoutError("x"), OSError(28, "no space left"), MemoryError(), errors.ServiceUnavailable("x")]
+    assert not any(map(errors.is_outage, about_a_file)) and all(map(errors.is_outage, others))
+
+
+def document_check(tables, claim):
+    row = tables.read("results").filter(f"claim_id = '{claim}' AND validation_category = 'DOCUMENT'").first()
+    return str((row.validation_status, row.actual_value, row.validation_message))
+
+
+def test_documents_whose_file_has_gone(spark, stage):
+    """The form sent again, a deletion alone, a file that comes back, and a folder that loses everything."""
+    root, tables, processor, _ = stage
+    whole = dict(claim_form={"claim_id": "A", "patient_name": "Ann"}, prescription={"patient_name": "Ann"}, receipt={"amount_paid": "1"})
+    put(root, "a", **whole)
+    put(root, "b", claim_form={"claim_id": "B"}, prescription={"patient_name": "Bob"})
+    process_directory(processor, str(root))
+    with_prescription = document_check(tables, "A")
+    others = sorted(map(str, tables.read("documents").filter("claim_id = 'B'").collect()))
+
+    def names():
+        return {r.file_name for r in tables.read("documents").filter("claim_id = 'A'").collect()}
+
+    (root / "a" / "prescription.pdf").unlink()
+    time.sleep(0.01)
+    put(root, "a", claim_form=whole["claim_form"])
+    process_directory(processor, str(root))
+    assert names() == {"claim_form.pdf", "receipt.pdf"}
+    assert {r.document_type for r in tables.read("extractions").filter("claim_id = 'A'").collect()} == {"CLAIM_FORM", "PAYMENT_RECEIPT"}
+    without = document_check(tables, "A")
+    assert without != with_prescription and "PRESCRIPTION" in without
+
+    (root / "a" / "receipt.pdf").unlink()  # nothing is sent
+    process_directory(processor, str(root))
+    assert names() == {"claim_form.pdf"}
+
+    put(root, "a", prescription=whole["prescription"])
+    process_directory(processor, str(root))
+    assert names() == {"claim_form.pdf", "prescription.pdf"}
+
+    (root / "a" / "claim_form.pdf").unlink()  # the folder can't be loaded any more, but its claim has lost a document
+    process_directory(processor, str(root))
+    assert names() == {"prescription.pdf"} and "CLAIM_FORM" in document_check(tables, "A")
+    (root / "a" / "prescription.pdf").unlink()
+    process_directory(processor, str(root))
+    assert names() == set() and tables.read("extractions").filter("claim_id = 'A'").isEmpty()
+    assert sorted(map(str, tables.read("documents").filter("claim_id = 'B'").collect())) == others
+
+    moved = tables.compacted(tables.root + "-compacted")
+    for name in ("documents", "extractions", "claims", "results", "files"):
+        assert sorted(map(str, moved.read(name).collect())) == sorted(map(str, tables.read(name).collect()))
+    assert moved._versions("documents").filter("deleted").isEmpty()
+
+
 def test_any_number_of_folders_that_cannot_be_read(spark, stage):
     """Errors that the reader gives for its files, on the executors: the folders that can be read load."""
     _, tables, processor, _ = stage
@@ -220,50 +336,23 @@ def test_any_number_of_folders_that_cannot_be_read(spark, stage):
     assert len(logged) == 150 and logged["f019"] is None and logged["f149"] == "no access to f149"
 
 
-def test_more_than_a_hundred_folders_that_raise(spark, stage, monkeypatch):
-    _, tables, _, _ = stage
-    monkeypatch.setattr(process, "materialize", lambda rows, purpose: rows)
-    files = spark.range(0, 104, 1, 1).selectExpr("format_string('f%03d', id) AS folder", "format_string('f%03d/a.pdf', id) AS relative_path")
-
-    def refuse(part):
-        names = [r.folder for r in part.collect()]
-        if any(name >= "f003" for name in names):
-            raise OSError("disk on fire")
-        return part.select("relative_path", F.lit("{}").alias("payload"))
-
-    payloads, broken = ClaimProcessor(tables, refuse)._read_isolated(files)
-    assert sorted(r.relative_path for r in payloads.collect()) == ["f000/a.pdf", "f001/a.pdf", "f002/a.pdf"]
-    assert sorted(r.folder for r in broken.collect()) == [f"f{number:03}" for number in range(3, 104)]
-
-    def at_fault(part):
-        raise OSError("no such service")
-
-    with pytest.raises(OSError, match="no such service"):
-        ClaimProcessor(tables, at_fault)._read_isolated(files)
-
-
-def test_only_listed_files_are_opened(spark, tmp_path):
-    put(tmp_path, "a", one={"x": 1}, two={"x": 2})
-    put(tmp_path, "b", three={"x": 3})
-    (tmp_path / "a" / "odd {name}[1].pdf").write_text("odd")
-    files = listing.read_directory(spark, str(tmp_path)).filter("relative_path NOT LIKE '%two%'")
-    assert {r.relative_path for r in listing.read_contents(files, str(tmp_path)).collect()} == {"a/one.pdf", "b/three.pdf", "a/odd {name}[1].pdf"}
-    rows = spark.createDataFrame(files.select("relative_path").collect(), "relative_path string")
-    assert len(listing.read_contents(rows, str(tmp_path)).inputFiles()) == 3
-    assert listing.read_contents(files.limit(0), str(tmp_path)).collect() == []
-
-
-def test_compaction_in_place(spark, stage):
+def test_compaction_into_a_new_root(spark, stage):
     root, tables, processor, _ = stage
     for number in range(3):
         put(root, "a", **{f"receipt_{number}": {"amount_paid": "1"}}, claim_form={"claim_id": "A"})
         changes = listing.read_directory(spark, str(root)).withColumn("modified_at", F.lit(f"210{number}-01-01").cast("timestamp_ntz"))
         processor(changes, number)
-    before = {name: sorted(map(str, tables.read(name).collect())) for name in ("claims", "documents", "extractions", "results", "evidence", "files")}
-    for name in before:
-        tables.compact(name, 3 * 1_000_000 + 1)
-        assert tables._versions(name, None).select("run").distinct().count() == 1
-    assert {name: sorted(map(str, tables.read(name).collect())) for name in before} == before
+    decide(spark, tables, "A", "APPROVED")
+    names = ("claims", "documents", "extractions", "results", "evidence", "files", "run_log", "runs", "decisions")
+    before = {name: sorted(map(str, tables.read(name).collect())) for name in names}
+    new = tables.compacted(tables.root + "-2")
+    for at in (tables, new):
+        assert {name: sorted(map(str, at.read(name).collect())) for name in names} == before
+    assert new._versions("documents").select("run").distinct().count() == 1
+    # The next batch goes on there.
+    put(root, "b", claim_form={"claim_id": "B"})
+    ClaimProcessor(new, processor.read_payloads)(listing.read_directory(spark, str(root)).filter("relative_path LIKE 'b/%'"), 3)
+    assert set(statuses(new)) == {"A", "B"} and set(statuses(tables)) == {"A"} and statuses(new)["A"] == "APPROVED"
 
 
 def test_no_untouched_bucket_is_read(spark, stage):
@@ -274,5 +363,8 @@ def test_no_untouched_bucket_is_read(spark, stage):
     touched = spark.createDataFrame([("f1",)], "folder string")
     buckets = tables.buckets_of(touched, "folder")
     for name in ("documents", "extractions", "files"):
-        opened = tables.read(name, buckets=buckets).inputFiles()
+        pruned = tables.read(name, buckets=buckets)
+        plan = pruned._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (IN|=)", plan), plan
+        opened = {r.f for r in tables._versions(name, buckets).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
         assert opened and all(f"/bucket={buckets[0]}/" in path for path in opened)
