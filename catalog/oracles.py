@@ -683,3 +683,65 @@ ORACLES["process_new_claims"] = _with(
     VALUES, MEDICINES, FEATURES, *_result_ctes(),
 ) + """
     SELECT claim_id, recommendation AS claim_status, validation_category, validation_status, severity FROM results JOIN recommended USING (claim_id)"""
+
+ORACLES["touched_folders"] = _with(FILES) + "SELECT DISTINCT folder FROM listed WHERE supported"
+ORACLES["sync_documents"] = _with(ORDERS, DOCS) + """
+    SELECT document_id, claim_id, document_type, CASE WHEN o_orderstatus = 'F' AND t = 1 THEN 'EXTRACTING' WHEN failed THEN 'FAILED' ELSE 'EXTRACTED' END AS processing_status,
+           CAST(d AS TIMESTAMP) AS uploaded_at
+    FROM docs WHERE o_orderstatus <> 'F' OR t IN (1, 6)"""
+ORACLES["stream_file_changes"] = """
+    SELECT 'folder=d' || doc_id AS folder, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS inserted, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS deleted,
+           CAST((octet_length(encode(coalesce(text, ''))) + 1) * CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS bytes
+    FROM documents"""
+ORACLES["listed_contents"] = """
+    SELECT 'd' || doc_id AS folder, octet_length(encode(coalesce(text, ''))) + 1 AS n_bytes, md5(coalesce(text, '') || chr(10)) AS content_md5,
+           CAST(NULL AS VARCHAR) AS error_class
+    FROM documents WHERE source IN ('src0', 'src1', 'src2')
+    UNION ALL SELECT 'd' || doc_id, NULL, NULL, 'FileNotFoundError' FROM documents WHERE doc_id % 10 = 0"""
+
+# After the second run: prescriptions of every fifth order are gone and discharge summaries of every seventh unreadable, but not where
+# the folder could not be opened (every eleventh); there everything is as before.
+_KEPT = f"{_USABLE} AND NOT (t = 2 AND k % 5 = 0 AND k % 11 <> 0)"
+_SPOILT = "(t = 3 AND k % 7 = 0 AND k % 11 <> 0)"
+_CHANGED_DOCS = DOCS.replace("t > 1 AND (k + t) % 31 = 0 AS failed", f"(t > 1 AND (k + t) % 31 = 0) OR {_SPOILT} AS failed")
+ORACLES["process_changed_claims"] = _with(
+    ORDERS,
+    CLAIMS.replace("FROM o\n", f"FROM o WHERE {_LOADED}\n"),
+    _CHANGED_DOCS.replace("WHERE t = 1 OR", f"WHERE {_KEPT} AND (t = 1 OR").replace("k % 29 <> 0)\n)", "k % 29 <> 0))\n)"),
+    VALUES, MEDICINES, FEATURES, *_result_ctes(),
+) + """
+    SELECT claim_id, CASE WHEN k % 11 = 0 THEN 'EXTRACTION_FAILED' ELSE recommendation END AS claim_status, validation_category, validation_status, severity
+    FROM results JOIN recommended USING (claim_id) JOIN o USING (claim_id)"""
+
+# Runs are numbered 1,000,000 and 2,000,000. A copied form is a supported file of its own.
+_FOLDER_FILES = f"""
+folder_files AS (
+  SELECT k, folder, folder || '/' || file_name AS relative_path, t, claim_id,
+         failed OR (t = 7 AND k % 77 = 0) OR (t = 3 AND k % 83 = 0) AS bad
+  FROM docs
+  UNION ALL SELECT k, folder, folder || '/claim_form_copy.pdf', 1, claim_id, FALSE FROM o WHERE k % 33 = 0
+),
+hit AS (
+  SELECT *, k % 11 = 0 AS closed, bool_or((t = 2 AND k % 5 = 0) OR (t = 3 AND k % 7 = 0) OR (relative_path LIKE '%/claim_form.%' AND k % 11 = 0))
+         OVER (PARTITION BY k) AS touched
+  FROM folder_files WHERE {_LOADED}
+),
+after AS (
+  SELECT *, CASE WHEN touched AND NOT closed THEN 2000000 ELSE 1000000 END AS run, bad OR {_SPOILT} AS failed_now
+  FROM hit WHERE NOT (t = 2 AND k % 5 = 0 AND NOT closed)
+)"""
+ORACLES["stored_documents"] = _with(ORDERS, DOCS, _FOLDER_FILES) + """
+    SELECT sha256(relative_path) AS document_id, sha256(sha256(relative_path) || '|' || run) AS extraction_id, claim_id, relative_path,
+           CASE WHEN failed_now THEN 'FAILED' ELSE 'EXTRACTED' END AS processing_status,
+           CASE WHEN failed_now THEN 'FAILED' ELSE 'EXTRACTED' END AS extraction_status
+    FROM after"""
+ORACLES["engine_history"] = _with(ORDERS, DOCS) + f"""
+, folders AS (
+  SELECT k, {_LOADED} AS loaded, k % 11 = 0 AS closed, bool_or((t = 2 AND k % 5 = 0) OR (t = 3 AND k % 7 = 0) OR (t = 1 AND k % 11 = 0 AND k % 97 <> 0)) AS touched
+  FROM docs GROUP BY k
+), counted AS (
+  SELECT 1000000 AS run_id, count(*) FILTER (WHERE loaded) AS good, count(*) FILTER (WHERE NOT loaded) AS bad FROM folders
+  UNION ALL SELECT 2000000, count(*) FILTER (WHERE touched AND loaded AND NOT closed), count(*) FILTER (WHERE touched AND (closed OR NOT loaded)) FROM folders
+)
+SELECT run_id, 'SUCCEEDED' AS state, CASE WHEN bad = 0 THEN 'SUCCESS: ' ELSE 'COMPLETED_WITH_ERRORS: ' END || good || ' folders processed, ' || bad || ' failed' AS return_value,
+       CAST(NULL AS VARCHAR) AS error_message FROM counted"""

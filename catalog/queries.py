@@ -8,7 +8,8 @@ from claimweave.operators import extraction, intake, keyed, latest, medicines, r
 from claimweave.plans import features, loading, validation
 from claimweave.session import materialize, scratch_dir
 from claimweave.sources import derived as D
-from claimweave.sources import templates
+from claimweave.sources import files as files_source
+from claimweave.sources import listing, templates
 from claimweave.sources.tables import ClaimTables
 from claimweave.streaming import process
 
@@ -256,6 +257,18 @@ def upsert_documents(spark, sf_dir):
     return keyed.upsert_documents(target, registered, day("2024-01-31"))
 
 
+@query
+def sync_documents(spark, sf_dir):
+    """Folders of finished orders are loaded again: forms come back, diagnostic reports are there and not loaded, all other files have gone."""
+    documents = D.documents(spark, sf_dir)
+    finished = D.orders(spark, sf_dir).filter(F.col("o_orderstatus") == "F").select("folder")
+    listing = documents.filter(F.col("document_type").isin("CLAIM_FORM", "DIAGNOSTIC_REPORT"))
+    registered = listing.filter(F.col("document_type") == "CLAIM_FORM").withColumn("folder", intake.folder_of(F.col("relative_path")))
+    registered = registered.join(finished, "folder", "left_semi").drop("folder")
+    synced = keyed.sync_documents(documents, registered, listing, finished, day("2024-01-31"))
+    return synced.select("document_id", "claim_id", "document_type", "processing_status", "uploaded_at")
+
+
 @query
 def replace_by_key(spark, sf_dir):
     documents = D.documents(spark, sf_dir).select("claim_id", "document_type", "relative_path")
@@ -565,6 +578,58 @@ def stream_new_folders(spark, sf_dir):
     return process.stream_new_folders(spark, sf_dir)
 
 
+@query
+def stream_file_changes(spark, sf_dir):
+    return process.stream_file_changes(spark, sf_dir)
+
+
+@query
+def listed_contents(spark, sf_dir):
+    """Contents of the files of three sources out of a folder of all document texts; a listed file that is not there has a reason instead."""
+    root = scratch_dir(spark, "texts")
+    texts = D.table(spark, sf_dir, "documents").withColumn("folder", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    D.write_texts(texts, root)
+    files = listing.read_directory(spark, root).withColumn("folder", F.regexp_extract("relative_path", "^folder=([^/]*)/", 1))
+    wanted = files.join(texts.filter(F.col("source").isin("src0", "src1", "src2")).select("folder"), "folder", "left_semi").drop("folder")
+    gone = texts.filter(F.col("doc_id") % 10 == 0).select(F.concat(F.lit("gone/"), "folder").alias("relative_path"), F.lit(None).alias("size"))
+    found = files_source.read_contents(wanted.select("relative_path", "size").unionByName(gone), root)
+    return found.select(
+        F.regexp_extract("relative_path", "(?:folder=|gone/)([^/]*)", 1).alias("folder"), F.octet_length("content").cast("long").alias("n_bytes"),
+        F.md5("content").alias("content_md5"), F.split_part("read_error", F.lit(":"), F.lit(1)).alias("error_class"),
+    )
+
+
+@query
+def touched_folders(spark, sf_dir):
+    return intake.touched_folders(D.event_files(spark, sf_dir))
+
+
+@query
+def process_changed_claims(spark, sf_dir):
+    """Stored results after a run in which files were deleted, overwritten and unreadable."""
+    tables = process.changed_processor(spark, sf_dir).tables
+    status = tables.read("claims").select("claim_id", "claim_status")
+    return tables.read("results").join(status, "claim_id").select("claim_id", "claim_status", "validation_category", "validation_status", "severity")
+
+
+@query
+def stored_documents(spark, sf_dir):
+    """Stored documents after the same runs, with their newest extraction; ids are digests of path and run."""
+    tables = process.changed_processor(spark, sf_dir).tables
+    attempts = tables.read("extractions").select("document_id", "extraction_id", "extraction_status")
+    return tables.read("documents").join(attempts, "document_id").select(
+        "document_id", "extraction_id", "claim_id", "relative_path", "processing_status", "extraction_status"
+    )
+
+
+@query
+def engine_history(spark, sf_dir):
+    """The engine's own run history of those runs."""
+    history = process.changed_processor(spark, sf_dir).history()
+    shown = runs.run_history(history, history.agg(F.max("scheduled_at")).scalar())
+    return shown.select("run_id", "state", "return_value", "error_message")
+
+
 @query
 def process_new_claims(spark, sf_dir):
     return process.process_derived_claims(spark, sf_dir)

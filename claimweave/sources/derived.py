@@ -323,6 +323,13 @@ def folder_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter((F.col("document_type") != "DISCHARGE_SUMMARY") | (_k() % 83 != 0)).select("relative_path", changed.alias("payload"))
 
 
+def write_texts(texts: DataFrame, root: str) -> None:
+    """One file per text, in a folder of its own (`folder`, `doc_id`, `text`); folders that are there are written anew."""
+    named = texts.select(F.coalesce("text", F.lit("")).alias("value"), "folder")
+    writer = named.repartition("folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("maxRecordsPerFile", 1).option("lineSep", "\n").partitionBy("folder").text(root)
+
+
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_event_files(table(spark, sf_dir, "events"))
 
