@@ -745,3 +745,12 @@ ORACLES["engine_history"] = _with(ORDERS, DOCS) + f"""
 )
 SELECT run_id, 'SUCCEEDED' AS state, CASE WHEN bad = 0 THEN 'SUCCESS: ' ELSE 'COMPLETED_WITH_ERRORS: ' END || good || ' folders processed, ' || bad || ' failed' AS return_value,
        CAST(NULL AS VARCHAR) AS error_message FROM counted"""
+ORACLES["claim_listings"] = _with(ORDERS, DOCS, VALUES, MEDICINES) + """
+, items AS (
+  SELECT claim_id, 'NAME' AS kind, document_type, coalesce(nm, 'NOT EXTRACTED') AS name, document_type || ': ' || coalesce(nm, 'NOT EXTRACTED') AS item FROM vals
+  UNION ALL SELECT claim_id, side, '', medicine, medicine FROM medk
+), parted AS (
+  SELECT *, coalesce(sum(length(item) + 3) OVER (PARTITION BY claim_id, kind ORDER BY document_type, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 120 AS part
+  FROM items
+)
+SELECT claim_id, kind, CAST(part AS BIGINT) AS part, count(*) AS n_items, string_agg(item, '|' ORDER BY document_type, name) AS listing FROM parted GROUP BY ALL"""

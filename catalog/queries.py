@@ -399,6 +399,13 @@ def validate_financial(spark, sf_dir):
     )
 
 
+@query
+def claim_listings(spark, sf_dir):
+    """Names and medicines of every claim in parts; short ones here, so that most claims have several."""
+    listed = features.claim_listings(features.stored_fields(D.extractions(spark, sf_dir), (features.NAMES, features.MEDICINES)), most=120)
+    return listed.select("claim_id", "kind", F.col("part").cast("long").alias("part"), "n_items", joined("listing"))
+
+
 @query
 def validate_medicines(spark, sf_dir):
     rows = validation.validate_medicines(D.claims(spark, sf_dir), D.extractions(spark, sf_dir))

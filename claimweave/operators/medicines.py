@@ -1,20 +1,27 @@
 """Purchased medicines without a prescribed counterpart.
 
 A purchased name matches when its key equals, contains or is contained in the key of a prescribed name of the same claim.
-`unmatched_in_row` compares the two lists of one claim inside its row; `unmatched_by_join` is the same rule as equality
-joins on substrings, for claims with too many names to compare pairwise. `unmatched_medicines` picks per claim.
+`unmatched_in_row` compares the two lists of one claim inside its row; `unmatched_by_join` is the same rule over an index of the rarest
+grams, for claims with too many names to compare pairwise. `unmatched_medicines` picks per claim.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import name_key
-from claimweave.operators.skew import hot_join
 from claimweave.session import materialize
 
 # Claims with more pairs of names than this are matched by joins instead of inside their row.
 MAX_PAIRS = 10_000_000
 
+# Claims with more names than this are not gathered, also where there is nothing to compare them with.
+MAX_NAMES = 1_000_000
+
+# Names are indexed by pieces of so many characters, shorter ones whole.
+GRAM = 3
+# Names under one gram that are compared one by one, at most.
+MOST_HOLDERS = 200
+
 # Substrings longer than this are compared by digest, so that rows stay short.
 PLAIN_KEY_CHARS = 32
 
@@ -40,57 +47,78 @@ def distinct_medicines(flattened: DataFrame) -> DataFrame:
     return flattened.distinct().withColumn("key", name_key(F.col("medicine")))
 
 
-def _digest(text: Column) -> Column:
-    return F.when(F.length(text) <= PLAIN_KEY_CHARS, text).otherwise(F.sha2(text, 256))
+def _grams(key: Column, sizes: Column) -> Column:
+    """Distinct pieces of a key that have one of the sizes, as bytes; keys are ASCII, so bytes are characters."""
+    chars = F.length(key)
+    text = key.cast("binary")
 
+    def pieces(size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(chars - size + 1, F.lit(1)))
+        return F.when(size <= chars, F.transform(starts, lambda at: F.substring(text, at, size))).otherwise(F.array().cast("array<binary>"))
 
-def _with_lengths(names: DataFrame, others: DataFrame) -> DataFrame:
-    """Adds, per name, the lengths of the other side's keys in its claim; claims without such keys drop out.
+    return F.array_distinct(F.flatten(F.transform(sizes, pieces)))
 
-    The lengths per claim are a set of small numbers, never more than the longest key has characters.
+
+def _containments(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(claim_id, inner, outer): ids of keys of `inner` that are part of a key of `outer` in the same claim. Both have claim_id, key, id.
+
+    A key that holds another holds all of its grams, so it is enough to look under the one gram of the inner key that the fewest outer keys
+    have; each find is verified. An inner key whose every gram is in more than MOST_HOLDERS outer keys is looked up by equality with their
+    substrings of its length instead: `outer` alone is given for those, `inner` is NULL.
     """
-    lengths = others.groupBy("claim_id").agg(F.collect_set(F.length("key")).alias("lengths"))
-    return hot_join(names, lengths, ["claim_id"], "inner", F.col("key"))
+    size = F.least(F.length("key"), F.lit(GRAM))
+    sizes = inner.groupBy("claim_id").agg(F.collect_set(size).alias("sizes"))  # of four numbers at most
+    holders = materialize(
+        outer.join(sizes, "claim_id").select("claim_id", F.col("id").alias("outer"), F.explode(_grams(F.col("key"), F.col("sizes"))).alias("gram")), "grams"
+    )
+    held = holders.groupBy("claim_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = inner.select("claim_id", F.col("id").alias("inner"), F.explode(_grams(F.col("key"), F.array(size))).alias("gram"))
+    # A gram that no outer key has settles that there is no find; it is the rarest of all.
+    rarest = asked.join(held, ["claim_id", "gram"], "left").groupBy("claim_id", "inner").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("rarest")
+    ).filter(F.col("rarest.n") > 0).select("claim_id", "inner", "rarest.n", "rarest.gram")
+    rarest = materialize(rarest, "rarest-grams")
+    met = rarest.filter(F.col("n") <= MOST_HOLDERS).drop("n").join(holders, ["claim_id", "gram"]).select("claim_id", "inner", "outer")
+    met = met.join(inner.select("claim_id", F.col("id").alias("inner"), F.col("key").alias("small")), ["claim_id", "inner"])
+    met = met.join(outer.select("claim_id", F.col("id").alias("outer"), F.col("key").alias("large")), ["claim_id", "outer"])
+    found = met.filter(F.col("large").contains(F.col("small"))).select("claim_id", "inner", "outer")
+    common = rarest.filter(F.col("n") > MOST_HOLDERS).select("claim_id", F.col("inner").alias("id"))
+    if common.isEmpty():
+        return found
+    return found.unionByName(_equal_pieces(inner.join(common, ["claim_id", "id"], "left_semi"), outer))
 
 
-def _substrings(names: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per name and substring that has one of the wanted lengths. The names themselves stay behind.
+def _digest(text: Column) -> Column:
+    return F.when(F.length(text) <= PLAIN_KEY_CHARS, text).otherwise(F.sha2(text, 256))
+
 
-    Keys are ASCII, so bytes are characters, and a piece is found without counting from the start of a long name.
+def _equal_pieces(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """`_containments` by equality of substrings, without any pairs: for every inner and every outer key that is in one, a row of its own.
+
+    An outer key gives length x distinct inner lengths short rows, however many keys it meets.
     """
-    chars = F.length("key")
-    sized = names.withColumn("_bytes", F.col("key").cast("binary")).withColumn("size", F.explode(F.filter("lengths", lambda size: size <= chars)))
-    starts = sized.withColumn("start", F.explode(F.sequence(F.lit(1), F.greatest(chars - F.col("size") + 1, F.lit(1)))))
-    return starts.select(*keep, _digest(F.substring("_bytes", F.col("start"), F.col("size")).cast("string")).alias("piece"))
+    lengths = inner.groupBy("claim_id").agg(F.collect_set(F.length("key")).alias("sizes"))
+    pieces = outer.join(lengths, "claim_id").select("claim_id", "id", F.explode(_grams(F.col("key"), F.col("sizes"))).alias("piece"))
+    pieces = pieces.select("claim_id", "id", _digest(F.col("piece").cast("string")).alias("piece"))
+    wanted = inner.select("claim_id", "id", _digest(F.col("key")).alias("piece"))
+    holds = pieces.join(wanted.select("claim_id", "piece"), ["claim_id", "piece"], "left_semi")
+    is_held = wanted.join(pieces.select("claim_id", "piece"), ["claim_id", "piece"], "left_semi")
+    none = F.lit(None).cast("string")
+    return holds.select("claim_id", none.alias("inner"), F.col("id").alias("outer")).unionByName(is_held.select("claim_id", F.col("id").alias("inner"), none.alias("outer")))
 
 
 def unmatched_by_join(medicines: DataFrame) -> DataFrame:
-    """Rows of `distinct_medicines` that were purchased and match nothing prescribed in the same claim.
-
-    No pair of names is ever built: a name contains another when one of its substrings equals it, so both directions are
-    semi-joins on (claim, text). A name yields at most length x distinct lengths substrings, each a short row with a digest of the name.
-    """
-    purchased = medicines.filter(F.col("side") == "PURCHASED").drop("side").withColumn("_id", F.md5("key"))
-    prescribed = medicines.filter(F.col("side") == "PRESCRIBED").select("claim_id", "key").distinct()
-    purchased_keys = purchased.select("claim_id", "key", "_id").distinct()
-
-    wanted = prescribed.select("claim_id", _digest(F.col("key")).alias("piece"))
-    containing = (
-        _substrings(_with_lengths(purchased_keys, prescribed), ["claim_id", "_id"])
-        .join(wanted, ["claim_id", "piece"], "left_semi")
-        .select("claim_id", "_id")
-    )
-    pieces = _substrings(_with_lengths(prescribed, purchased_keys), ["claim_id"]).distinct()
-    contained = (
-        purchased_keys.select("claim_id", "_id", _digest(F.col("key")).alias("piece"))
-        .join(pieces, ["claim_id", "piece"], "left_semi")
-        .select("claim_id", "_id")
-    )
-    matched = containing.unionByName(contained).distinct()
-    return purchased.join(matched, ["claim_id", "_id"], "left_anti").drop("_id")
+    """Rows of `distinct_medicines` that were purchased and match nothing prescribed in the same claim, by a gram index of each side."""
+    purchased = medicines.filter(F.col("side") == "PURCHASED").drop("side").withColumn("id", F.md5("key"))
+    prescribed = medicines.filter(F.col("side") == "PRESCRIBED").select("claim_id", "key", F.md5("key").alias("id")).distinct()
+    bought = purchased.select("claim_id", "key", "id").distinct()
+    within = _containments(bought, prescribed).select("claim_id", F.col("inner").alias("id"))
+    around = _containments(prescribed, bought).select("claim_id", F.col("outer").alias("id"))
+    matched = within.unionByName(around).filter(F.col("id").isNotNull()).distinct()
+    return purchased.join(matched, ["claim_id", "id"], "left_anti").drop("id")
 
 
-def unmatched_medicines(medicines: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
+def unmatched_medicines(medicines: DataFrame, max_pairs: int = MAX_PAIRS, max_names: int = MAX_NAMES) -> DataFrame:
     """Purchased names without a match, each claim matched in the way that suits its size.
 
     `medicines` (`distinct_medicines`) is counted first, so it should be a table.
@@ -99,13 +127,13 @@ def unmatched_medicines(medicines: DataFrame, max_pairs: int = MAX_PAIRS) -> Dat
     sizes = medicines.groupBy("claim_id").agg(
         F.count_if(prescribed).cast("double").alias("prescribed"), F.count_if(~prescribed).cast("double").alias("purchased")
     )
-    wide = sizes.filter(F.col("prescribed") * F.col("purchased") > max_pairs)
+    wide = sizes.filter((F.col("prescribed") * F.col("purchased") > max_pairs) | (F.col("prescribed") + F.col("purchased") > max_names))
     if wide.isEmpty():
         return _unmatched_by_row(medicines)
     ids = materialize(wide.select("claim_id"), "wide-claims")
 
     def pick(how: str) -> DataFrame:
-        return hot_join(medicines, ids, ["claim_id"], how, F.col("medicine"))
+        return medicines.join(ids, "claim_id", how)
 
     joined = unmatched_by_join(pick("left_semi")).select("claim_id", "medicine")
     return _unmatched_by_row(pick("left_anti")).unionByName(joined)

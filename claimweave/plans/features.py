@@ -9,6 +9,7 @@ from claimweave.functions.parsing import parse_amount, parse_date
 from claimweave.functions.text import name_key
 from claimweave.functions.variants import text_at, texts_at
 from claimweave.operators.latest import newest_first, newest_per_key
+from claimweave.operators.listings import listing_parts
 from claimweave.operators.medicines import MAX_PAIRS, distinct_medicines, unmatched_by_join, unmatched_in_row
 from claimweave.operators.skew import HOT_ROWS, hot_join_with
 from claimweave.session import materialize
@@ -24,14 +25,20 @@ NAMES, DATES, AMOUNTS, MEDICINES = PARTS = ("names", "dates", "amounts", "medici
 MEDICINE_TYPES = ("PRESCRIPTION", "PHARMACY_INVOICE")
 
 NO_NAME = "NOT EXTRACTED"
+SEPARATOR = " | "
 
 
 @dataclass(frozen=True)
 class Limits:
-    """When a claim is too wide to be matched inside one row. The way changes, the result does not."""
+    """When a claim is too wide to be matched inside one row. The way changes, the result does not.
+
+    `listing_chars` is the size of a listing's parts, and so of the listings in results: a longer one shows its first part and
+    how many more there are. `claim_listings` has all parts.
+    """
 
     pairs: int = MAX_PAIRS
     hot_rows: int = HOT_ROWS
+    listing_chars: int = 1_000_000
 
 
 def _for_type(kind: str, value: Column) -> Column:
@@ -72,8 +79,9 @@ def latest_fields(extractions: DataFrame, parts: tuple[str, ...] = PARTS) -> Dat
     newest = newest_per_key(typed, ["claim_id", "document_id"], newest_first("extracted_at", "extraction_id")).drop("extraction_id", "extracted_at")
     if MEDICINES not in parts:
         return newest
+    chars = {f"{side}_chars": F.coalesce(F.length(F.array_join(side, SEPARATOR)) + len(SEPARATOR), F.lit(0)) for side in ("prescribed", "purchased")}
     return newest.withColumns({
-        "prescribed_rows": F.greatest(F.size("prescribed"), F.lit(0)), "purchased_rows": F.greatest(F.size("purchased"), F.lit(0)),
+        "prescribed_rows": F.greatest(F.size("prescribed"), F.lit(0)), "purchased_rows": F.greatest(F.size("purchased"), F.lit(0)), **chars,
     })
 
 
@@ -83,16 +91,17 @@ def stored_fields(extractions: DataFrame, parts: tuple[str, ...] = PARTS) -> Dat
 
 
 def wide_claims(fields: DataFrame, limits: Limits) -> DataFrame:
-    """Claims that are not matched inside one row: too many name pairs, or too many documents.
-
-    Every such claim holds many documents or much text, so there are few of them.
-    """
-    pairs = F.lit(0.0)
+    """Claims that are not matched inside one row: too many name pairs, too many documents, or listings of more than one part."""
+    documents = F.count(F.lit(1))
+    too_wide = documents > limits.hot_rows
+    if "patient_name" in fields.columns:
+        label = F.length(_label(F.col("document_type"), F.col("patient_name"))) + len(SEPARATOR)
+        too_wide |= F.sum(label) > limits.listing_chars
     if "prescribed" in fields.columns:
-        pairs = F.sum("prescribed_rows").cast("double") * F.sum("purchased_rows").cast("double")
-    sized = fields.groupBy("claim_id").agg(F.count(F.lit(1)).alias("documents"), pairs.alias("pairs"))
-    wide = sized.filter((F.col("pairs") > limits.pairs) | (F.col("documents") > limits.hot_rows))
-    return wide.select("claim_id", F.ceil(F.col("documents") / limits.hot_rows).cast("int").alias("_parts"))
+        too_wide |= F.sum("prescribed_rows").cast("double") * F.sum("purchased_rows").cast("double") > limits.pairs
+        too_wide |= (F.sum("prescribed_chars") > limits.listing_chars) | (F.sum("purchased_chars") > limits.listing_chars)
+    sized = fields.groupBy("claim_id").agg(documents.alias("documents"), too_wide.alias("too_wide"))
+    return sized.filter("too_wide").select("claim_id", F.ceil(F.col("documents") / limits.hot_rows).cast("int").alias("_parts"))
 
 
 def _totals(parts: tuple[str, ...]) -> list[Column]:
@@ -136,7 +145,7 @@ def _distinct_names(lists: Column) -> Column:
 def _listing(documents: str) -> Column:
     """Documents of a claim as text, by type and then by name."""
     pairs = F.array_sort(F.transform(documents, lambda d: F.struct(d["document_type"], d["name"])))
-    return F.array_join(F.transform(pairs, lambda pair: _label(pair["document_type"], pair["name"])), " | ")
+    return F.array_join(F.transform(pairs, lambda pair: _label(pair["document_type"], pair["name"])), SEPARATOR)
 
 
 def _gathered(parts: tuple[str, ...]) -> Column:
@@ -178,7 +187,19 @@ def _medicine_rows(documents: DataFrame) -> DataFrame:
     return names.filter(F.col("medicine").isNotNull())
 
 
-def _wide_names(expected: DataFrame, wide: DataFrame, documents: DataFrame) -> DataFrame:
+def name_items(documents: DataFrame) -> DataFrame:
+    """Documents of a claim as listing items."""
+    name = F.coalesce("patient_name", F.lit(NO_NAME))
+    return documents.select("claim_id", "document_type", name.alias("name"), _label(F.col("document_type"), F.col("patient_name")).alias("item"))
+
+
+def _first_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, listing of the first part, and more: how many others there are."""
+    counted = parts.groupBy(*keys).agg((F.max("part")).alias("more"))
+    return parts.filter(F.col("part") == 0).join(counted, keys).select(*keys, "listing", "more")
+
+
+def _wide_names(expected: DataFrame, wide: DataFrame, documents: DataFrame, limits: Limits) -> DataFrame:
     """Name mismatches and the listing of wide claims; mismatches by a grouping that combines documents before the shuffle."""
     keys = documents.groupBy("claim_id", name_key(F.col("patient_name")).alias("key")).agg(F.count("patient_name").alias("n"))
     # The claim's own name enters as a row of the same grouping, so no group of documents has to meet it in a join.
@@ -190,37 +211,36 @@ def _wide_names(expected: DataFrame, wide: DataFrame, documents: DataFrame) -> D
         F.sum(F.when(~F.col("own") & F.col("key").isNotNull(), F.col("n")).otherwise(0)).alias("_other"),
         F.bool_or(F.col("own") & F.col("key").isNotNull()).alias("_has_own"),
     ).select("claim_id", F.when(F.col("_has_own"), F.col("_other")).otherwise(F.lit(0)).cast("long").alias("name_mismatches"))
-    listed = documents.groupBy("claim_id").agg(
-        F.collect_list(F.struct("document_type", F.coalesce("patient_name", F.lit(NO_NAME)).alias("name"))).alias("_documents")
-    ).select("claim_id", _listing("_documents").alias("extracted_names"))
+    parts = listing_parts(name_items(documents), ["claim_id"], ["document_type", "name"], "item", limits.listing_chars, SEPARATOR)
+    rest = F.when(F.col("more") > 0, F.concat(F.lit(f"{SEPARATOR}and "), F.col("more"), F.lit(" more parts"))).otherwise("")
+    text = F.concat(F.array_join("listing", SEPARATOR), rest)
+    listed = _first_parts(parts, ["claim_id"]).select("claim_id", text.alias("extracted_names"))
     return names.join(listed, "claim_id", "full_outer")
 
 
-def _wide_medicines(documents: DataFrame) -> DataFrame:
+def _wide_medicines(documents: DataFrame, limits: Limits) -> DataFrame:
     """Medicine lists and counts of wide claims, matched by joins."""
-    medicines = distinct_medicines(_medicine_rows(documents))
+    medicines = materialize(distinct_medicines(_medicine_rows(documents)), "wide-medicines")
+    side = F.col("side")
     counts = medicines.select("claim_id", "side", "key").distinct().groupBy("claim_id").agg(
-        F.count_if(F.col("side") == "PRESCRIBED").alias("prescribed_count"),
-        F.count_if(F.col("side") == "PURCHASED").alias("purchased_count"),
+        F.count_if(side == "PRESCRIBED").alias("prescribed_count"), F.count_if(side == "PURCHASED").alias("purchased_count"),
     )
-
-    def items(condition: Column, alias: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(condition, F.col("medicine")))).alias(alias)
-
-    side = F.col("side")
-    sides = medicines.groupBy("claim_id").agg(items(side == "PRESCRIBED", "prescribed_items"), items(side == "PURCHASED", "purchased_items"))
-    unmatched = unmatched_by_join(medicines).groupBy("claim_id").agg(items(F.lit(True), "unmatched_items"), F.count(F.lit(1)).alias("unmatched_count"))
-    return counts.join(sides, "claim_id").join(unmatched, "claim_id", "left")
+    unmatched = materialize(unmatched_by_join(medicines).select("claim_id", "medicine"), "wide-unmatched")
+    total = unmatched.groupBy("claim_id").agg(F.count(F.lit(1)).alias("unmatched_count"))
+    items = medicines.select("claim_id", "side", "medicine").unionByName(unmatched.withColumn("side", F.lit("UNMATCHED")))
+    first = _first_parts(listing_parts(items, ["claim_id", "side"], ["medicine"], "medicine", limits.listing_chars, SEPARATOR), ["claim_id", "side"])
+    names = {"PRESCRIBED": "prescribed_items", "PURCHASED": "purchased_items", "UNMATCHED": "unmatched_items"}
+    lists = first.groupBy("claim_id").agg(*[F.first(F.when(side == kind, F.col("listing")), True).alias(name) for kind, name in names.items()])
+    return counts.join(lists, "claim_id").join(total, "claim_id", "left")
 
 
-def _wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame, parts: tuple[str, ...]) -> DataFrame:
-    """The same findings for claims too wide to be matched in one row, by joins and partial aggregates. A listing is one value in any
-    case; `claim_evidence` has its items as rows."""
+def _wide_findings(expected: DataFrame, wide: DataFrame, documents: DataFrame, parts: tuple[str, ...], limits: Limits) -> DataFrame:
+    """The same findings for claims too wide to be matched in one row, by joins, partial aggregates and listings in parts. No claim is gathered."""
     rows = wide.select("claim_id")
     if NAMES in parts:
-        rows = rows.join(_wide_names(expected, wide, documents), "claim_id", "left")
+        rows = rows.join(_wide_names(expected, wide, documents, limits), "claim_id", "left")
     if MEDICINES in parts:
-        rows = rows.join(_wide_medicines(documents), "claim_id", "left")
+        rows = rows.join(_wide_medicines(documents, limits), "claim_id", "left")
     filled = {name: F.coalesce(name, F.lit(0)).cast("long") for name in COUNTS if name in rows.columns}
     filled |= {name: F.coalesce(name, F.array().cast("array<string>")) for name in LISTS if name in rows.columns}
     return rows.withColumns(filled)
@@ -292,7 +312,7 @@ def document_features(claims: DataFrame, fields: DataFrame, limits: Limits = Lim
         expected = own.select("claim_id", "expected_key")
         gathered = pick("left_anti").groupBy("claim_id").agg(_gathered(parts)).join(expected, "claim_id", "left")
         found = _narrow_findings(gathered, parts).select("claim_id", *findings).unionByName(
-            _wide_findings(expected, ids, pick("inner"), parts).select("claim_id", *findings)
+            _wide_findings(expected, ids, materialize(pick("inner"), "wide-fields"), parts, limits).select("claim_id", *findings)
         )
         rows = own.join(claim_totals(fields, parts), "claim_id", "left").join(found, "claim_id", "left")
     # A claim without documents has empty listings.
@@ -319,3 +339,12 @@ def claim_evidence(latest: DataFrame) -> DataFrame:
     medicines = distinct_medicines(_medicine_rows(latest))
     sides = medicines.select("claim_id", F.col("side").alias("kind"), F.lit(None).cast("string").alias("source"), F.col("medicine").alias("item"))
     return names.unionByName(sides)
+
+
+def claim_listings(latest: DataFrame, most: int = Limits.listing_chars) -> DataFrame:
+    """claim_id, kind, part, n_items and listing of every claim's names and medicines, whole, in parts of about `most` characters."""
+    names = name_items(latest).select("claim_id", F.lit("NAME").alias("kind"), "document_type", "name", "item")
+    medicines = distinct_medicines(_medicine_rows(latest))
+    sides = medicines.select("claim_id", F.col("side").alias("kind"), F.lit("").alias("document_type"), F.col("medicine").alias("name"), F.col("medicine").alias("item"))
+    items = materialize(names.unionByName(sides), "listing-items")
+    return listing_parts(items, ["claim_id", "kind"], ["document_type", "name"], "item", most, SEPARATOR)

@@ -1,8 +1,10 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from claimweave.operators import medicines
 from claimweave.operators.medicines import distinct_medicines, unmatched_by_join, unmatched_in_row, unmatched_medicines
 
 
@@ -40,6 +42,25 @@ def test_join_form_equals_brute_force(spark):
     assert found == brute_force(rows) and found
 
 
+@pytest.mark.parametrize("most", [0, 1, 1000])
+def test_names_with_common_grams(spark, monkeypatch, most):
+    """Few grams for many names, so the rarest one is common: pairs within a bound, substrings beyond it."""
+    monkeypatch.setattr(medicines, "MOST_HOLDERS", most)
+    rng = random.Random(11)
+    rows = [("c", rng.choice(["PRESCRIBED", "PURCHASED"]), "".join(rng.choice("ab") for _ in range(rng.randrange(13)))) for _ in range(400)]
+    rows += [("d", "PURCHASED", "alone"), ("e", "PRESCRIBED", ""), ("e", "PURCHASED", "x"), ("f", "PRESCRIBED", "x"), ("f", "PURCHASED", "")]
+    frame = distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
+    found = {tuple(r) for r in unmatched_by_join(frame).select("claim_id", "medicine").collect()}
+    assert found == brute_force(rows) and ("d", "alone") in found
+
+
+def test_candidates_grow_with_the_names(spark):
+    """Two thousand names of one make on either side: the rarest gram of each is in a few others, not in all."""
+    rows = [("c", side, f"Common prefix {i * step:07d} forte") for side, step in (("PRESCRIBED", 2), ("PURCHASED", 1)) for i in range(2000)]
+    frame = distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
+    assert unmatched_by_join(frame).count() == 1000
+
+
 def test_row_form_equals_brute_force(spark):
     rows = made_up_rows()
     frame = spark.createDataFrame(rows, "claim_id string, side string, medicine string")
@@ -54,7 +75,7 @@ def test_row_form_equals_brute_force(spark):
 def test_sizes_decide_the_way_but_not_the_result(spark):
     rows = made_up_rows()
     names = distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
-    for limits in ({}, {"max_pairs": 5}, {"max_pairs": 0}):
+    for limits in ({}, {"max_pairs": 5}, {"max_pairs": 0}, {"max_names": 2}):
         assert {tuple(r) for r in unmatched_medicines(names, **limits).collect()} == brute_force(rows), limits
 
 
