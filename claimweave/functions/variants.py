@@ -14,6 +14,21 @@ def texts_at(payload: Column, path: str) -> Column:
     return F.try_variant_get(payload, f"$.{path}", "array<string>")
 
 
+def fields_at(payload: Column, names: list[str]) -> Column:
+    """A struct of the texts under some names of an object, read in one pass; NULL for what is no object. Each is like `text_at`."""
+    return F.try_variant_get(payload, "$", f"struct<{', '.join(f'`{name}`:string' for name in names)}>")
+
+
+def parts_at(payload: Column, names: list[str]) -> Column:
+    """A struct of the VARIANTs under some names of an object, read in one pass; NULL for what is no object. JSON null stays a VARIANT."""
+    return F.try_variant_get(payload, "$", f"struct<{', '.join(f'`{name}`:variant' for name in names)}>")
+
+
+def null_as_null(value: Column) -> Column:
+    """A VARIANT with JSON null turned into NULL. Give a column, for it is looked at twice."""
+    return F.when(~F.is_variant_null(value), value)
+
+
 def value_at(payload: Column, path: str) -> Column:
     """VARIANT at a dotted path, with JSON null turned into NULL."""
     value = F.try_variant_get(payload, f"$.{path}", "variant")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.errors import is_outage
-from claimweave.functions.variants import is_object, texts_at, value_at, wrapped
+from claimweave.functions.variants import is_object, null_as_null, parts_at, texts_at, value_at, wrapped
 from claimweave.operators.latest import newest_first, newest_per_key
 from claimweave.operators.skew import hot_join
 from claimweave.sources.templates import TABLES
@@ -79,23 +79,30 @@ def extract_documents(
 def extract_by_patterns(documents: DataFrame, templates: DataFrame, key: str, content: str) -> DataFrame:
     """What `extract_documents` gives with the bundled extractor, by regular expressions inside Spark: no Python on the executors.
 
-    `templates` is a registry of at most MAX_TEMPLATES rows; each template becomes a branch of one expression.
+    `templates` is a registry of at most MAX_TEMPLATES rows. Its patterns are data: they travel to the contents, and one expression looks for
+    all of a document's fields, each pattern once. So the plan has one size, whatever the registry.
     """
+    spark = documents.sparkSession
     formats = templates.select("template_id", F.to_json("response_format").alias("format")).limit(MAX_TEMPLATES + 1).collect()
     if len(formats) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    unknown = {"response": None, "scoring": None, "error": {"message": "unknown template", "code": "LookupError"}}
-    payload = F.lit(json.dumps(unknown))
+    asked = []
     for row in formats:
         fields = json.loads(row["format"])["schema"]["properties"]
-        found = {name: _first_match(content, definition["description"]) for name, definition in fields.items()}
-        whole = F.struct(
-            F.struct(*[value.alias(name) for name, value in found.items()]).alias("response"),
-            F.struct(*[F.when(value.isNotNull(), 1.0).otherwise(0.0).alias(name) for name, value in found.items()]).alias("scoring"),
-            F.lit(None).cast("string").alias("error"),
-        )
-        payload = F.when(F.col("template_id") == row["template_id"], F.to_json(whole, {"ignoreNullFields": "false"})).otherwise(payload)
-    return documents.select(key, payload.alias("payload"))
+        patterns = [(d["description"], 1 if re.compile(d["description"]).groups else 0) for d in fields.values()]
+        asked.append((row["template_id"], list(fields), patterns))
+    registry = spark.createDataFrame(asked, "template_id string, _names array<string>, _patterns array<struct<pattern:string,part:int>>")
+    wanted = documents.select(key, content, "template_id").join(F.broadcast(registry), "template_id", "left")
+    found = F.transform("_patterns", lambda p: F.call_function("regexp_extract", F.col(content), p["pattern"], p["part"]))
+    found = wanted.select(key, "_names", found.alias("_found"))
+    whole = F.struct(
+        F.map_from_arrays("_names", F.transform("_found", lambda text: F.when(text != "", text))).alias("response"),
+        F.map_from_arrays("_names", F.transform("_found", lambda text: F.when(text != "", 1.0).otherwise(0.0))).alias("scoring"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    unknown = {"response": None, "scoring": None, "error": {"message": "unknown template", "code": "LookupError"}}
+    payload = F.when(F.col("_names").isNull(), json.dumps(unknown)).otherwise(F.to_json(whole, {"ignoreNullFields": "false"}))
+    return found.select(key, payload.alias("payload"))
 
 
 def _first_match(content: str, pattern: str) -> Column:
@@ -114,35 +121,34 @@ def parse_envelope(rows: DataFrame, payload: str = "payload") -> DataFrame:
     A payload without error is EXTRACTED, even with an empty response; an absent or malformed payload is FAILED.
     """
     parsed = rows.withColumn("extraction_result", F.try_parse_json(payload))
+    parsed = parsed.withColumn("_error", F.try_variant_get("extraction_result", "$.error", "variant"))
     unusable = F.when(F.col(payload).isNull(), "no payload").when(F.col("extraction_result").isNull(), "invalid payload")
-    error_text = F.coalesce(unusable, value_at(F.col("extraction_result"), "error").cast("string"))
-    return parsed.withColumns({
-        "error_message": error_text, "extraction_status": F.when(error_text.isNull(), "EXTRACTED").otherwise("FAILED"),
-    }).drop(payload)
+    error_text = F.coalesce(unusable, null_as_null(F.col("_error")).cast("string"))
+    return parsed.withColumn("error_message", error_text).withColumn(
+        "extraction_status", F.when(F.col("error_message").isNull(), "EXTRACTED").otherwise("FAILED")
+    ).drop(payload, "_error")
 
 
 def envelope_parts(parsed: DataFrame) -> DataFrame:
     """Adds response, scoring and error of a parsed envelope as VARIANT objects. Values that are no object are wrapped.
 
-    Rows that met no payload at all (a left join) become FAILED here.
+    The envelope is read once. Rows that met no payload at all (a left join) become FAILED here.
     """
-    result = F.col("extraction_result")
     message = F.when(F.col("extraction_status").isNull(), "no payload").otherwise(F.col("error_message"))
     rows = parsed.withColumns({"error_message": message, "extraction_status": F.coalesce("extraction_status", F.lit("FAILED"))})
-    rows = rows.withColumns({"_response": value_at(result, "response"), "_scoring": value_at(result, "scoring"), "_error": value_at(result, "error")})
+    rows = rows.withColumn("_parts", parts_at(F.col("extraction_result"), ["response", "scoring", "error"]))
 
-    def as_object(name: str, field: str, value: Column | None = None) -> Column:
-        part = F.col(name)
-        return F.when(is_object(part), part).when(part.isNotNull(), wrapped(field, part if value is None else value))
+    def as_object(name: str, field: str, as_text: bool = False) -> Column:
+        part = F.col(f"_parts.{name}")
+        lone = wrapped(field, part.cast("string") if as_text else part)
+        return F.when(part.isNull() | F.is_variant_null(part), F.lit(None).cast("variant")).when(is_object(part), part).otherwise(lone)
 
-    error_object = F.when(result.isNull(), wrapped("message", F.col("error_message"))).otherwise(
-        as_object("_error", "message", F.col("_error").cast("string"))
-    )
+    error_object = F.when(F.col("extraction_result").isNull(), wrapped("message", F.col("error_message"))).otherwise(as_object("error", "message", True))
     return rows.withColumns({
-        "extracted_response": as_object("_response", "value"),
-        "extraction_scoring": as_object("_scoring", "value"),
+        "extracted_response": as_object("response", "value"),
+        "extraction_scoring": as_object("scoring", "value"),
         "extraction_error": error_object,
-    }).drop("_response", "_scoring", "_error")
+    }).drop("_parts")
 
 
 def split_envelope(rows: DataFrame, payload: str = "payload") -> DataFrame:

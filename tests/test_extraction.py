@@ -111,6 +111,33 @@ def test_patterns_inside_spark_equal_the_bundled_extractor(spark):
     assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
 
 
+def test_patterns_are_data(spark):
+    """A thousand templates of twelve fields: one plan of one size, each pattern looked for once."""
+    def registry(count):
+        rows = []
+        for number in range(count):
+            fields = {f"f{i}": {"type": "string", "description": f"t{number}f{i}=([a-z]+)"} for i in range(12)}
+            rows.append((f"T{number}", json.dumps({"schema": {"type": "object", "properties": fields}})))
+        return spark.createDataFrame(rows, "template_id string, format string").select("template_id", F.parse_json("format").alias("response_format"))
+
+    docs = spark.createDataFrame([(i, f"t{i}f3=abc t{i}f11=x", f"T{i}") for i in range(0, 1000, 7)], "id long, content string, template_id string")
+    plans = []
+    for count in (1, 1000):
+        found = extraction.extract_by_patterns(docs, registry(count), "id", "content")
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        assert plans[-1].count("regexp_extract(") == 1
+    assert len(plans[0].splitlines()) == len(plans[1].splitlines())
+    payloads = {r.id: json.loads(r.payload) for r in found.collect()}
+    assert all(p["response"] == {f"f{k}": {3: "abc", 11: "x"}.get(k) for k in range(12)} and p["scoring"]["f3"] == 1.0 for p in payloads.values())
+
+
+def test_an_envelope_is_read_once(spark):
+    """One look for the error text, one for the three parts, one for each part's kind."""
+    rows = spark.range(3).select(F.concat(F.lit('{"response":'), F.col("id").cast("string"), F.lit("}")).alias("payload"))
+    plan = extraction.split_envelope(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(") == 5 and plan.count("parseJson(") == 1, plan
+
+
 def test_contents_and_payloads_stay_out_of_needless_shuffles(spark, make_extractions):
     rows = make_extractions([("c", "d1", "PRESCRIPTION", {"medicines": {"medicine_name": ["a"]}})])
     for frame in (extraction.line_items(rows, "PRESCRIPTION"), extraction.flatten_medicines(rows), extraction.extraction_scores(rows)):
