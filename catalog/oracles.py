@@ -754,3 +754,7 @@ ORACLES["claim_listings"] = _with(ORDERS, DOCS, VALUES, MEDICINES) + """
   FROM items
 )
 SELECT claim_id, kind, CAST(part AS BIGINT) AS part, count(*) AS n_items, string_agg(item, '|' ORDER BY document_type, name) AS listing FROM parted GROUP BY ALL"""
+ORACLES["search_claims_by_index"] = ORACLES["search_claims"]
+ORACLES["worklist_second_page"] = _with(ORDERS, CLAIMS) + """
+    SELECT claim_id, created_at FROM claims ORDER BY created_at DESC NULLS FIRST, claim_id LIMIT 100 OFFSET 100"""
+ORACLES["validate_stored_claims"] = ORACLES["validate_requested"].replace("o_orderstatus = 'O'", "o_orderstatus = 'P'")

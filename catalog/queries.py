@@ -7,6 +7,7 @@ from claimweave.functions.text import normalize_folder, sanitize_name
 from claimweave.operators import extraction, intake, keyed, latest, medicines, review, runs
 from claimweave.plans import features, loading, validation
 from claimweave.session import materialize, scratch_dir
+from claimweave.sources import clustered
 from claimweave.sources import derived as D
 from claimweave.sources import files as files_source
 from claimweave.sources import listing, templates
@@ -508,6 +509,40 @@ def search_claims(spark, sf_dir):
     return review.search_claims(D.claims(spark, sf_dir), " 00000012 ", "PROCESSING").select("claim_id", "patient_name", "claim_status")
 
 
+def _clustered(spark, rows, key):
+    path = scratch_dir(spark, f"by-{key}")
+    clustered.write_clustered(rows, path, key)
+    return path
+
+
+@query
+def worklist_second_page(spark, sf_dir):
+    """A hundred claims after the first hundred, out of claims stored by time."""
+    claims = spark.read.parquet(_clustered(spark, review.with_place(D.claims(spark, sf_dir)), "place"))
+    last = review.worklist_page(claims, 100).select("created_at", "claim_id").collect()[-1]
+    return review.worklist_page(claims, 100, (last.created_at, last.claim_id)).select("claim_id", "created_at")
+
+
+@query
+def search_claims_by_index(spark, sf_dir):
+    claims = D.claims(spark, sf_dir)
+    path = _clustered(spark, review.search_index(claims), "gram")
+
+    def read_index(grams):
+        return clustered.read_keys(spark, path, "gram", spark.createDataFrame([(gram,) for gram in grams], "gram string"))
+
+    return review.search_by_index(claims, read_index, " 00000012 ", "PROCESSING").select("claim_id", "patient_name", "claim_status")
+
+
+@query
+def validate_stored_claims(spark, sf_dir):
+    """Validation of the claims of pending orders, out of tables that are stored by claim."""
+    asked = D.orders(spark, sf_dir).filter(F.col("o_orderstatus") == "P").select("claim_id")
+    stored = {name: _clustered(spark, build(spark, sf_dir), "claim_id") for name, build in (("claims", D.claims), ("documents", D.documents), ("extractions", D.extractions))}
+    rows = validation.validate_claims(*(clustered.read_keys(spark, path, "claim_id", asked) for path in stored.values()))
+    return rows.select("claim_id", "validation_category", "validation_status", "severity", "validation_message")
+
+
 @query
 def status_options(spark, sf_dir):
     return review.status_options(D.claims(spark, sf_dir))
