@@ -4,11 +4,13 @@ Masks: every bit of the fingerprint gets a vector of radius + 1 bits, none zero;
 with v. The vectors of any `radius` bits leave some v whose product with all of them is even, so two fingerprints
 that differ in at most `radius` bits agree on all of mask v: they meet in that table, always, not only with some probability.
 
-Meeting is not being near. A bucket of two is checked as it stands. In larger ones (texts that vary one template) no pairs
-are built: their fingerprints meet again on every fingerprint one bit away. Two fingerprints share such a neighbour, or one
+Meeting is not being near. A bucket of two is checked as it stands, one of up to `BUCKET` inside its row. In larger ones (texts that vary
+one template) no pairs are built: their fingerprints meet again on every fingerprint one bit away. Two fingerprints share such a neighbour, or one
 is the other's, exactly if they differ in at most two bits, and a neighbour has at most 65 of them around it.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +25,10 @@ BITS = 64
 RADIUS = 2
 SHINGLE = 3
 _SEED = 42
+#: Bytes of a text that are cut into words at a time.
+_PIECE_BYTES = 1 << 20
+#: Buckets of up to so many fingerprints are compared inside their row, fuller ones by way of their neighbours.
+BUCKET = 32
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -38,25 +44,43 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 _POWERS = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
 
-def fingerprint(text: bytes) -> int:
-    """Of the lower-cased text's shingles of three words, repeats included; a bit is set if over half of the hashes have it."""
-    words = text.lower().split()  # bytes lower A-Z only, and split at space and 0x09 to 0x0D
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), _SEED)
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _pieces(text: bytes):
+    """The words of a text in lists of about `_PIECE_BYTES`; each starts with the last words of the one before, which a shingle may still need."""
+    carried, start = [], 0
+    while start < len(text):
+        cut = _SPACE.search(text, start + _PIECE_BYTES) if start + _PIECE_BYTES < len(text) else None
+        end = cut.start() if cut else len(text)
+        words = carried + text[start:end].lower().split()  # bytes lower A-Z only, and split at space and 0x09 to 0x0D
+        yield words
+        carried, start = words[1 - SHINGLE :], end
+
+
+def _shingle_hashes(words: list[bytes]) -> np.ndarray:
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = ends[: 1 - SHINGLE].copy()
-    starts[1:] = starts[:-1]
-    starts[0] = 0
+    starts = np.concatenate([[0], ends[:-1]])[: 1 - SHINGLE]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], _SEED) for a, b in zip(starts.tolist(), (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    set_bits = np.zeros(BITS, np.int64)
-    for first in range(0, len(hashes), 1 << 16):
-        some = hashes[first : first + (1 << 16)]
-        set_bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(_POWERS[2 * set_bits > len(hashes)].sum(dtype=np.uint64))
+    count = len(words) - SHINGLE + 1
+    return np.fromiter((digest(line[a:b], _SEED) for a, b in zip(starts.tolist(), (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)), np.uint64, count)
+
+
+def fingerprint(text: bytes) -> int:
+    """Of the lower-cased text's shingles of three words, repeats included; a bit is set if over half of the hashes have it."""
+    set_bits, total, words = np.zeros(BITS, np.int64), 0, []
+    for words in _pieces(text):
+        if len(words) < SHINGLE:
+            continue
+        hashes = _shingle_hashes(words)
+        total += len(hashes)
+        for first in range(0, len(hashes), 1 << 16):
+            some = hashes[first : first + (1 << 16)]
+            set_bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    if not total:  # all of its few words are in the last list
+        return xxhash.xxh64_intdigest(b" ".join(words), _SEED) if words else 0
+    return int(_POWERS[2 * set_bits > total].sum(dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -81,7 +105,13 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     buckets = tables.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     buckets = materialize(buckets.where("n > 1"), "buckets")
     pairs = buckets.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
-    crowded = tables.join(buckets.where("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
+    some = tables.join(buckets.where(f"n > 2 AND n <= {BUCKET}").select("t", "key"), ["t", "key"], "left_semi")
+    some = some.groupBy("t", "key").agg(F.collect_list("fp").alias("met"))
+    partners = F.transform("met", lambda x: F.transform(
+        F.filter("met", lambda y: (x < y) & (F.bit_count(x.bitwiseXOR(y)) <= radius)), lambda y: F.struct(x.alias("a"), y.alias("b"))
+    ))
+    pairs = pairs.union(some.select(F.inline(F.flatten(partners))))
+    crowded = tables.join(buckets.where(F.col("n") > BUCKET).select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < BITS - 1 else -(1 << BITS - 1)) for i in range(BITS)))
     around = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     if radius == 1:  # a fingerprint is linked with its neighbours, but they are not linked with each other
@@ -93,12 +123,13 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for a table of distinct (fp, least id): the smallest id over all that is reachable."""
+    """(fp, component_id, component) for a table of distinct (fp, least id): the smallest id over all that is reachable, and the smallest fp."""
     parts = connected_components(near_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = distinct.join(parts, "fp")
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
-    moved = named.join(smallest, "component").select("fp", "smallest")
-    return distinct.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    moved = named.join(smallest, "component").select("fp", "smallest", "component")
+    found = distinct.join(moved, "fp", "left")
+    return found.select("fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"), F.coalesce("component", "fp").alias("component"))
 
 
 def _classified(docs: DataFrame, radius: int) -> DataFrame:
@@ -118,17 +149,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns: of each component one row with the smallest id.
+    """The rows of `docs` that stay, with all their columns: of each component one row with the smallest id (null last).
 
-    Where that id stands on several texts, the text with the smallest hash stays; of rows alike in id and text, one. Rows without
-    an id can only stay in a component that has no id at all.
+    Where that id stands on several texts of the component, the text with the smallest hash stays; of rows alike in id and text, one. An id
+    on texts of several components can stay in each of them.
     """
-    found = materialize(_classified(docs, radius).select("doc_id", "row", "component_id", "fp"), "classified")
-    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("row"))
-    # A component without any id is one fingerprint's rows or several's; all have a null component_id.
-    nameless = own.where("doc_id IS NULL").groupBy("fp").agg(F.min("row").alias("row")).select(F.lit(None).cast(dict(found.dtypes)["doc_id"]).alias("doc_id"), "row")
-    stay = named.union(nameless.distinct()).toDF("_stay_id", "_stay_row")
+    found = materialize(_classified(docs, radius).select("doc_id", "row", "component"), "classified")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stay = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_stay_id"), F.col("first.row").alias("_stay_row"))
     repeated = found.groupBy("doc_id", "row").count().where("count > 1").toDF("_again_id", "_again_row", "_n")
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.xxhash64("text") == F.col("_stay_row")), "left_semi")
     if repeated.isEmpty():

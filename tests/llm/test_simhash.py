@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -80,8 +81,51 @@ def test_odd_rows(make_docs, odd_rows):
     assert sh.near_duplicates(make_docs([])).collect() == []
     kept = sh.keep_one(docs)
     assert kept.columns == docs.columns
-    # 1 and 2 are copies, 3 to 5 and the null text have no words; 7 repeats; 8 has two texts of two components, of which one stays.
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "6", "7", "8", "9", "None"])
+    # 1 and 2 are copies, 3 to 5 and the null text have no words; 7 repeats; 8 has two texts of two components, which both stay.
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "6", "7", "8", "8", "9", "None"])
+
+
+def test_one_row_of_each_component_stays(make_docs):
+    """An id in two components, and near copies without ids."""
+    base = " ".join(f"word{i}" for i in range(400))
+    other = " ".join(f"other{i}" for i in range(400))
+    docs = make_docs([(1, base), (2, base + " end"), (1, "another text"), (None, other), (None, other + " x"), (3, "another text"), (None, base)])
+    groups = {r.component for r in sh._classified(docs, 2).collect()}
+    kept = sh.keep_one(docs).collect()
+    assert len(kept) == len(groups) == 3 and {(r.doc_id, r.text) for r in kept} >= {(1, base), (1, "another text")}
+
+
+def test_buckets_of_every_size(spark, monkeypatch):
+    chance = random.Random(8)
+    prints = {chance.getrandbits(64) for _ in range(20)}
+    for own in list(prints):
+        for _ in range(chance.choice([1, 5, 25])):
+            own ^= 1 << chance.randrange(64)
+            prints.add(own)
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    distinct = spark.createDataFrame([(p, i) for i, p in enumerate(signed)], "fp long, least long")
+    for most in (2, 4, 32):
+        monkeypatch.setattr(sh, "BUCKET", most)
+        found = {r.fp: r.component_id for r in sh.components(distinct).collect()}
+        assert [found[p] for p in signed] == components(range(len(prints)), prints)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    texts = [b"one two three four five", b"a  b", b"   ", b"", b"x" * 50, b"x" * 30 + b" y " + b"z" * 30 + b"\n\tq", "é ß 東京 w".encode() * 9]
+    whole = [sh.fingerprint(t) for t in texts]
+    for size in (1, 3, 10):
+        monkeypatch.setattr(sh, "_PIECE_BYTES", size)
+        assert [sh.fingerprint(t) for t in texts] == whole == [fingerprint(t.decode()) for t in texts]
+
+
+def test_memory_of_a_long_text():
+    text = b"some words of it " * 1_500_000
+    tracemalloc.start()
+    sh.fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
 
 
 def test_whole_table(spark, sf):
