@@ -48,46 +48,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
-    """(hash, item_id) of the smallest hashes of each item; `shingles` has (item_id, n, hash), n the item's number of them."""
+    """(hash, item) of the smallest hashes of each item; `shingles` has (item, n, hash), n the item's number of them."""
     # The upper bound of the item's size partition: partitions end at powers of two.
     bound = F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("long")
     most = bound - F.ceil(F.round(bound * threshold, 6)) + 1
-    held = shingles.groupBy("item_id").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("hash")).alias("hashes"))
-    return held.select("item_id", F.explode(F.slice("hashes", F.lit(1), most.cast("int"))).alias("hash")).select("hash", "item_id")
+    held = shingles.groupBy("item").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("hash")).alias("hashes"))
+    return held.select("item", F.explode(F.slice("hashes", F.lit(1), most.cast("int"))).alias("hash")).select("hash", "item")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment of every pair whose containment reaches `threshold`.
 
     Null and empty texts have no shingles and are in no pair. A text of fewer than five words is one shingle as a whole, so a
-    shorter item is found only where it is the whole document. Null ids are kept as ids; a pair is reported once, with the
-    largest containment, if an id stands on several rows. Empty tables give an empty result. Of items only item_id and text
+    shorter item is found only where it is the whole document. Null ids are kept as ids. An id that stands on several documents or several
+    items' texts is searched with each of them; a pair of ids is reported once, with the largest containment (of equal ones, the item
+    of most shingles). Empty tables give an empty result. Of items only item_id and text
     are read, of documents doc_id and text.
     """
-    return _verified(docs, items, threshold).groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared")).withColumn(
-        "containment", F.round(F.col("n_shared") / F.col("n_shingles"), 6)
-    )
+    found = _verified(docs, items, threshold).join(_small(_named(items)), "item")
+    containment = F.round(F.col("n_shared") / F.col("n_shingles"), 6)
+    best = F.max(F.struct(containment.alias("containment"), "n_shingles", "n_shared")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shingles", "best.n_shared", "best.containment")
+
+
+def _named(items: DataFrame) -> DataFrame:
+    """(item, item_id): item stands for id and text."""
+    return materialize(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id").distinct(), "item-names")
 
 
 def _verified(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """(_key, doc_id, item_id, n_shingles, n_shared); _key stands for a row's id and text."""
+    """(_key, doc_id, item, n_shingles, n_shared); _key stands for a document's id and text, item for an item's."""
     # An item's shingles are counted together; items are test questions, a row each, of bounded length.
-    own = with_shingles(items.select("item_id", "text"), ["item_id"]).distinct()
-    counted = own.groupBy(F.col("item_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
-    own = own.join(counted, F.col("item_id").eqNullSafe(F.col("_id"))).select("item_id", "n", *_PARTS, _hash().alias("hash"))
+    own = with_shingles(items.select(F.xxhash64("item_id", "text").alias("item"), "text"), ["item"]).distinct()
+    counted = own.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    own = own.join(counted, "item").select("item", "n", *_PARTS, _hash().alias("hash"))
     own = materialize(own, "items")
     sketch = materialize(sketches(own, threshold), "sketches")
-    found = with_shingles(_keyed(docs), ["_key"]).select("_key", _hash().alias("hash")).join(_small(sketch), "hash").select("_key", "item_id").distinct()
+    found = with_shingles(_keyed(docs), ["_key"]).select("_key", _hash().alias("hash")).join(_small(sketch), "hash").select("_key", "item").distinct()
     found = materialize(found, "candidates")
     keys = _small(materialize(found.select("_key").distinct(), "candidate-keys"))
     shingles = with_shingles(_keyed(docs).join(keys, "_key", "left_semi"), ["_key", "doc_id"]).distinct()
     same = [F.col(f"d.{p}").eqNullSafe(F.col(f"i.{p}")) for p in _PARTS[1:]]
     shared = shingles.alias("d").join(own.alias("i"), [F.col("d.w1") == F.col("i.w1"), *same])
-    shared = shared.groupBy("_key", "doc_id", "item_id", F.col("n").alias("n_shingles")).agg(F.count(F.lit(1)).alias("n_shared"))
+    shared = shared.groupBy("_key", "doc_id", "item", F.col("n").alias("n_shingles")).agg(F.count(F.lit(1)).alias("n_shared"))
     enough = shared.where(F.col("n_shared") >= F.round(F.col("n_shingles") * threshold, 6))
     # Only pairs that the search found count; by the sketches' length that is all of them.
-    pairs = found.toDF("_found", "_item")
-    return enough.join(pairs, (F.col("_key") == F.col("_found")) & F.col("item_id").eqNullSafe(F.col("_item")), "left_semi")
+    return enough.join(found, ["_key", "item"], "left_semi")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -37,19 +37,21 @@ SELECT doc_id, source, n_copies, copy, round({_UNIFORM.format(f"'{MIX_SEED}:plac
 WITH document_words AS (
   SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
 ), item_words AS (
-  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+  SELECT item_id, hash(text) AS q, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
 ), in_documents AS (
   SELECT DISTINCT doc_id, hash(text) AS t, array_to_string(w[i : i + 4], ' ') AS s
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM document_words WHERE len(w) > 0)
 ), in_items AS (
-  SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+  SELECT DISTINCT item_id, q, array_to_string(w[i : i + 4], ' ') AS s
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
 ), sizes AS (
-  SELECT item_id, count(*) AS n_shingles FROM in_items GROUP BY item_id
+  SELECT item_id, q, count(*) AS n_shingles FROM in_items GROUP BY item_id, q
 ), shared AS (
-  SELECT d.doc_id, d.t, i.item_id, count(*) AS n FROM in_documents d JOIN in_items i USING (s) GROUP BY ALL
+  SELECT d.doc_id, d.t, i.item_id, i.q, count(*) AS n FROM in_documents d JOIN in_items i USING (s) GROUP BY ALL
 )
-SELECT doc_id, item_id, n_shingles, max(n) AS n_shared, round(max(n) / n_shingles, 6) AS containment
-FROM shared JOIN sizes USING (item_id) WHERE n >= round(0.8 * n_shingles, 6) GROUP BY doc_id, item_id, n_shingles
+SELECT doc_id, item_id, best.n_shingles, best.n_shared, best.containment FROM (
+  SELECT shared.doc_id, shared.item_id, max({'containment': round(n / n_shingles, 6), 'n_shingles': n_shingles, 'n_shared': n}) AS best
+  FROM shared JOIN sizes ON shared.item_id IS NOT DISTINCT FROM sizes.item_id AND shared.q IS NOT DISTINCT FROM sizes.q
+  WHERE n >= round(0.8 * n_shingles, 6) GROUP BY ALL)
 """,
 }
