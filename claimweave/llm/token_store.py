@@ -58,16 +58,19 @@ class EliasFano:
         return (whole >> first % 8) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
-        """The i-th value: from the sampled position before it, only a short run of the upper bits is looked at."""
-        at = int(self.samples[i // SAMPLE_EVERY])
-        left = i % SAMPLE_EVERY
+        """The i-th value: the upper bits are counted from the sampled position before it to the one after."""
+        sample, rank = divmod(i, SAMPLE_EVERY)
+        at = int(self.samples[sample])
         byte = at // 8
-        left += bin(int(self.upper[byte]) & ((1 << at % 8) - 1)).count("1")
-        while (ones := bin(int(self.upper[byte])).count("1")) <= left:
-            left -= ones
-            byte += 1
-        bits = np.flatnonzero(np.unpackbits(self.upper[byte : byte + 1], bitorder="little"))
-        return ((byte * 8 + int(bits[left]) - i) << self.low_bits) | self._low(i)
+        stop = int(self.samples[sample + 1]) // 8 + 1 if sample + 1 < len(self.samples) else len(self.upper)
+        rank += (int(self.upper[byte]) & ((1 << at % 8) - 1)).bit_count()
+        ones = np.bitwise_count(self.upper[byte:stop]).cumsum()
+        k = int(ones.searchsorted(rank, "right"))
+        bits = int(self.upper[byte + k])
+        for _ in range(rank - (int(ones[k - 1]) if k else 0)):
+            bits &= bits - 1
+        position = (byte + k) * 8 + (bits & -bits).bit_length() - 1
+        return ((position - i) << self.low_bits) | self._low(i)
 
     def all(self) -> np.ndarray:
         """Every value, in order."""
@@ -227,7 +230,8 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
             for b in range(batch.num_rows):
                 block = {name: batch.column(i)[b] for i, name in enumerate(batch.schema.names)}
                 value = {k: v.as_py() for k, v in block.items() if k != "ids"}
-                ends = EliasFano(value["n_docs"], value["low_bits"], value["lower"], value["upper"], value["samples"]).all()
+                bounds = EliasFano(value["n_docs"], value["low_bits"], value["lower"], value["upper"], value["samples"])
+                ends = np.fromiter(map(bounds.select, range(value["n_docs"])), np.int64, value["n_docs"])
                 starts = np.concatenate([[0], ends[:-1]])
                 first = base.value[value["part"]] + value["part_offset"]
                 ids = memoryview(block["ids"].as_buffer())
