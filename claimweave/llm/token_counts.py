@@ -2,10 +2,10 @@
 
 A text falls into pre-tokens that no merge of the model can cross, so its token count is the sum of theirs. Lengths of
 frequent pre-tokens come from a compact table that is broadcast; every other pre-token is encoded once per worker and kept
-in the worker's cache. The pre-tokens of a document never leave its task.
+in the worker's cache. No pre-token is shuffled.
 
-The frequent table is found in one pass over all texts: each task keeps a bounded summary (counts of at most
-`SUMMARY_KEPT` pre-tokens while it reads) and sends its `SUMMARY_SENT` largest. It decides where a length is looked up, never what it is.
+The frequent table comes from a sample of about `SAMPLE_ROWS` documents, chosen by a hash of id and text: `SAMPLE_TASKS` tasks count their
+pre-tokens and send the `FREQUENT` largest counts each. It decides where a length is looked up, never what it is.
 """
 
 import re
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import slices
 
 FREQUENT = 65_536
+#: Documents that the frequent table is counted on, about, and tasks that count them.
+SAMPLE_ROWS, SAMPLE_TASKS = 20_000, 16
+#: Different pre-tokens that a task holds while it counts, at most; the rare half goes beyond.
 SUMMARY_KEPT = 200_000
-SUMMARY_SENT = 1_024
 CACHE_ENTRIES = 400_000
 
 # A run of spaces with the word after it, a word after a line end, or a line end. U+2581 stands for a space in the model.
@@ -82,10 +84,10 @@ def count_text(text: str, frequent: dict[str, int], cache: dict[str, int]) -> in
     return sum(cache[p] if n is None else n for p, n in zip(found, known, strict=True))
 
 
-def frequent_pretokens(docs: DataFrame, most: int = FREQUENT) -> list[str]:
-    """The pre-tokens that are frequent over all texts, at most `most`; ties go by the pre-token."""
+def frequent_pretokens(docs: DataFrame, most: int = FREQUENT, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> list[str]:
+    """The pre-tokens that are frequent in a sample of the texts, at most `most`; ties go by the pre-token."""
 
-    def summaries(batches):
+    def summary(batches):
         seen: Counter[str] = Counter()
         for batch in batches:
             for _, texts in slices(batch):
@@ -93,12 +95,17 @@ def frequent_pretokens(docs: DataFrame, most: int = FREQUENT) -> list[str]:
                     seen.update(pretokens(text))
                     if len(seen) > SUMMARY_KEPT:  # the rare half goes: counts become lower bounds
                         seen = Counter(dict(seen.most_common(SUMMARY_KEPT // 2)))
-        sent = seen.most_common(SUMMARY_SENT)
-        yield pa.RecordBatch.from_pydict({"pretoken": [p for p, _ in sent], "n": pa.array([n for _, n in sent], pa.int64())})
-
-    texts = docs.select("text").where(F.col("text").isNotNull())
-    found = texts.mapInArrow(summaries, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    return [r.pretoken for r in found.orderBy(F.desc("n"), "pretoken").limit(most).collect()]
+        sent = seen.most_common(most)
+        yield pa.RecordBatch.from_pydict({"pretoken": pa.array([p for p, _ in sent], pa.string()), "n": pa.array([n for _, n in sent], pa.int64())})
+
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    total = texts.count()
+    if total > sample_rows:
+        texts = texts.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)) + 1)
+    found: Counter[str] = Counter()
+    for row in texts.select("text").repartition(SAMPLE_TASKS).mapInArrow(summary, "pretoken string, n long").toLocalIterator():
+        found[row.pretoken] += row.n
+    return [p for p, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]]
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4_096, frequent: int = FREQUENT) -> DataFrame:
