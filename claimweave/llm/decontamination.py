@@ -18,6 +18,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: A table with more rows is joined by shuffling; below, it is broadcast (some 32 bytes a row).
 BROADCAST_ROWS = 1_000_000
+#: The same for shingles with their words, some 100 bytes a row.
+BROADCAST_SHINGLES = 125_000
 
 _PARTS = [f"w{i}" for i in range(1, WORDS + 1)]
 
@@ -38,9 +40,9 @@ def _hash() -> Column:
     return F.xxhash64(*_PARTS)
 
 
-def _small(rows: DataFrame) -> DataFrame:
+def _small(rows: DataFrame, most: int | None = None) -> DataFrame:
     """With a broadcast hint if the rows, which are stored, are few enough."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if most is None else most) else rows
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -87,10 +89,12 @@ def _verified(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     found = with_shingles(_keyed(docs), ["_key"]).select("_key", _hash().alias("hash")).join(_small(sketch), "hash").select("_key", "item").distinct()
     found = materialize(found, "candidates")
     keys = _small(materialize(found.select("_key").distinct(), "candidate-keys"))
-    shingles = with_shingles(_keyed(docs).join(keys, "_key", "left_semi"), ["_key", "doc_id"]).distinct()
+    shingles = with_shingles(_keyed(docs).join(keys, "_key", "left_semi"), ["_key", "doc_id"])
     same = [F.col(f"d.{p}").eqNullSafe(F.col(f"i.{p}")) for p in _PARTS[1:]]
-    shared = shingles.alias("d").join(own.alias("i"), [F.col("d.w1") == F.col("i.w1"), *same])
-    shared = shared.groupBy("_key", "doc_id", "item", F.col("n").alias("n_shingles")).agg(F.count(F.lit(1)).alias("n_shared"))
+    # Few items go to the shingles, so that only what is shared moves.
+    met = shingles.alias("d").join(_small(own, BROADCAST_SHINGLES).alias("i"), [F.col("d.w1") == F.col("i.w1"), *same])
+    shared = met.select("_key", "doc_id", "item", F.col("n").alias("n_shingles"), *(F.col(f"i.{p}") for p in _PARTS)).distinct()
+    shared = shared.groupBy("_key", "doc_id", "item", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
     enough = shared.where(F.col("n_shared") >= F.round(F.col("n_shingles") * threshold, 6))
     # Only pairs that the search found count; by the sketches' length that is all of them.
     return enough.join(found, ["_key", "item"], "left_semi")

@@ -61,6 +61,7 @@ def test_every_size_and_share(spark, make_docs):
 
 def test_joined_by_shuffling(spark, make_docs, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BROADCAST_SHINGLES", 0)
     items = [(n, item(n, n)) for n in (6, 20, 40)]
     docs = [(1, "x y " + item(20, 20)), (2, item(6, 6) + " z " + item(40, 38)), (3, "none of it")]
     frame = spark.createDataFrame(items, "item_id long, text string")
