@@ -47,7 +47,7 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-# Last labels that a host after a bare word "at" may have; prose has "at" and "dot" too.
+# Last labels that a host after a bare word "at" may have where its dots are written as dots; prose has "at" too.
 COMMON_ENDS = frozenset("com org net edu gov int info biz name io ai app dev co me eu us uk ca au nz de fr es it nl be ch at pl se no fi dk pt ie ru cn jp in br mx ar example test".split())
 
 _AT, _DOT = "at|ät|arobase|arroba|chez", "dot|punkt|point|punto"
@@ -55,6 +55,7 @@ _OPEN, _CLOSE, _GAP = r"[\[({<]", r"[\])}>]", r"[ \t]{0,3}"
 _BRACKETED_AT = re.compile(rf"{_GAP}{_OPEN}{_GAP}(?:{_AT}|@){_GAP}{_CLOSE}{_GAP}|{_GAP}(?:&#64;|&commat;|%40){_GAP}|(?<=[A-Za-z0-9])[ \t]{{1,3}}@[ \t]{{0,3}}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]{{1,3}}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[_-](?:at)[_-](?=[A-Za-z0-9])", re.I)
 _BRACKETED_DOT = re.compile(rf"{_GAP}{_OPEN}{_GAP}(?:{_DOT}|\.){_GAP}{_CLOSE}{_GAP}|{_GAP}(?:&#46;|&period;|%2e){_GAP}|(?<=[A-Za-z0-9])[_-](?:dot)[_-](?=[A-Za-z0-9])", re.I)
 _WORD_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}(?=[A-Za-z0-9])", re.I)
+_SAID_DOT = re.compile(r"[ \t](?:dot|punkt)[ \t]", re.I)
 _WORD_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}}(?=[A-Za-z0-9-]+\.[A-Za-z0-9])", re.I)
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ ]{{1,2}})?+(?:{_NUMBER}|[0-9]++)(?![^\W_])(?:(?:[ ,-]{{1,2}}|\.)(?:{_NUMBER}|[0-9]++)(?![^\W_]))++", re.I)
@@ -189,15 +190,18 @@ def normalise(text: str) -> _Tape | None:
 
 
 def _credible(tape: _Tape, kind: int, start: int, end: int) -> bool:
-    """Whether a find on the normalised text is one. A bare word "at" needs a common host end, and a second sign of an address."""
+    """Whether a find on the normalised text is one. A bare word "at" needs a second sign of an address: a spelled dot before any host
+    end of three letters or more, or a common end with a spelled dot or a name that is no plain word."""
     found = tape.text[start:end]
     if kind == 0:
         sign = start + found.index("@")
         first, last = tape.span(sign, sign + 1)
         if "@" not in tape.source[first:last] and tape.source[first:last].strip().isalpha():
             domain = tape.span(sign + 1, end)
-            if found.rpartition(".")[2].lower() not in COMMON_ENDS:
-                return False
+            last_label = found.rpartition(".")[2].lower()
+            if last_label not in COMMON_ENDS:
+                # Both signs are words; prose hardly has "at" and "dot" around a single word, and short words least.
+                return last_label.isalpha() and 3 <= len(last_label) <= 24 and bool(_SAID_DOT.search(tape.source[slice(*domain)]))
             return bool(re.search("[0-9._%+-]", found[: sign - start])) or tape.source[slice(*domain)] != found[sign - start + 1 :]
     return kind == 0 or len(set(_digits(found))) > 1
 

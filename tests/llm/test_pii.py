@@ -61,6 +61,12 @@ def test_disguises(text, kind, found):
     assert added == [found]
 
 
+@pytest.mark.parametrize("text", ["anna at firma dot cloud", "write to bob at work dot shop today", "ann AT example DOT berlin"])
+def test_any_host_end_after_two_spelled_signs(text):
+    _, every = pii.spans(text)
+    assert [text[a:b].split()[1].lower() for a, b in every[0]] == ["at"]
+
+
 @pytest.mark.parametrize("text", [
     "meet us at example.com please", "look at it dot by dot", "un un un un un un un un un un un un un un un un", "one two three four", "Привет, мир", "at 3.5 or 10.2.3 of it",
     "chapter one. two at a time.", "x@y", "no numbers", "été à la mer",
