@@ -205,6 +205,7 @@ def _single(category, details):
     return _with(*ALL_FEATURES) + f"SELECT claim_id, {_judged_columns(category)}, {details} FROM feat"
 
 
+# The recommendation and message texts in the results must match.
 def _result_ctes():
     rows = [
         f"SELECT claim_id, '{category}' AS validation_category, '{name}' AS validation_name, {_judged_columns(category)}, "
@@ -282,6 +283,7 @@ subs AS (
 )"""
 
 # The claim folders with their gaps, and the payload of every file.
+# The messages of folders that cannot be loaded must match.
 LOAD = """
 form AS (
   SELECT *, k % 97 <> 0 AS has_form,
@@ -333,6 +335,7 @@ ORACLES = {
     "sanitize_names": _with(SUBMISSIONS) + f"""
         SELECT 'submission' AS kind, submission_id AS id, {_clean('patient_name')} || '_' || {_clean('claim_reference')} AS safe_name FROM subs
         UNION ALL SELECT 'page', page_id, {_clean('url')} FROM pages""",
+    # The reasons against a submission must match.
     "check_submissions": _with(ORDERS, DOCS, SUBMISSIONS) + f""",
         counted AS (
           SELECT o_custkey AS submission_id, count(*) FILTER (WHERE t > 1 OR o_custkey % 23 <> 0) AS files,

@@ -11,7 +11,7 @@ from claimweave.functions.text import sanitize_name
 from claimweave.operators.extraction import split_envelope
 from claimweave.operators.skew import with_part
 from claimweave.session import scratch_dir
-from claimweave.vocabulary import DOCUMENT_TYPES
+from claimweave.vocabulary import DECISIONS, DOCUMENT_TYPES
 
 # More distinct medicines than this are spread over several documents.
 NAMES_PER_DOCUMENT = 1000
@@ -365,12 +365,9 @@ def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stored
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = (
-        "PENDING", "APPROVED", "REJECTED", "MORE_INFORMATION_REQUIRED", "MEDICAL_REVIEW_REQUIRED", "FINANCIAL_REVIEW_REQUIRED",
-    )
     return orders(spark, sf_dir).select(
         "claim_id",
-        F.when(_k() % 83 == 0, "MAYBE").otherwise(_pick(options, (_k() % 6 + 1).cast("int"))).alias("decision"),
+        F.when(_k() % 83 == 0, "MAYBE").otherwise(_pick(DECISIONS, (_k() % 6 + 1).cast("int"))).alias("decision"),
         F.when(_k() % 7 == 0, " ").otherwise(F.concat(F.lit("ok "), _k().cast("string"))).alias("comments"),
         F.date_add("d", 30).cast("timestamp_ntz").alias("decided_at"),
     )

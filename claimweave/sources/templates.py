@@ -9,15 +9,15 @@ from pyspark.sql import types as T
 from claimweave.functions.variants import entries
 from claimweave.operators.latest import newest_per_key
 
-# Template descriptions.
+# What each template is for.
 DESCRIPTIONS = {
-    "CLAIM_FORM": "Extract patient and insurance claim details",
-    "PRESCRIPTION": "Extract printed and handwritten prescription details",
-    "DISCHARGE_SUMMARY": "Extract clinical discharge details",
-    "HOSPITAL_INVOICE": "Extract hospital invoice totals and line items",
-    "PHARMACY_INVOICE": "Extract pharmacy invoice and medicine line items",
-    "DIAGNOSTIC_REPORT": "Extract diagnostic report results",
-    "PAYMENT_RECEIPT": "Extract payment receipt details",
+    "CLAIM_FORM": "Who claims what under which policy, from a claim form",
+    "PRESCRIPTION": "Medicines and doses that a doctor has prescribed",
+    "DISCHARGE_SUMMARY": "Stay, diagnosis and treatment in a hospital",
+    "HOSPITAL_INVOICE": "Total and items that a hospital charges",
+    "PHARMACY_INVOICE": "Total and medicines that a pharmacy charges",
+    "DIAGNOSTIC_REPORT": "Results of tests and scans",
+    "PAYMENT_RECEIPT": "What was paid, when and to whom",
 }
 
 # Fields per document type as (name, kind, columns); the columns of a table (object) are lists.
