@@ -12,7 +12,7 @@ exactly once per checkpoint. The driver only counts steps; names and listings st
 import os
 import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
@@ -185,21 +185,25 @@ class FileChangesReader(DataSourceStreamReader):
     def _scan(self, number: int) -> pa.Table:
         """Path, time and size of this part's files as they are now, with the time of the scan."""
         now = time.time_ns() // 1_000
-        files, root = open_root(self.root)
-        rows = []
-        for top in files.get_file_info(pa_fs.FileSelector(root)):
-            if zlib.crc32(top.base_name.encode()) % self.parts != number or _hidden(top.base_name):
-                continue
-            found = [top] if top.is_file else files.get_file_info(pa_fs.FileSelector(top.path, allow_not_found=True, recursive=True))
-            for info in found:
-                below = info.path[len(root) :].lstrip("/")
-                if info.is_file and not any(map(_hidden, below.split("/"))):
-                    rows.append((below, (info.mtime_ns or 0) // 1_000, info.size))
+        rows = list(scan(self.root, number, self.parts, _hidden))
         paths, times, sizes = zip(*rows, strict=True) if rows else ((), (), ())
         table = pa.table({"relative_path": pa.array(paths, pa.string()), "modified": pa.array(times, pa.int64()), "size": pa.array(sizes, pa.int64())})
         return table.replace_schema_metadata({"scanned": str(now)})
 
 
+def scan(root: str, number: int, parts: int, hidden: Callable[[str], bool]) -> Iterator[tuple[str, int, int]]:
+    """Path, time in microseconds and size of the files of one part: of `parts`, dealt by the first name below the root."""
+    files, root = open_root(root)
+    for top in files.get_file_info(pa_fs.FileSelector(root)):
+        if zlib.crc32(top.base_name.encode()) % parts != number or hidden(top.base_name):
+            continue
+        found = [top] if top.is_file else files.get_file_info(pa_fs.FileSelector(top.path, allow_not_found=True, recursive=True))
+        for info in found:
+            below = info.path[len(root) :].lstrip("/")
+            if info.is_file and not any(map(hidden, below.split("/"))):
+                yield below, (info.mtime_ns or 0) // 1_000, info.size
+
+
 def _hidden(name: str) -> bool:
     """Names that Spark's own file sources skip as well."""
     return name.startswith((".", "_")) or name.endswith("._COPYING_")

@@ -8,8 +8,8 @@ from types import SimpleNamespace
 
 import pytest
 
+from claimweave.sources import derived, listing
 from claimweave.sources import files as source
-from claimweave.sources import listing
 
 
 def put(root, path, content="x"):
@@ -193,3 +193,18 @@ def test_parts_hold_all_files(tmp_path):
     reader = source.FileChangesReader({"root": str(tmp_path), "state": "unused", "parts": "7"})
     scans = [reader._scan(number)["relative_path"].to_pylist() for number in range(7)]
     assert sorted(sum(scans, [])) == sorted(f"f{n}/x.pdf" for n in range(50)) and sum(map(bool, scans)) > 4
+
+
+def test_a_listing_is_made_by_tasks(spark, tmp_path):
+    """No file index of the driver and no share of a task per file: as many tasks as parts, whatever the number of files."""
+    for name in ("a/one.pdf", "a/b/two.pdf", "top.pdf", "_x=1/kept.pdf", ".hidden/no.pdf", "_gone/no.pdf", "a/_no.pdf"):
+        put(tmp_path, name, "12345")
+    listed = listing.read_directory(spark, f"file://{tmp_path}", 3)
+    assert "MapInArrow" in listed._jdf.queryExecution().executedPlan().toString() and listed.rdd.getNumPartitions() == 3
+    found = {r.relative_path: r for r in listed.collect()}
+    assert set(found) == {"a/one.pdf", "a/b/two.pdf", "top.pdf", "_x=1/kept.pdf"}
+    assert {(r["size"], r.action) for r in found.values()} == {(5, "INSERT")}
+    known = listing.directory_changes(spark, str(tmp_path), listed)
+    assert known.collect() == []
+    with pytest.raises(FileNotFoundError):
+        listing.read_directory(spark, str(tmp_path / "absent"))
