@@ -208,3 +208,25 @@ def test_a_listing_is_made_by_tasks(spark, tmp_path):
     assert known.collect() == []
     with pytest.raises(FileNotFoundError):
         listing.read_directory(spark, str(tmp_path / "absent"))
+
+
+def test_texts_are_put_in_place_by_tasks(spark, tmp_path):
+    """The driver commits nothing (there is no marker of it); a second writing replaces the files of its folders alone."""
+    root = tmp_path / "texts"
+    rows = [("d1", 1, "é"), ("d1", 1, "é"), ("a/b", 2, None), (None, None, "x")]
+    texts = spark.createDataFrame(rows, "folder string, doc_id long, text string")
+
+    def files():
+        return {p.relative_to(root).as_posix(): p.read_text() for p in root.rglob("*") if p.is_file()}
+
+    derived.write_texts(texts, str(root))
+    first = files()
+    assert sorted((name.split("/")[0], text) for name, text in first.items()) == [
+        ("folder=__HIVE_DEFAULT_PARTITION__", "x\n"), ("folder=a%2Fb", "\n"), ("folder=d1", "é\n"), ("folder=d1", "é\n"),
+    ]
+    derived.write_texts(texts.filter("folder = 'a/b'"), f"file://{root}")
+    second = files()
+    assert {n for n in second if "d1" in n} == {n for n in first if "d1" in n} and len(second) == 4
+    assert not {n for n in second if "%2F" in n} & set(first)
+    derived.write_texts(texts.limit(0), str(tmp_path / "none"))
+    assert listing.read_directory(spark, str(tmp_path / "none")).collect() == []
