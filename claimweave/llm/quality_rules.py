@@ -1,22 +1,21 @@
 """Quality rules as statistics of whole texts, judged by an isolation forest.
 
-Every text gets the base statistics of the rules and a vector of ratios. A forest of random splits is grown on a bounded
-sample of labelled rows, nearly all of them good; texts that random splits set apart after few steps are anomalous. The
-threshold on the anomaly score is calibrated on the labelled rows of the sample that the forest was not grown on.
+Every text gets the base statistics of the rules and a vector of ratios. A forest of random splits is grown on one half of the
+labelled rows, nearly all of them good; each tree draws its few rows anew, as the method has it. Texts that random splits set apart
+after few steps are anomalous. The threshold on the anomaly score is calibrated on every labelled row of the other half.
 """
 
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import bounded_sample, slices, text_bytes
+from claimweave.session import materialize
 
 MIN_WORDS = 50
-#: Labelled rows that forest and threshold are taken from, at most.
-SAMPLE_ROWS = 20_000
 TREES, TREE_ROWS = 200, 256
 #: Bad rows among the rows that the forest grows on, to widen its splits: so many for each good one.
 BAD_SHARE = 0.03
@@ -152,16 +151,23 @@ class RuleJudge:
         return self.forest.scores(rows) if self.forest else np.zeros(len(rows))
 
 
+def grow_forest(good: np.ndarray, bad: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 17) -> IsolationForest:
+    """A forest on good rows, with a few bad ones that widen its splits."""
+    return IsolationForest(np.concatenate([good, bad[: int(np.ceil(BAD_SHARE * len(good)))]]), trees, tree_rows, seed)
+
+
 def fit_judge(rows: np.ndarray, good: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 17) -> RuleJudge:
     """The first half of the rows grows the forest, the other sets the threshold of least cost; midway between two scores."""
     half = np.arange(len(rows)) % 2 == 0
-    grown = rows[half & good]
-    if not len(grown):
+    if not len(rows[half & good]):
         return RuleJudge(None, 0.5)
-    grown = np.concatenate([grown, rows[half & ~good][: int(np.ceil(BAD_SHARE * len(grown)))]])
-    forest = IsolationForest(grown, trees, tree_rows, seed)
+    forest = grow_forest(rows[half & good], rows[half & ~good], trees, tree_rows, seed)
     held = ~half if (~half).any() else half
-    scores, kind = forest.scores(rows[held]), good[held]
+    return RuleJudge(forest, least_cost(forest.scores(rows[held]), good[held]))
+
+
+def least_cost(scores: np.ndarray, kind: np.ndarray) -> float:
+    """The threshold of least cost over scored rows, `kind` true for good ones."""
     order = np.argsort(scores, kind="stable")
     scores, kind = scores[order], kind[order]
     kept_bad = np.concatenate([[0], np.cumsum(~kind)]) / max(1, (~kind).sum())
@@ -170,40 +176,88 @@ def fit_judge(rows: np.ndarray, good: np.ndarray, trees: int = TREES, tree_rows:
     cost[1:-1][scores[1:] == scores[:-1]] = np.inf  # equal scores fall on one side
     best = len(cost) - 1 - int(np.argmin(cost[::-1]))  # of equal cost, the one that keeps more
     edges = np.concatenate([[scores[0] - 1e-6], scores, [1.0]])
-    return RuleJudge(forest, float((edges[best] + edges[best + 1]) / 2))
+    return float((edges[best] + edges[best + 1]) / 2)
 
 
-def judge_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 17) -> DataFrame:
+def threshold_of(scored: DataFrame) -> float | None:
+    """`least_cost` of a table of any size (`score`, `good` boolean), None for an empty one.
+
+    Scores are dealt by ranges; a task adds up its own, and what crosses tasks is a row per task.
+    """
+    counted = scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    placed = counted.repartitionByRange("score").sortWithinPartitions("score")
+    placed = materialize(placed.withColumn("_piece", F.spark_partition_id()), "ordered-scores")
+    pieces = placed.groupBy("_piece").agg(F.sum("good").alias("_good"), F.sum("bad").alias("_bad"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("_piece", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in ("good", "bad")])
+    total = pieces.agg(F.coalesce(F.sum("_good"), F.lit(0)).alias("good"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")).first()
+    if not total.good + total.bad:
+        return None
+    upto = Window.partitionBy("_piece").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    ran = placed.withColumns({f"_ran_{k}": F.sum(k).over(upto) for k in ("good", "bad")}).join(materialize(starts, "score-starts"), "_piece")
+    kept_bad = (F.col("_ran_bad") + F.col("_bad")) / F.lit(max(1, total.bad))
+    lost_good = F.lit(1) - (F.col("_ran_good") + F.col("_good")) / F.lit(max(1, total.good))
+    cost = kept_bad + F.lit(GOOD_COST) * lost_good
+    # Of equal cost, the highest score: the one that keeps more. To keep nothing costs GOOD_COST.
+    best = ran.agg(F.min(F.struct(cost.alias("cost"), (-F.col("score")).alias("score"))).alias("best"), F.min("score").alias("least")).first()
+    if best.best.cost > GOOD_COST:
+        return (best.least - 1e-6 + best.least) / 2
+    low = -best.best.score
+    above = placed.where(F.col("score") > low).agg(F.min("score")).first()[0]
+    return (low + (1.0 if above is None else above)) / 2
+
+
+def judge_rules(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, the base statistics, base_failed, anomaly and kept of every row.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows; such rows are never kept, others
-    are unless their anomaly is above the threshold. Forest and threshold come from at most `sample_rows` labelled rows that
-    pass the base rules, chosen by a hash of the id; without good ones among them every row has anomaly 0. Null texts are empty
-    and fail. Labels that are null, or of ids that documents lack, are not used; of several for an id the lowest counts. Repeated
-    rows are judged alike; an empty table gives an empty result. Columns other than doc_id and text are not read.
+    are unless their anomaly is above the threshold. Labelled rows that pass the base rules are halved by a hash of the id. Of one
+    half the trees draw their rows, TREE_ROWS each, good ones but for a few; every row of the other is scored for the
+    threshold. Without good ones every row has anomaly 0. Null texts are empty and fail. Labels that are null, or of ids that
+    documents lack, are not used; of several for an id the lowest counts. Repeated rows are judged alike; an empty table gives an
+    empty result. Columns other than doc_id and text are not read. Statistics are stored, so each text is measured once.
     """
-    measured = document_statistics(docs)
+    measured = materialize(document_statistics(docs), "rule-statistics")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    chosen = bounded_sample(known, ["doc_id"], sample_rows, seed)
-    # The sample goes to the texts, not the other way: only sampled texts are measured for the fit.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    fitted = document_statistics(texts).where(~failed).join(F.broadcast(chosen), "doc_id").select("doc_id", "_quality", "features")
-    # An id may stand on several texts; the first rows by hash are taken, so the same ones every time.
-    first = fitted.distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "features").limit(sample_rows)
-    rows = sorted((r.doc_id, r._quality, tuple(r.features)) for r in first.collect())
-    # Not in order of the id, so that both halves have rows of all kinds.
-    order = np.random.default_rng(seed).permutation(len(rows))
-    vectors = np.array([rows[i][2] for i in order], np.float64).reshape(-1, len(FEATURES))
-    judge = fit_judge(vectors, np.array([rows[i][1] == 1 for i in order], bool), seed=seed)
+    known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    # An id may stand on several texts; alike ones count once.
+    fitted = measured.where(~failed).join(known, "doc_id").select("doc_id", "good", "features").distinct()
+    fitted = materialize(fitted.withColumn("half", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2))), "labelled-statistics")
+    # A label set of a few rows may have its good ones in one half alone.
+    grown = fitted.where("good").agg(F.min("half")).first()[0]
+    judge = RuleJudge(None, 0.5)
+    if grown is not None:
+
+        def drawn(good: bool, most: int) -> np.ndarray:
+            rows = fitted.where((F.col("half") == grown) & (F.col("good") == good))
+            # What 200 trees draw from all rows, as one draw; the same rows every time.
+            rows = bounded_sample(rows, ["doc_id", "features"], most, seed).collect()
+            return np.array([r.features for r in sorted(rows, key=lambda r: (r.doc_id, r.features))], np.float64).reshape(-1, len(FEATURES))
+
+        most = TREES * TREE_ROWS
+        forest = grow_forest(drawn(True, most), drawn(False, int(BAD_SHARE * most)), seed=seed)
+        own = docs.sparkSession.sparkContext.broadcast(forest)
+
+        def rated(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(own.value.scores(_vectors(batch))), batch.column(0)], ["score", "good"])
+
+        def scored(rows: DataFrame) -> DataFrame:
+            return rows.select("good", "features").mapInArrow(rated, "score double, good boolean")
+
+        held = threshold_of(scored(fitted.where(F.col("half") != grown)))
+        judge = RuleJudge(forest, threshold_of(scored(fitted)) if held is None else held)
     shared = docs.sparkSession.sparkContext.broadcast(judge)
 
     def judged(batches):
         for batch in batches:
-            features = batch.column(batch.schema.get_field_index("features"))
-            vectors = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.scores(vectors))], [*batch.schema.names[:-1], "anomaly"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.scores(_vectors(batch)))], [*batch.schema.names[:-1], "anomaly"])
 
     schema = ", ".join(f"{name} {kind}" for name, kind in measured.dtypes[:-1]) + ", anomaly double"
-    scored = measured.mapInArrow(judged, schema).withColumn("base_failed", failed)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= judge.threshold))
+    scored_rows = measured.mapInArrow(judged, schema).withColumn("base_failed", failed)
+    return scored_rows.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= judge.threshold))
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    features = batch.column(batch.schema.get_field_index("features"))
+    return features.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))

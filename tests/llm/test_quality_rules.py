@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from claimweave.llm import quality_rules as qr
 
@@ -64,3 +65,26 @@ def test_without_labels(spark, make_docs, odd_rows):
         found = qr.judge_rules(make_docs(odd_rows), labels).collect()
         assert len(found) == len(odd_rows) and all(r.kept == (not r.base_failed) for r in found)
         assert qr.judge_rules(make_docs([]), labels).collect() == []
+
+
+def test_threshold_of_a_table_is_the_one_of_its_rows(spark):
+    """Against the same rule in one array, with equal scores on both sides of a range."""
+    random = np.random.default_rng(5)
+    for good_share, steps in ((0.8, 40), (0.8, 4000), (0.02, 40), (0.0, 40), (1.0, 40)):
+        good = random.random(1500) < good_share
+        scores = np.round((random.random(1500) + 0.3 * ~good) / 1.3 * steps) / steps
+        frame = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good, strict=True)], "score double, good boolean").repartition(5)
+        assert qr.threshold_of(frame) == qr.least_cost(scores, good)
+    assert qr.threshold_of(frame.limit(0)) is None
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """Each of them is drawn from or scored for the threshold, however many there are: no bound on the labelled rows."""
+    rows = [(i, " ".join(f"{'word' if i % 10 else 'W#RD'}{(i * 7 + k * k) % 97}" for k in range(60))) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 != 0).cast("int").alias("quality"))
+    counted, plain = [], qr.threshold_of
+    monkeypatch.setattr(qr, "threshold_of", lambda scored: (counted.append(scored.count()), plain(scored))[1])
+    found = qr.judge_rules(docs, labels)
+    assert 11_500 < counted[0] < 12_500
+    assert found.where(F.col("kept") == (F.col("doc_id") % 10 != 0)).count() > 23_000
