@@ -100,3 +100,21 @@ def test_one_very_long_name(spark):
     rows.append(("c", "PRESCRIBED", long[70_000:70_040]))
     found = unmatched_by_join(distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string")))
     assert [r.medicine for r in found.collect()] == ["absent"]
+
+
+def test_names_that_are_settled_are_not_looked_up(spark, monkeypatch):
+    """Equal names are out before any grams are made, names that hold a prescribed one before the last look."""
+    rows = [(f"c{n}", side, f"pill {n}") for n in range(40) for side in ("PRESCRIBED", "PURCHASED")]
+    rows += [("d", "PRESCRIBED", "aspirin"), ("d", "PURCHASED", "aspirin 500"), ("d", "PURCHASED", "spiri"), ("d", "PURCHASED", "other")]
+    names = medicines.distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
+    given, plain = [], medicines._containments
+    monkeypatch.setattr(medicines, "_containments", lambda inner, outer: (given.append((inner.count(), outer.count())), plain(inner, outer))[1])
+    assert [(r.claim_id, r.medicine) for r in medicines.unmatched_by_join(names).collect()] == [("d", "other")]
+    assert given == [(1, 3), (2, 41)]
+
+
+def test_names_without_a_claim_or_a_key_stay(spark):
+    rows = [(None, "PURCHASED", "pill"), (None, "PRESCRIBED", "pill"), ("a", "PURCHASED", None), ("a", "PRESCRIBED", "pill")]
+    names = medicines.distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
+    found = [(r.claim_id, r.medicine) for r in medicines.unmatched_by_join(names).collect()]
+    assert sorted(found, key=str) == [("a", None), (None, "pill")]
