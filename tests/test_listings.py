@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave.operators import listings
 from claimweave.operators.listings import listing_parts
 from claimweave.plans import features, validation
 from claimweave.plans.features import Limits
@@ -76,3 +77,20 @@ def test_no_way_gathers_a_wide_claim(wide):
     )._jdf.queryExecution().optimizedPlan().toString()
     gathered = [line for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line]
     assert gathered and all("part#" in line.split("]")[0] or "_documents" in line for line in gathered), gathered
+
+
+@pytest.mark.parametrize("most", [1, 37, 10_000])
+def test_long_and_short_listings_side_by_side(spark, monkeypatch, most):
+    """What is longer than a task may gather is dealt by ranges, the rest beside it is not; the same parts as ever."""
+    monkeypatch.setattr(listings, "LONG_LISTING", 200)
+    rng = random.Random(most)
+    items = [("long", f"{'é' * rng.randrange(9)}{rng.randrange(60)}") for _ in range(900)] + [("short", "b"), ("short", "a"), ("short", ""), ("one", "x")]
+    frame = spark.createDataFrame(items, "k string, item string").repartition(5)
+    found = listing_parts(frame, ["k"], ["item"], "item", most, " | ").collect()
+    assert {(r.k, r.part): r.listing for r in found} == expected_parts(items, most, " | ")
+
+
+def test_short_listings_are_moved_once(spark):
+    frame = spark.createDataFrame([(str(n % 50), str(n)) for n in range(500)], "k string, item string")
+    plan = listing_parts(frame, ["k"], ["item"], "item", 10, " | ")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange ") == 1
