@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from claimweave.operators import latest
+from claimweave.operators import latest, medicines
 from claimweave.plans import features, validation
 
 
@@ -70,3 +70,12 @@ def test_validation_has_one_shuffle_per_table(spark, stored):
 def test_required_documents_are_combined_before_the_shuffle(spark, stored):
     plan = plan_of(features.present_types(stored["documents"]))
     assert "partial_max" in plan and plan.count("Exchange") == 1 and "SortAggregate" not in plan
+
+
+def test_claims_are_gathered_after_rows_are_dealt(spark, stored):
+    """Lists made on the map side have one entry each, are longer than the rows, and cost each task a sort of all its rows."""
+    fields = features.stored_fields(stored["extractions"])
+    names = spark.createDataFrame([("a", "PURCHASED", "Aspirin", "ASPIRIN")], "claim_id string, side string, medicine string, key string")
+    for rows in (features.document_features(stored["claims"], fields), medicines.unmatched_medicines(names)):
+        plan = plan_of(rows)
+        assert re.search(r"ObjectHashAggregate.*\n.*ObjectHashAggregate.*\n(?:.*Project.*\n)?.*Exchange hashpartitioning\(claim_id", plan)
