@@ -125,7 +125,8 @@ class _Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words = _Ids(self._find)
         self.by_word = all(self._by_word(p) for p in (b"a b", b"a\n\tb", b"a\x0b\x0c\rb", b"  a. 'b  ", b"A.b c"))
-        self.written = {}
+        self.packed = [np.array([i], self.dtype).tobytes() for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
+        self.written, self.ascii_as_is = {}, False
         if self.by_word and self.tokenizer.pre_tokenizer is not None:
             letters = sorted(set(self.LETTERS.lower()))
             found = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in letters}
@@ -133,6 +134,8 @@ class _Encoder:
             probes = [*self.LETTERS, self.LETTERS, "THing", "élan", "Straße", "word.", "a,b", "x!!", "o.k.", "naïve?", *self.MARKS]
             if any(self._letters(p) not in (None, self._ids(p.encode())) for p in probes):
                 self.written = {}
+        # Letters that are written as they are need no translation.
+        self.ascii_as_is = all(self.written.get(ord(c)) == c for c in map(chr, range(ord("a"), ord("z") + 1)))
 
     def _ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
@@ -145,19 +148,24 @@ class _Encoder:
         core = word.rstrip(self.MARKS)
         if not _plain(core):
             return None
-        ids = [t.id for t in self.model.tokenize(core.lower().translate(self.written))]
+        ids = self._merged(core)
         return ids + [t.id for t in self.model.tokenize(word[len(core) :])] if len(core) < len(word) else ids
 
+    def _merged(self, core: str) -> list[int]:
+        letters = core.lower()
+        return [t.id for t in self.model.tokenize(letters if self.ascii_as_is and letters.isascii() else letters.translate(self.written))]
+
     def _find(self, word: bytes) -> bytes:
+        ids = None
         if self.written:
             text = word.decode()
             core = text.rstrip(self.MARKS)
-            if len(core) < len(text) and _plain(core):  # so that letters are merged once, whatever follows them
-                tail = word[len(core.encode()) :]
-                return self.words[word[: -len(tail)]] + self.words[tail]
-            if (ids := self._letters(text)) is not None:
-                return np.array(ids, self.dtype).tobytes()
-        return np.array(self._ids(word), self.dtype).tobytes()
+            if _plain(core):
+                if len(core) < len(text):  # so that letters are merged once, whatever follows them
+                    tail = word[len(core.encode()) :]
+                    return self.words[word[: -len(tail)]] + self.words[tail]
+                ids = self._merged(core)
+        return b"".join(map(self.packed.__getitem__, self._ids(word) if ids is None else ids))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
@@ -214,8 +222,11 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie).mapInArrow(blocks, BLOCKS).write.parquet(path)
 
 
-def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (as written) of every document of a store; `start` counts the ids of all before it."""
+def _documents(spark: SparkSession, path: str, columns: str, made) -> DataFrame:
+    """doc_id, start, n_tokens and `columns` of every document of a store, in one pass over its blocks.
+
+    `made(texts, size)` gives the arrays of `columns`, for the ids of some documents (buffers) and the bytes of an id.
+    """
     store = spark.read.schema(BLOCKS).parquet(path)
     # One number per range partition of the writer.
     sizes = {r.part: r.n for r in store.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
@@ -224,8 +235,10 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
         before[part] = total
         total += sizes[part]
     base = spark.sparkContext.broadcast(before)
+    names = ["doc_id", "start", "n_tokens", *[column.split()[0] for column in columns.split(", ")]]
 
     def rows(batches):
+        _encoder.cache_clear()  # a worker that reads needs none of the words it wrote
         for batch in batches:
             for b in range(batch.num_rows):
                 block = {name: batch.column(i)[b] for i, name in enumerate(batch.schema.names)}
@@ -238,16 +251,32 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
                 size = value["id_bytes"]
                 for s in range(0, len(ends), 512):
                     some = slice(s, s + 512)
+                    texts = [ids[a * size : z * size] for a, z in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(value["doc_ids"][some], pa.int64()), pa.array(starts[some] + first), pa.array(ends[some] - starts[some]),
-                            pa.array([size] * len(ends[some]), pa.int32()),
-                            pa.array([bytes(ids[a * size : z * size]) for a, z in zip(starts[some], ends[some], strict=True)], pa.binary()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "id_bytes", "ids"],
+                        [pa.array(value["doc_ids"][some], pa.int64()), pa.array(starts[some] + first), pa.array(ends[some] - starts[some]), *made(texts, size)],
+                        names,
                     )
 
-    return store.mapInArrow(rows, "doc_id long, start long, n_tokens long, id_bytes int, ids binary")
+    return store.mapInArrow(rows, f"doc_id long, start long, n_tokens long, {columns}")
+
+
+def _crc32(ids, size: int) -> int:
+    """crc32 of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(np.frombuffer(ids, f"<u{size}").astype("<u4"))
+
+
+def read_token_store(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (as written) of every document of a store; `start` counts the ids of all before it."""
+
+    def made(texts, size):
+        return pa.array([size] * len(texts), pa.int32()), pa.array([bytes(t) for t in texts], pa.binary())
+
+    return _documents(spark, path, "id_bytes int, ids binary", made)
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """`ids_crc32` of `read_token_store`, made where the blocks are read: no ids leave the worker, and a task has one worker, not two."""
+    return _documents(spark, path, "ids_crc32 long", lambda texts, size: [pa.array([_crc32(t, size) for t in texts], pa.int64())])
 
 
 def ids_crc32(stored: DataFrame) -> DataFrame:
@@ -256,7 +285,7 @@ def ids_crc32(stored: DataFrame) -> DataFrame:
     def digests(batches):
         for batch in batches:
             sizes, ids = batch.column(3).to_pylist(), batch.column(4)
-            sums = [zlib.crc32(np.frombuffer(ids[i].as_buffer(), f"<u{size}").astype("<u4")) for i, size in enumerate(sizes)]
+            sums = [_crc32(ids[i].as_buffer(), size) for i, size in enumerate(sizes)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return stored.mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")

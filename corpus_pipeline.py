@@ -36,7 +36,7 @@ def store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token ids and reads back, for each copy, its place in them and the crc32 of its ids."""
     path = scratch_dir(spark, "token-store")
     token_store.write_token_store(docs, path, public_tokenizers.path(TOKENIZER), END_ID)
-    return token_store.ids_crc32(token_store.read_token_store(spark, path))
+    return token_store.read_digests(spark, path)
 
 
 STAGES = [

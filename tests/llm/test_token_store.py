@@ -71,3 +71,16 @@ def test_store_round_trip(spark, make_docs, odd_rows, tmp_path):
 def test_empty_table(spark, make_docs, tmp_path):
     ts.write_token_store(make_docs([]), str(tmp_path / "none"), PATH, end_id=2)
     assert ts.ids_crc32(ts.read_token_store(spark, str(tmp_path / "none"))).collect() == []
+
+
+def test_digests_are_made_where_blocks_are_read(spark, make_docs, odd_rows, tmp_path):
+    path = str(tmp_path / "store")
+    ts.write_token_store(make_docs(odd_rows), path, public_tokenizers.path("word_bpe_49k.json"), 2, block_ids=50)
+    digests = ts.read_digests(spark, path)
+    assert digests._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert digests.dtypes == ts.ids_crc32(ts.read_token_store(spark, path)).dtypes
+    found, apart = (sorted(map(str, rows.collect())) for rows in (digests, ts.ids_crc32(ts.read_token_store(spark, path))))
+    assert found == apart and len(found) == len(odd_rows)
+    ids = {r.start: bytes(r.ids) for r in ts.read_token_store(spark, path).collect()}
+    size = ts._encoder(public_tokenizers.path("word_bpe_49k.json")).dtype
+    assert all(r.ids_crc32 == zlib.crc32(np.frombuffer(ids[r.start], size).astype("<u4")) for r in digests.collect())
