@@ -118,3 +118,20 @@ def test_names_without_a_claim_or_a_key_stay(spark):
     names = medicines.distinct_medicines(spark.createDataFrame(rows, "claim_id string, side string, medicine string"))
     found = [(r.claim_id, r.medicine) for r in medicines.unmatched_by_join(names).collect()]
     assert sorted(found, key=str) == [("a", None), (None, "pill")]
+
+
+def test_tables_of_names_are_not_sent_to_the_driver(spark, monkeypatch):
+    """A file of repeated names is a hundredth of what it is in memory, so its size says nothing about a broadcast."""
+    names = distinct_medicines(spark.createDataFrame(made_up_rows(), "claim_id string, side string, medicine string"))
+    plans, plain = [], medicines.materialize
+
+    def kept(rows, *purpose):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return plain(rows, *purpose)
+
+    monkeypatch.setattr(medicines, "materialize", kept)
+    monkeypatch.setattr(medicines, "MOST_HOLDERS", 0)
+    found = medicines.unmatched_by_join(plain(names, "names"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not any("BroadcastHashJoin" in plan for plan in plans) and sum(plan.count("SortMergeJoin") for plan in plans) >= 10
+    assert {(r.claim_id, r.medicine) for r in found.collect()} == brute_force(made_up_rows())
