@@ -70,3 +70,19 @@ def test_variants_are_stored_whole(spark, tmp_path):
     (path,) = {file for file in materialize(rows.coalesce(1), "variants").inputFiles()}
     names = [field.name for field in pq.read_schema(path.removeprefix("file://")).field("v").type]
     assert "typed_value" not in names
+
+
+def test_columns_made_of_others_are_not_stored(spark, sf_dir):
+    """Ids, paths and parts of a payload are views of the stored columns; the tables have them all the same."""
+    few = sf_dir["few"]
+    made = {
+        "results": ({"validation_id", "validated_at"}, derived.results(spark, few)),
+        "extractions": ({"extracted_response", "extraction_scoring", "extraction_error"}, derived.extractions(spark, few)),
+        "document_rows": ({"document_id", "relative_path", "folder", "claim_id"}, derived.document_rows(spark, few)),
+    }
+    paths = {name: path for (_, sf, name), path in derived._STORED.items() if sf == few}
+    for name, (columns, rows) in made.items():
+        assert not columns & set(spark.read.parquet(paths[name]).columns) and columns <= set(rows.columns), name
+    ids = made["results"][1].select("claim_id", "validation_category", "validation_id")
+    assert ids.filter(F.col("validation_id") != F.sha2(F.concat_ws("|", "claim_id", "validation_category"), 256)).isEmpty()
+    assert ids.select("validation_id").distinct().count() == ids.count() == 2400

@@ -79,3 +79,18 @@ def test_claims_are_gathered_after_rows_are_dealt(spark, stored):
     for rows in (features.document_features(stored["claims"], fields), medicines.unmatched_medicines(names)):
         plan = plan_of(rows)
         assert re.search(r"ObjectHashAggregate.*\n.*ObjectHashAggregate.*\n(?:.*Project.*\n)?.*Exchange hashpartitioning\(claim_id", plan)
+
+
+def test_versions_are_dealt_once(spark, make_claims, make_extractions):
+    """The newest version of a document is chosen where its claim is gathered; older versions and wide claims change nothing."""
+    rows = [(f"c{n % 7}", f"d{n % 21}", kind, {"patient_name": f"Name {n % 3}", "medicines": {"medicine_name": [f"Drug {n}"]}}, status, 1 + n % 5)
+            for n, (kind, status) in enumerate([("PRESCRIPTION", "EXTRACTED"), ("CLAIM_FORM", "EXTRACTED"), ("PRESCRIPTION", "FAILED")] * 40)]
+    claims, extractions = make_claims([(f"c{n}", "Name 1", "1") for n in range(8)]), make_extractions(rows)
+    fields, versions = features.stored_fields(extractions), features.stored_versions(extractions)
+    assert versions.count() == 80 > fields.count()
+    plain = sorted(map(str, features.document_features(claims, fields).collect()))
+    for limits in (features.Limits(), features.Limits(pairs=0), features.Limits(hot_rows=3), features.Limits(listing_chars=20)):
+        wide = sorted(map(str, features.document_features(claims, fields, limits).collect()))
+        assert sorted(map(str, features.document_features(claims, versions, limits).collect())) == wide and (limits.listing_chars == 20 or wide == plain)
+    plan = features.document_features(claims.select("claim_id", "patient_name", "claimed_amount").hint("merge"), versions)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and len(re.findall("Exchange", plan)) == 2 and "hashpartitioning(claim_id, document_id" not in plan.replace("#", "")
