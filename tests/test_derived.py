@@ -86,3 +86,10 @@ def test_columns_made_of_others_are_not_stored(spark, sf_dir):
     ids = made["results"][1].select("claim_id", "validation_category", "validation_id")
     assert ids.filter(F.col("validation_id") != F.sha2(F.concat_ws("|", "claim_id", "validation_category"), 256)).isEmpty()
     assert ids.select("validation_id").distinct().count() == ids.count() == 2400
+
+
+def test_large_tables_have_files_of_bounded_length(spark, monkeypatch):
+    """Tasks are shared out by the bytes of files; rows of a few bytes would all go to one."""
+    monkeypatch.setattr("claimweave.session.ROWS_PER_FILE", 100)
+    rows = materialize(spark.range(1000).coalesce(1), "numbers")
+    assert len(rows.inputFiles()) == 10 and rows.count() == 1000
